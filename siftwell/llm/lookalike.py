@@ -87,7 +87,7 @@ def rule_pairs() -> Iterator[tuple[str, str]]:
         if how.startswith(("<wide>", "<narrow>", "<compat>")):
             to = ud.normalize("NFKC", c)
             letters = all(ud.category(x)[0] in "LN" for x in to)
-            if letters and (not how.startswith("<compat>") or 0xFB00 <= o <= 0xFB06 or 0x2E80 <= o <= 0x2FDF):
+            if letters and to != c and (not how.startswith("<compat>") or 0xFB00 <= o <= 0xFB06 or 0x2E80 <= o <= 0x2FDF):
                 yield c, to
     for c in HYPHENS:
         yield c, "-"
@@ -167,7 +167,7 @@ class Rewriter:
 @lru_cache(maxsize=4)
 def rewriter(counts: tuple[tuple[str, int], ...] = ()) -> Rewriter:
     """A rewriter of given member counts; without counts a composed, plain form is preferred."""
-    known = dict(counts) or {m: 1 for v in classes().values() for m in v if len(m) == 1 and m.isascii()}
+    known = dict(counts) or {m: 1 for v in classes().values() for m in v if m.isascii()}
     return Rewriter(representatives(known))
 
 
@@ -177,22 +177,23 @@ def fold(text: str) -> str:
 
 
 @lru_cache(maxsize=1)
-def _members() -> tuple[np.ndarray, re.Pattern]:
+def _members() -> tuple[np.ndarray, re.Pattern, list[str]]:
     names = {m for v in classes().values() for m in v if m}
     codes = np.array(sorted(ord(m) for m in names if len(m) == 1))
-    tails = {c for m in names if len(m) > 1 for c in m[1:]}
-    return codes, _any_of(tails)
+    tails = {c for m in names if len(m) > 1 for c in m[1:] if not c.isascii()}
+    return codes, _any_of(tails), sorted(m for m in names if len(m) > 1 and m.isascii())
 
 
 def count_members(texts: Iterable[str]) -> dict[str, int]:
     """How often the members of the classes occur in texts."""
-    codes, tails = _members()
+    codes, tails, plain = _members()
     joined = "\n".join(texts)
     if not joined:
         return {}
     at = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     found = np.bincount(at, minlength=int(codes[-1]) + 1)[codes]
     out = {chr(c): int(n) for c, n in zip(codes[found > 0], found[found > 0], strict=True)}
+    out |= {m: n for m in plain if (n := joined.count(m))}
     auto = rewriter().trie
     if tails.search(joined) and len(auto):
         for end, (size, _) in auto.iter_long(joined):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm import boilerplate, borda, language, lookalike, packing, splitting
+from siftwell.llm import boilerplate, borda, language, leakage, lookalike, neighbours, packing, residue, splitting
 from siftwell.session import cut, table
 
 SCORES = ("vector", "bm25", "graph/entity", "rerank")
@@ -148,6 +148,37 @@ def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
 SINGLE_SQL = r"\p{Han}\p{Hangul}\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{FF66}-\x{FF9F}"
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = leakage.leaks(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "text")
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def _residue(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return residue.residue(docs, residue.fit(docs, "doc_id", "text"), "doc_id", "text", "title")
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _residue(spark, sf).select(F.col("id").alias("doc_id"))
+
+
+def p10_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id): the corpus without residue."""
+    docs = table(spark, sf, "documents").select("doc_id").distinct()
+    return docs.join(_residue(spark, sf).select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    near = neighbours.nearest(table(spark, sf, "content_blocks"), "id", "embeddings", 64, k=5, at_least=0.95)
+    pair = near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"))
+    return pair.distinct()
+
+
+def p6_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, other, similarity): of every usable vector the five most similar others."""
+    return neighbours.nearest(table(spark, sf, "content_blocks"), "id", "embeddings", 64, k=5, relax=0.3, shard=32_768)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
 
