@@ -119,34 +119,30 @@ def _matrix(col: pd.Series) -> np.ndarray:
 
 
 def classes(df: DataFrame, ident: str, vector: str, dim: int) -> tuple[DataFrame, DataFrame]:
-    """(members, reps): (id, h1, h2) of every usable vector, and (id, vec) of the least id of each class of equal vectors.
+    """(members, reps): (id, h1, h2) of every vector of the length, and (id, vec) of the least id of each class of equal vectors.
 
-    Copies are merged before the shuffle.
+    Copies are merged before the shuffle; members carry hashes only.
     """
-
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b = b[[v is not None and len(v) == dim for v in b["v"]]]
-            if not len(b):
-                continue
-            v = np.array([np.asarray(x, "float32") for x in b["v"]], "float32")
-            ok = np.isfinite(v).all(axis=1) & (v != 0).any(axis=1)
-            yield pd.DataFrame({"id": b["id"].to_numpy()[ok], "vec": [x.tobytes() for x in v[ok] + np.float32(0)]})  # + 0: one zero
-
-    src = df.select(F.col(ident).alias("id"), F.col(vector).alias("v")).where(f"id is not null and size(v) = {dim}")
-    rows = src.mapInPandas(filled(part), "id string, vec binary").select("id", "vec", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2"))
-    rows = cut(rows)
+    v = F.col(vector)
+    rows = df.select(F.col(ident).alias("id"), v.alias("vec"), F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(1), v).alias("h2")).where(f"id is not null and size(vec) = {dim}")
     reps = rows.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.any_value("vec").alias("vec")).select("id", "vec")
     return rows.select("id", "h1", "h2").distinct(), reps
 
 
-def search(reps: DataFrame, k: int, at_least: float | None, relax: float, shard: int, fit_rows: int) -> DataFrame:
-    """(id, other, similarity): each vector's k nearest others found, ids being distinct."""
+def usable(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and vectors of rows whose vectors are finite and not all zero."""
+    v = np.array([np.array([np.nan if x is None else x for x in r] if None in r else r, "float32") for r in map(list, b["vec"])], "float32")
+    ok = np.isfinite(v).all(axis=1) & (v != 0).any(axis=1)
+    return b["id"].to_numpy()[ok], v[ok]
+
+
+def search(df: DataFrame, reps: DataFrame, k: int, at_least: float | None, relax: float, shard: int, fit_rows: int) -> DataFrame:
+    """(id, other, similarity): each vector's k nearest others found, ids being distinct. The tree is fitted on rows of df."""
     spark = reps.sparkSession
-    total = reps.count()
+    total = df.count()
     upto = min(2**63 - 1, int(-(2**63) + min(1.0, fit_rows / max(1, total)) * (2**64 - 1)))
-    drawn = reps.where(F.xxhash64("id") <= upto).orderBy("id").select("vec").collect()
-    sample = unit(_matrix(pd.Series([bytes(r.vec) for r in drawn]))) if drawn else np.zeros((0, 1), "float32")
+    drawn = df.where(F.xxhash64("id") <= upto).dropDuplicates(["id"]).orderBy("id").toPandas()
+    sample = unit(usable(drawn)[1]) if len(drawn) else np.zeros((0, 1), "float32")
     tree = Tree(sample, np.arange(len(sample)), 32, depth=max(0, math.ceil(math.log2(max(1, total) / shard))), tries=32)
     shared = spark.sparkContext.broadcast((tree, sample if at_least is None else None))
 
@@ -154,7 +150,10 @@ def search(reps: DataFrame, k: int, at_least: float | None, relax: float, shard:
         tree, near = shared.value
         number = {id(leaf): n for n, leaf in enumerate(tree.leaves())}
         for b in batches:
-            q = unit(_matrix(b["vec"]))
+            ids, raw = usable(b)
+            if not len(ids):
+                continue
+            q, sent = unit(raw), np.array([x.tobytes() for x in raw], object)
             if near is None:
                 floor = np.full(len(q), at_least, "float32")
             else:  # the (k + 1)-th in the sample, which may hold the vector itself
@@ -163,7 +162,7 @@ def search(reps: DataFrame, k: int, at_least: float | None, relax: float, shard:
             out: list[tuple[Tree, np.ndarray, np.ndarray]] = []
             tree.route(q, np.arange(len(q)), relax * angle(floor), out, np.ones(len(q), bool))
             for leaf, at, home in out:
-                yield pd.DataFrame({"shard": number[id(leaf)], "id": b["id"].to_numpy()[at], "vec": b["vec"].to_numpy()[at], "home": home, "floor": floor[at]})
+                yield pd.DataFrame({"shard": number[id(leaf)], "id": ids[at], "vec": sent[at], "home": home, "floor": floor[at]})
 
     def inside(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("id", ignore_index=True)
@@ -187,12 +186,13 @@ def search(reps: DataFrame, k: int, at_least: float | None, relax: float, shard:
     return found.select("*", F.row_number().over(w).alias("k")).where(F.col("k") <= k).drop("k")
 
 
-def nearest(df: DataFrame, ident: str, vector: str, dim: int, k: int = 5, at_least: float | None = None, relax: float = 0.15, shard: int = 8192, fit_rows: int = 20_000) -> DataFrame:
+def nearest(df: DataFrame, ident: str, vector: str, dim: int, k: int = 5, at_least: float | None = None, relax: float = 0.12, shard: int = 16_384, fit_rows: int = 20_000) -> DataFrame:
     """(id, other, similarity): of every usable vector the k most similar others, of cosine at_least if it is given."""
     members, reps = classes(df, ident, vector, dim)
-    reps = cut(reps)
-    near = search(reps, k, at_least, relax, shard, fit_rows)
+    rows = df.select(F.col(ident).alias("id"), F.col(vector).alias("vec")).where(f"id is not null and size(vec) = {dim}")
+    near = search(rows, reps, k, at_least, relax, shard, fit_rows)
     # Classes of several members: their first k + 1 ids stand for the class in other lists, and every member has a list.
+    near = cut(near)  # ids and similarities
     per = members.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     several = members.join(per, ["h1", "h2"]).select("rep", "id")
     first = several.select("*", F.row_number().over(Window.partitionBy("rep").orderBy("id")).alias("r")).where(F.col("r") <= k + 1)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm import boilerplate, borda, language, leakage, lookalike, neighbours, packing, residue, splitting
+from siftwell.llm import boilerplate, borda, language, leakage, lookalike, neighbours, packing, residue, scans, splitting
 from siftwell.session import cut, table
 
 SCORES = ("vector", "bm25", "graph/entity", "rerank")
@@ -179,6 +179,15 @@ def p6_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf, "content_blocks"), "id", "embeddings", 64, k=5, relax=0.3, shard=32_768)
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.faults(*scans.tables(spark, sf)).select("item", "line_no", "fault")
+
+
+def p7_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, para_no, text): the repaired, continuous text of every scanned file."""
+    return scans.paragraphs(*scans.tables(spark, sf))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
 
