@@ -118,13 +118,20 @@ def _matrix(col: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(col), "<f4").reshape(len(col), -1)
 
 
+def finite(df: DataFrame, ident: str, vector: str, dim: int) -> DataFrame:
+    """(id, vec) of the usable vectors: of the length, finite and not all zero."""
+    rows = df.select(F.col(ident).alias("id"), F.col(vector).alias("vec")).where(f"id is not null and size(vec) = {dim}")
+    # NaN is greater than infinity to Spark, so one comparison rejects both.
+    return rows.where(F.coalesce(F.forall("vec", lambda x: F.abs(x) < float("inf")), F.lit(False)) & F.exists("vec", lambda x: x != 0))
+
+
 def classes(df: DataFrame, ident: str, vector: str, dim: int) -> tuple[DataFrame, DataFrame]:
-    """(members, reps): (id, h1, h2) of every vector of the length, and (id, vec) of the least id of each class of equal vectors.
+    """(members, reps): (id, h1, h2) of every usable vector, and (id, vec) of the least id of each class of equal vectors.
 
     Copies are merged before the shuffle; members carry hashes only.
     """
-    v = F.col(vector)
-    rows = df.select(F.col(ident).alias("id"), v.alias("vec"), F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(1), v).alias("h2")).where(f"id is not null and size(vec) = {dim}")
+    v = F.col("vec")
+    rows = finite(df, ident, vector, dim).select("id", "vec", F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(1), v).alias("h2"))
     reps = rows.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.any_value("vec").alias("vec")).select("id", "vec")
     return rows.select("id", "h1", "h2").distinct(), reps
 
@@ -189,8 +196,7 @@ def search(df: DataFrame, reps: DataFrame, k: int, at_least: float | None, relax
 def nearest(df: DataFrame, ident: str, vector: str, dim: int, k: int = 5, at_least: float | None = None, relax: float = 0.12, shard: int = 16_384, fit_rows: int = 20_000) -> DataFrame:
     """(id, other, similarity): of every usable vector the k most similar others, of cosine at_least if it is given."""
     members, reps = classes(df, ident, vector, dim)
-    rows = df.select(F.col(ident).alias("id"), F.col(vector).alias("vec")).where(f"id is not null and size(vec) = {dim}")
-    near = search(rows, reps, k, at_least, relax, shard, fit_rows)
+    near = search(finite(df, ident, vector, dim), reps, k, at_least, relax, shard, fit_rows)
     # Classes of several members: their first k + 1 ids stand for the class in other lists, and every member has a list.
     near = cut(near)  # ids and similarities
     per = members.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
