@@ -80,13 +80,13 @@ def boilerplate(lines: DataFrame, share: float = 0.15, least: int = 5) -> DataFr
     pairs = lines.where("next is not null").select("src", "line", "next", "doc").join(kept, ["src", "line"], "left_semi")
     pairs = pairs.join(kept.withColumnRenamed("line", "next"), ["src", "next"], "left_semi").distinct()
     edges = pairs.groupBy("src", "line", "next").agg(F.count("*").alias("docs")).join(per, "src").where(enough)
-    graph = nodes.select("src", "line", F.lit(None).cast("long").alias("next"), "docs").unionByName(edges.select("src", "line", "next", "docs"))
+    graph = nodes.select("src", "line", F.col("line").alias("next"), "docs", F.lit(True).alias("node")).unionByName(edges.select("src", "line", "next", "docs", F.lit(False).alias("node")))
 
     def parts(g: pd.DataFrame) -> pd.DataFrame:
         sets = Disjoint()
         for a, b in zip(g["line"], g["next"], strict=True):
-            sets.join(str(a), str(a if pd.isna(b) else int(b)))
-        own = g[g["next"].isna()]
+            sets.join(str(a), str(b))
+        own = g[g["node"]]
         return pd.DataFrame({"src": own["src"], "line": own["line"], "block": [int(sets.find(str(a))) for a in own["line"]], "docs": own["docs"]})
 
     return graph.groupBy("src").applyInPandas(parts, "src long, line long, block long, docs long")
