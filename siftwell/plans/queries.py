@@ -16,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 ASKED = {1: "regional ledger inspection", 2: "vector index pressure límites", 3: "archived document schedule schedule"}
-VALUES = ", ".join(f"({k}, '{v}')" for k, v in ASKED.items())
+VALUES = ", ".join(f"({k}::BIGINT, '{v}')" for k, v in ASKED.items())
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
