@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from siftwell.llm.lookalike import fold
 from siftwell.session import filled
 
-MARKUP = re.compile(r"</?[a-zA-Z][^<>\n]{0,80}>|[^\w\s]|_")
+TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,80}>")
+MARKS = re.compile(r"[^\w\s]+|_+")
+ASCII_MARKS = bytes(k for k in range(33, 127) if not chr(k).isalnum())
 NOTHING = re.compile(r"[\W_]+")
 DENSE = re.compile(r"[぀-ヿ㐀-鿿]")
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -52,7 +54,11 @@ WORDS, CHARACTERS = Unit(20, 5), Unit(30, 7)
 
 
 def words(text: str) -> list[str]:
-    return MARKUP.sub("", fold(text).lower()).split()
+    t = fold(text).lower()
+    if "<" in t:
+        t = TAG.sub("", t)
+    t = t.encode().translate(None, ASCII_MARKS).decode() if t.isascii() else MARKS.sub("", t)
+    return t.split()
 
 
 def characters(text: str) -> str:
@@ -169,6 +175,19 @@ class Matcher:
         if DENSE.search(text):
             yield 1, self.codes(characters(text))
 
+    def batch(self, texts: Iterable[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each index, the numbers of several texts one after the other, where each begins, which each is, and the look-up: places and keys."""
+        own: list[list[tuple[int, np.ndarray]]] = [[], []]
+        for n, t in enumerate(texts):
+            for j, ids in self.ids(t):
+                own[j].append((n, ids))
+        gap = np.array([-2])  # no item has it, so no shingle crosses it
+        for j, parts in enumerate(own):
+            if parts:
+                every = np.concatenate([x for _, ids in parts for x in (ids, gap)])
+                starts = np.cumsum([0, *[len(ids) + 1 for _, ids in parts]])
+                yield (j, every, starts, np.array([n for n, _ in parts]), *self.indexes[j].look_up(every))
+
     def frequencies(self, docs: DataFrame, text: str) -> None:
         """Count the items' shingles over all documents and choose the prefixes; what is collected is bounded by the items."""
         shared = docs.sparkSession.sparkContext.broadcast(self)
@@ -177,9 +196,10 @@ class Matcher:
             own = shared.value
             total = [np.zeros(len(x.keys), "int64") for x in own.indexes]
             for b in batches:
-                for t in b["t"]:
-                    for j, ids in own.ids(t):
-                        total[j][np.unique(own.indexes[j].look_up(ids)[1])] += 1
+                for j, _, starts, _, at, k in own.batch(b["t"]):
+                    n = len(total[j])
+                    once = np.unique((np.searchsorted(starts, at, "right") - 1) * n + k)
+                    total[j] += np.bincount(once % n, minlength=n) if n else 0
             for j, n in enumerate(total):
                 k = np.flatnonzero(n)
                 yield pd.DataFrame({"j": np.full(len(k), j), "k": k, "n": n[k]})
@@ -198,11 +218,14 @@ class Matcher:
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own = shared.value
             for b in batches:
-                got = []
-                for d, t in zip(b["id"], b["t"], strict=True):
-                    for j, ids in own.ids(t):
-                        at, k = own.indexes[j].look_up(ids)
-                        got += [(d, i) for i in own.indexes[j].leaks(ids, at, k)]
+                got, ids = [], b["id"].to_numpy()
+                for j, every, starts, number, at, k in own.batch(b["t"]):
+                    index = own.indexes[j]
+                    lo, hi = np.searchsorted(at, starts[:-1]), np.searchsorted(at, starts[1:])
+                    for x in np.flatnonzero(hi - lo >= index.unit.shared):
+                        one = slice(lo[x], hi[x])
+                        found = index.leaks(every[starts[x] : starts[x + 1] - 1], at[one] - starts[x], k[one])
+                        got += [(ids[number[x]], i) for i in found]
                 yield pd.DataFrame(got, columns=["id", "item"])
 
         src = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("t")).dropna()

@@ -116,13 +116,13 @@ def classes() -> dict[str, list[str]]:
 
 
 def representatives(counts: Mapping[str, int]) -> dict[str, str]:
-    """Each class member's representative: the class's most frequent member, of ties the least string.
+    """Each class member's representative: the class's most frequent member, of ties the one in plain form, then the least.
 
     The class of the invisible characters is always written as the empty string.
     """
     out = {}
     for members in classes().values():
-        best = "" if "" in members else min(members, key=lambda m: (-counts.get(m, 0), len(m), m))
+        best = "" if "" in members else min(members, key=lambda m: (-counts.get(m, 0), ud.normalize("NFKC", m) != m, len(m), m))
         out |= {m: best for m in members if m != best}
     return out
 

@@ -269,7 +269,8 @@ def test_leaks_equal_brute_force(spark):
             for i, item in ix.items.items():
                 if any(ix.holds(ids, item, off) for off in range(-len(item), len(ids))):
                     brute.add((d, i))
-    assert got == brute and (100, 6) in got and len(got) > 5
+    assert got == brute
+    assert (100, 6) in got and len(got) > 5
     assert leakage.leaks(df.limit(0), "id", "text", spark.createDataFrame(items, "i long, t string"), "i", "t").collect() == []
     assert leakage.leaks(df, "id", "text", spark.createDataFrame([], "i long, t string"), "i", "t").collect() == []
 
