@@ -127,3 +127,16 @@ def build_graph(blocks: DataFrame, provider: Callable[[str], str], rounds: int =
     """Merged entities and relationships of blocks."""
     e, r = extract(blocks, provider, rounds)
     return merge_entities(e), merge_relationships(r)
+
+
+def entity_names(replies: DataFrame, key: str = "query_id", reply: str = "response") -> DataFrame:
+    """(key, name) of replies in the JSON form {"entities": [...]}; another reply names none."""
+    names = F.from_json(F.col(reply), "entities array<string>")["entities"]
+    return replies.select(key, F.explode(names).alias("name"))
+
+
+def query_entities(queries: DataFrame, provider: Callable[[str], str], vertices: DataFrame) -> DataFrame:
+    """Vertices that a model names for queries (query_id, text), by the line format."""
+    got = replies(queries, provider, "query_id", "text")
+    named = entities(got).select(F.lower("entity_name").alias("id")).distinct()
+    return vertices.join(named, "id", "left_semi")

@@ -104,3 +104,17 @@ def result_rows(entities: DataFrame, relationships: DataFrame) -> DataFrame:
 
 def stats(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.agg(F.count("*").alias("entities")).crossJoin(edges.agg(F.count("*").alias("relationships")))
+
+
+def between(edges: DataFrame, src: str | None = None, dst: str | None = None) -> DataFrame:
+    """Edges of a source, a target, or both, whatever the letter case."""
+    for end, name in (("src", src), ("dst", dst)):
+        if name is not None:
+            edges = edges.where(F.lower(end) == name.lower())
+    return edges
+
+
+def lookup(vertices: DataFrame, names: DataFrame) -> DataFrame:
+    """Vertices whose id or name is among names (name), each once."""
+    keys = names.select(F.lower("name").alias("_key")).distinct()
+    return vertices.join(keys, (F.lower("id") == F.col("_key")) | (F.lower("name") == F.col("_key")), "left_semi")

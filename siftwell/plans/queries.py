@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import geometry, scores, text
-from siftwell.operators import bm25, chunking, context, extraction, fusion, graph, layout, rerank, retrieval
+from siftwell.operators import bm25, chunking, context, extraction, fusion, graph, layout, render, rerank, retrieval
 from siftwell.session import table
 from siftwell.streaming import incremental
 
@@ -659,6 +659,87 @@ def longest_description(spark, sf):
     return extraction.upsert(rows, longest=True).select("name_key", "description")
 
 
+# --- rendering and look-ups -------------------------------------------------------------------------
+
+ONE_BLOCKS = "b AS (SELECT DISTINCT ON (id) doc_id AS doc, pos, id, type AS kind, content, metadata.layout_type AS lt, metadata.layoutno AS ln FROM content_blocks ORDER BY id)"
+_CLEAN = "regexp_replace(translate(coalesce(content, ''), chr(61618) || chr(61548) || chr(8226) || chr(8227) || chr(9702) || chr(8259) || chr(8729) || chr(61692) || chr(61557), repeat('•', 9)), '[\\x{200B}\\x{FEFF}]', '', 'g')"
+
+
+def hinted(spark, sf):
+    b = table(spark, sf, "content_blocks").select("id", F.col("doc_id").alias("doc"), "pos", F.col("type").alias("kind"), "content", "metadata").dropDuplicates(["id"])
+    return b.withColumn("level", render.layout_hint(F.col("metadata.layout_type"), F.col("metadata.layoutno"), F.col("content")).cast("int"))
+
+
+@query(f"WITH {ONE_BLOCKS} SELECT id, CASE WHEN regexp_matches(lower(lt), 'title|section|head|chapter') THEN ln WHEN lt IS NOT NULL AND length(content) >= 50 THEN 2 END::INT AS level FROM b")
+def layout_hints(spark, sf):
+    return hinted(spark, sf).select("id", "level")
+
+
+@query(f"""WITH {ONE_BLOCKS}, m AS (SELECT doc, pos, CASE WHEN kind = 'image' THEN '![' || regexp_replace({_CLEAN}, '^.*/', '') || '](' || {_CLEAN} || ')' WHEN kind = 'code' THEN '```' || chr(10) || {_CLEAN} || chr(10) || '```'
+  WHEN regexp_matches(lower(lt), 'title|section|head|chapter') AND ln BETWEEN 1 AND 6 THEN repeat('#', ln) || ' ' || {_CLEAN} ELSE {_CLEAN} END AS m FROM b WHERE kind <> 'table')
+SELECT doc, string_agg(m, chr(10) || chr(10) ORDER BY pos, m) AS markdown FROM m GROUP BY doc""")
+def document_markdown(spark, sf):
+    b = hinted(spark, sf).where("kind <> 'table'")
+    heading = F.lower("metadata.layout_type").rlike("title|section|head|chapter")
+    return render.document_markdown(b.withColumn("level", F.when(heading, F.col("level"))))
+
+
+@query(LINES + r""", h AS (SELECT doc, pos, line, CASE WHEN regexp_matches(line, '^#{1,6}\s+\S') THEN 'markdown' WHEN regexp_matches(line, '^\d+\.\s+\S') THEN 'numbered' WHEN regexp_matches(line, '^[A-Z][A-Z\s]{2,}$') THEN 'uppercase' END AS form FROM lines),
+f AS (SELECT doc, form, row_number() OVER (PARTITION BY doc ORDER BY min(pos)) AS o FROM h WHERE form IN ('numbered', 'uppercase') GROUP BY doc, form)
+SELECT h.doc, pos::BIGINT AS pos, CASE WHEN h.form = 'markdown' THEN length(regexp_extract(line, '^(#+)', 1)) ELSE o END::INT AS hint FROM h LEFT JOIN f USING (doc, form)""")
+def pattern_hints(spark, sf):
+    return render.pattern_hints(doc_lines(spark, sf)).select("doc", F.col("pos").cast("long").alias("pos"), "hint")
+
+
+@query(f"""WITH t AS (SELECT DISTINCT ON (id) * FROM text_blocks), z AS (SELECT t.doc_id AS doc, {_FORM} AS form, x0, x1, y0, y1, height, 595.0 AS width FROM t JOIN page_heights h USING (doc_id, page_num) WHERE y1 <= 0.1 * height OR y0 >= 0.9 * height)
+SELECT doc, form, round(0.7 * (1 - least(1.0, stddev_pop((y0 + y1) / 2 / height))) + 0.3 * (1 - least(1.0, stddev_pop((x0 + x1) / 2 / width))), 6) AS consistency, count(*) AS n FROM z GROUP BY ALL""")
+def margin_consistency(spark, sf):
+    h = table(spark, sf, "page_heights")
+    b = table(spark, sf, "text_blocks").dropDuplicates(["id"]).join(h, ["doc_id", "page_num"]).where("y1 <= 0.1 * height or y0 >= 0.9 * height")
+    b = b.select(F.col("doc_id").alias("doc"), text.margin_form(F.col("text")).alias("form"), "x0", "x1", "y0", "y1", "height", F.lit(595.0).alias("width"))
+    return render.place_consistency(b, ["doc", "form"]).select("doc", "form", r6(F.col("consistency")).alias("consistency"), "n")
+
+
+@query(EDGES + "SELECT src, dst, strength FROM e WHERE src = 's1' AND dst LIKE 'p%'")
+def relationship_filter(spark, sf):
+    return graph.between(edges(spark, sf), src="S1").select("src", "dst", "strength")
+
+
+@query("SELECT 'n' || n_nationkey AS id, n_name AS name FROM nation WHERE lower(n_name) IN (SELECT lower(n_name) FROM nation WHERE n_regionkey = 1) OR n_nationkey = 3")
+def entity_lookup(spark, sf):
+    n = table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("name"), "n_regionkey")
+    names = n.where("n_regionkey = 1").select(F.upper("name").alias("name")).union(spark.createDataFrame([("N3",)], "name string"))
+    return graph.lookup(n.select("id", "name"), names)
+
+
+@query("SELECT n_nationkey AS query_id, n_name AS name FROM nation UNION ALL SELECT n_nationkey, 'x' FROM nation")
+def entity_names_json(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("query_id"), F.to_json(F.struct(F.array("n_name", F.lit("x")).alias("entities"))).alias("response"))
+    broken = n.select("query_id", F.lit("no json").alias("response"))
+    return extraction.entity_names(n.union(broken))
+
+
+@query(f"WITH r AS (SELECT DISTINCT query_id, content AS text FROM retrieval_results WHERE content IS NOT NULL) SELECT query_id, count(DISTINCT {DETECT}) AS languages, count(DISTINCT {DETECT}) > 1 AS cross_lingual FROM r GROUP BY query_id")
+def result_languages(spark, sf):
+    r = table(spark, sf, "retrieval_results").where("content is not null").select("query_id", text.detect_language(F.col("content")).alias("lang"))
+    return r.groupBy("query_id").agg(F.countDistinct("lang").alias("languages"), (F.countDistinct("lang") > 1).alias("cross_lingual"))
+
+
+@query(EDGES + "SELECT (SELECT count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e)) AS entities, (SELECT count(*) FROM e) AS relationships")
+def graph_stats(spark, sf):
+    return graph.stats(vertices(spark, sf), edges(spark, sf))
+
+
+@query("SELECT DISTINCT id, CASE type WHEN 'image' THEN 'Image: ' || content WHEN 'table' THEN 'Table: ' || substring(content, 1, 500) WHEN 'code' THEN 'Code (' || len(list_filter(string_split(content, chr(10)), lambda s: trim(s) <> '')) || ' lines): ' || substring(content, 1, 200) ELSE content END AS description FROM content_blocks")
+def block_descriptions(spark, sf):
+    return table(spark, sf, "content_blocks").select("id", text.describe(F.col("type"), F.col("content")).alias("description")).distinct()
+
+
+@query("SELECT doc_id, replace(replace(replace(text, chr(92), chr(92) || chr(92)), chr(39), chr(92) || chr(39)), chr(10), ' ') AS escaped FROM documents")
+def escape_literal(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.escape_literal(F.col("text")).alias("escaped"))
+
+
 # --- extension --------------------------------------------------------------------------------------
 
 
