@@ -231,8 +231,11 @@ def read_block(text: str, reader: Reader, following: str | None, preceding: str
 
 
 def written_apart(apart: str, close: str, reader: Reader) -> bool:
-    """Whether a word cut at a hyphen is written with it."""
-    return reader.words.get(apart, 0) > reader.words.get(close, 0)
+    """Whether a word cut at a hyphen is written with it; a misread one as its mended form is."""
+    a, c = reader.words.get(apart, 0), reader.words.get(close, 0)
+    if a or c:
+        return a > c
+    return reader.mend(close) is None and reader.mend(apart) is not None
 
 
 def vocabulary(clean: DataFrame, text: str, share: float = 2e-6, least: int = 3) -> Reader:

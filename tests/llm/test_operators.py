@@ -195,6 +195,7 @@ def test_read_block():
     found, text = scans.read_block("The Sudolko |icence guides. The meclium labo‐\nratory measures the long-\nterm agreement. 8efore the con-\ntroller", reader(), None, None)
     assert found == [(0, "chars"), (0, "hyphen"), (2, "hyphen")] or found == [(0, "chars"), (0, "hyphen"), (2, "chars"), (2, "hyphen")]
     assert text == "The Sudolko licence guides. The medium laboratory measures the long-term agreement. Before the controller"
+    assert scans.read_block("the long-\n+erm agreement", reader(), None, None) == ([(1, "chars")], "the long-term agreement")
     assert scans.read_block("", reader(), None, None) == ([], "")
 
 
