@@ -199,6 +199,11 @@ def oracle_sql() -> dict[str, str]:
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, doc_id) AS k FROM points) WHERE k <= 3""",
         "p1_ranking": P1_SQL + "SELECT query_id, doc_id, points::DOUBLE AS points FROM points",
         "p5_found": "SELECT DISTINCT id FROM chunks WHERE length(text) // 4 > 512",
+        "p6_found": """WITH v AS (SELECT id, embeddings::DOUBLE[] AS e FROM (SELECT DISTINCT ON (id) id, embeddings FROM content_blocks WHERE len(embeddings) = 64)
+  WHERE len(list_filter(embeddings, lambda x: isfinite(x))) = 64 AND len(list_filter(embeddings, lambda x: x <> 0)) > 0),
+n AS (SELECT a.id, b.id AS other, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.id <> b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+k AS (SELECT id, other FROM n QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, other) <= 5)
+SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM k""",
         "p8_found": rf"""SELECT DISTINCT doc_id FROM documents WHERE len(regexp_extract_all(
   regexp_replace(text, '([{SINGLE_SQL}])', ' \1 ', 'g'), '[\p{{L}}\p{{N}}\p{{M}}]+|[^\s\p{{Z}}\p{{C}}]')) > 1024""",
     }
