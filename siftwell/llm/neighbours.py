@@ -4,8 +4,8 @@ A routing tree of vantage points, fitted on a bounded sample, assigns every vect
 vector is also sent, as a query, to each shard whose region its search ball may touch. A shard is
 searched by its own vantage-point tree. A subtree is pruned where the triangle inequality on angles
 rules it out, the ball's radius being multiplied by `relax` first: 1 is exact, less is faster and may
-miss neighbours that lie just behind a border. The radius is the angle of `at_least` or, without it,
-that of the k-th neighbour within the sample, which bounds the true one.
+miss neighbours that lie just behind a border. The radius is the angle of the k-th neighbour found in
+the vector's own shard, or of `at_least` if that is smaller.
 
 Equal vectors are one class, searched once and expanded at the end, so that masses of copies meet no
 shard. Vectors that are null, of another length, all zero or not finite have no neighbours and are
@@ -151,44 +151,62 @@ def search(df: DataFrame, reps: DataFrame, k: int, at_least: float | None, relax
     drawn = df.where(F.xxhash64("id") <= upto).dropDuplicates(["id"]).orderBy("id").toPandas()
     sample = unit(usable(drawn)[1]) if len(drawn) else np.zeros((0, 1), "float32")
     tree = Tree(sample, np.arange(len(sample)), 32, depth=max(0, math.ceil(math.log2(max(1, total) / shard))), tries=32)
-    shared = spark.sparkContext.broadcast((tree, sample if at_least is None else None))
+    shared = spark.sparkContext.broadcast(tree)
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, near = shared.value
-        number = {id(leaf): n for n, leaf in enumerate(tree.leaves())}
+    def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = {id(leaf): n for n, leaf in enumerate(shared.value.leaves())}
         for b in batches:
             ids, raw = usable(b)
-            if not len(ids):
-                continue
-            q, sent = unit(raw), np.array([x.tobytes() for x in raw], object)
-            if near is None:
-                floor = np.full(len(q), at_least, "float32")
-            else:  # the (k + 1)-th in the sample, which may hold the vector itself
-                cos = [q[i : i + 500] @ near.T for i in range(0, len(q), 500)] if len(near) > k else [np.full((len(q), 1), -1.0, "float32")]
-                floor = np.concatenate([np.partition(c, -min(k + 1, c.shape[1]), axis=1)[:, -min(k + 1, c.shape[1])] for c in cos])
             out: list[tuple[Tree, np.ndarray, np.ndarray]] = []
-            tree.route(q, np.arange(len(q)), relax * angle(floor), out, np.ones(len(q), bool))
-            for leaf, at, home in out:
-                yield pd.DataFrame({"shard": number[id(leaf)], "id": ids[at], "vec": sent[at], "home": home, "floor": floor[at]})
+            if len(ids):
+                shared.value.route(unit(raw), np.arange(len(ids)), np.full(len(ids), -10.0), out, np.ones(len(ids), bool))
+            sent = np.array([x.tobytes() for x in raw], object)
+            for leaf, at, _ in out:
+                yield pd.DataFrame({"shard": number[id(leaf)], "id": ids[at], "vec": sent[at]})
 
-    def inside(g: pd.DataFrame) -> pd.DataFrame:
+    def at_home(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("id", ignore_index=True)
-        q, home = unit(_matrix(g["vec"])), np.flatnonzero(g["home"])
+        q, every = unit(_matrix(g["vec"])), np.arange(len(g))
+        best = Best(every, k, np.full(len(g), -1.0 if at_least is None else at_least, "float32"))
+        Tree(q, every, LEAF).search(q, q, every, best, relax)
+        floor = np.maximum(best.floor, best.cos[:, -1])
+        others, sims = exact(g, best)
+        return g.assign(floor=floor, others=others, sims=sims)[["shard", "id", "vec", "floor", "others", "sims"]]
+
+    def exact(g: pd.DataFrame, best: Best) -> tuple[list, list]:
+        """The ids found for each row and their similarities in double precision."""
+        v, ids = _matrix(g["vec"]).astype("float64"), g["id"].to_numpy()
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        cos = np.einsum("ij,ikj->ik", v, v[best.row])
+        ok = (best.row >= 0) & (cos >= (-2 if at_least is None else at_least))
+        return [list(ids[r[m]]) for r, m in zip(best.row, ok, strict=True)], [[float(x) for x in c[m]] for c, m in zip(cos, ok, strict=True)]
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = {id(leaf): n for n, leaf in enumerate(shared.value.leaves())}
+        for b in batches:
+            q, floor = unit(_matrix(b["vec"])), b["floor"].to_numpy("float32")
+            out: list[tuple[Tree, np.ndarray, np.ndarray]] = []
+            shared.value.route(q, np.arange(len(q)), relax * angle(floor), out, np.ones(len(q), bool))
+            for leaf, at, own in out:
+                yield pd.DataFrame({"shard": number[id(leaf)], "id": b["id"].to_numpy()[at], "vec": b["vec"].to_numpy()[at], "home": own, "floor": floor[at]})
+
+    def abroad(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["home", "id"], ignore_index=True)
+        q, own = unit(_matrix(g["vec"])), g["home"].to_numpy()
         best = Best(np.arange(len(g)), k, g["floor"].to_numpy("float32"))
-        if len(home):
-            Tree(q, home, LEAF).search(q, q, np.arange(len(g)), best, relax)
-        ok = best.row >= 0
-        if at_least is not None:
-            ok &= best.cos >= at_least - 1e-6
-        a, b = np.repeat(np.arange(len(g)), ok.sum(axis=1)), best.row[ok]
-        x, y = _matrix(g["vec"])[a].astype("float64"), _matrix(g["vec"])[b].astype("float64")
-        exact = (x * y).sum(axis=1) / np.linalg.norm(x, axis=1) / np.linalg.norm(y, axis=1)
-        ids = g["id"].to_numpy()
-        got = pd.DataFrame({"id": ids[a], "other": ids[b], "similarity": exact}).astype({"id": object, "other": object})
-        return got if at_least is None else got[got["similarity"] >= at_least]
-
-    parts = reps.mapInPandas(filled(route), "shard long, id string, vec binary, home boolean, floor float")
-    found = parts.groupBy("shard").applyInPandas(inside, "id string, other string, similarity double")
+        if own.any() and not own.all():
+            Tree(q, np.flatnonzero(own), LEAF).search(q, q, np.flatnonzero(~own), best, relax)
+        others, sims = exact(g, best)
+        return pd.DataFrame({"id": g["id"], "others": others, "sims": sims})[~own]
+
+    # A vector is searched in its own shard first: where that holds k near ones, as in a mass of near-copies, its ball
+    # is small by the time it may visit others.
+    shards = reps.mapInPandas(filled(home), "shard long, id string, vec binary").groupBy("shard")
+    first = cut(shards.applyInPandas(at_home, "shard long, id string, vec binary, floor float, others array<string>, sims array<double>"))
+    visits = first.select("id", "vec", "floor").mapInPandas(filled(visit), "shard long, id string, vec binary, home boolean, floor float")
+    second = visits.groupBy("shard").applyInPandas(abroad, "id string, others array<string>, sims array<double>")
+    found = first.select("id", "others", "sims").unionByName(second)
+    found = found.select("id", F.explode(F.arrays_zip("others", "sims")).alias("x")).select("id", F.col("x.others").alias("other"), F.col("x.sims").alias("similarity"))
     w = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
     return found.select("*", F.row_number().over(w).alias("k")).where(F.col("k") <= k).drop("k")
 
