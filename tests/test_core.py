@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftwell import providers
 from siftwell.functions import geometry, scores, text
-from siftwell.operators import bm25, chunking, context, extraction, fusion, graph, layout, rerank, retrieval
+from siftwell.operators import bm25, chunking, context, extraction, fusion, graph, layout, render, rerank, retrieval
 from siftwell.plans.engine import Config, HybridEngine
 from siftwell.sources import readers, sinks
 from siftwell.streaming import incremental
@@ -152,6 +152,23 @@ def test_titles_and_context(spark):
     assert [[x.id for x in r.context] for r in w.orderBy("pos").collect()] == [["b1"], ["b3"], ["b1", "b3"], ["b1"], ["b3"]]
 
 
+def test_render(spark):
+    b = spark.createDataFrame([("d", 0, "text", "Title", 2), ("d", 1, "image", "figs/image1.png", None), ("d", 2, "text", "\uf06c Item one", None), ("d", 3, "table", "a | b\n1 | 2\n1 | 2\n3", None), ("d", 4, "code", "x", None), ("d", 5, "equation", "y", None)], "doc string, pos int, kind string, content string, level int")
+    want = ["## Title", "![image1.png](figs/image1.png)", "• Item one", "| a | b |\n| --- | --- |\n| 1 | 2 |\n| 3 |  |", "```\nx\n```", "$$y$$"]
+    assert render.document_markdown(b).first().markdown == "\n\n".join(want)
+    lines = spark.createDataFrame([("d", k, s) for k, s in enumerate(["ALL CAPS", "1. one", "## two", "2. three", "text"])], "doc string, pos int, line string")
+    assert [r.hint for r in render.pattern_hints(lines).orderBy("pos").collect()] == [1, 2, 2, 2, None]
+    q = spark.createDataFrame([("q", ["a", "b"])], "q string, c array<string>")
+    assert q.select(render.rerank_prompt(q.q, q.c)).first()[0].endswith("1. a\n2. b\nScores:")
+
+
+def test_lookups(spark):
+    e = spark.createDataFrame([("Ann", "bob", 1.0), ("bob", "Ann", 2.0)], "src string, dst string, strength double")
+    assert graph.between(e, "ANN").first().dst == "bob" and graph.between(e, dst="ann").first().src == "bob" and graph.between(e).count() == 2
+    r = spark.createDataFrame([(1, '{"entities": ["x", "y"]}'), (2, "no"), (3, None)], "query_id long, response string")
+    assert {tuple(x) for x in extraction.entity_names(r).collect()} == {(1, "x"), (1, "y")}
+
+
 # --- layout ---
 
 
