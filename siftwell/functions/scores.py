@@ -18,6 +18,14 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def dot(a: Column, b: Column) -> Column:
+    return _dot(a, b)
+
+
+def norm(v: Column) -> Column:
+    return F.sqrt(_dot(v, v))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity, 0 if either vector is all zero."""
     norm = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))

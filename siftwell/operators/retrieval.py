@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.functions.scores import clamp, cosine, cross_lingual
+from siftwell.functions.scores import clamp, cross_lingual, dot, norm
 
 MAX_QUERIES = 10_000
 
@@ -20,8 +20,10 @@ def score_all(items: DataFrame, queries: DataFrame, clamped: bool = True) -> Dat
     n = queries.limit(MAX_QUERIES + 1).count()
     if n > MAX_QUERIES:
         raise ValueError(f"more than {MAX_QUERIES} queries: search in blocks")
-    sim = cosine(F.col("query"), F.col("embedding"))
-    return items.crossJoin(F.broadcast(queries)).withColumn("similarity", clamp(sim) if clamped else sim).drop("query", "embedding")
+    # Lengths are taken once a vector, not once a pair.
+    pairs = items.withColumn("_n", norm(F.col("embedding"))).crossJoin(F.broadcast(queries.withColumn("_q", norm(F.col("query")))))
+    sim = F.when(F.col("_n") * F.col("_q") == 0, 0.0).otherwise(dot(F.col("query"), F.col("embedding")) / (F.col("_n") * F.col("_q")))
+    return pairs.withColumn("similarity", clamp(sim) if clamped else sim).drop("query", "embedding", "_n", "_q")
 
 
 def top(scored: DataFrame, score: str, item: str, k: int) -> DataFrame:
