@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.lookalike import fold
@@ -185,30 +185,33 @@ def fit(right: DataFrame, ident: str, text: str, label: str, partly: DataFrame |
     return train([*rows, *agreed])
 
 
-def segments(blocks: DataFrame, model: Backoff, ident: str, doc: str, text: str, label: str, letters: int = 20, apart: tuple[str, ...] = ("#", "data:")) -> DataFrame:
-    """(doc, id, para_no, letters, language, confidence, label) of each paragraph of enough letters, repeated rows once.
+def segments(blocks: DataFrame, model: Backoff, ident: str, doc: str, text: str, label: str, letters: int = 20, apart: tuple[str, ...] = ("#", "data:"), every: bool = False) -> DataFrame:
+    """(doc, id, para_no, letters, language, confidence, label, counts) of each paragraph that counts, repeated rows once.
 
-    Paragraphs that begin with one of `apart`, headings and data, are left out.
+    Paragraphs of few letters, or that begin with one of `apart`, headings and data, don't count; every: they come out too.
     """
     shared = blocks.sparkSession.sparkContext.broadcast((model.words, model.known, model.logp))
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Backoff(*shared.value)
         for b in batches:
-            at, no, text = [], [], []
+            at, no, text, body = [], [], [], []
             for k, t in enumerate(b["t"]):
                 for j, p in enumerate(BLANK.split(t)):
-                    if len(p) >= letters and not p.startswith(apart):
+                    whole = len(p) >= letters and not p.startswith(apart)
+                    if whole or every:
                         at.append(k)
                         no.append(j)
                         text.append(p)
+                        body.append(whole)
             langs, sure, size = own.label(text)
             got = b[["doc", "id", "label"]].iloc[at].reset_index(drop=True)
             got = got.assign(para_no=np.array(no, "int64"), letters=np.array(size, "int64"), language=langs, confidence=sure)
-            yield got.loc[got["letters"] >= letters, ["doc", "id", "para_no", "letters", "language", "confidence", "label"]]
+            got = got.assign(counts=np.array(body, "bool") & (got["letters"] >= letters))
+            yield got.loc[got["counts"] | every, ["doc", "id", "para_no", "letters", "language", "confidence", "label", "counts"]]
 
     src = blocks.select(F.col(doc).alias("doc"), F.col(ident).alias("id"), F.col(text).alias("t"), label_code(F.col(label)).alias("label")).dropna(subset=["id", "t"])
-    out = src.mapInPandas(filled(part), "doc string, id string, para_no long, letters long, language string, confidence double, label string")
+    out = src.mapInPandas(filled(part), "doc string, id string, para_no long, letters long, language string, confidence double, label string, counts boolean")
     return out.dropDuplicates(["id", "para_no"])
 
 
@@ -222,3 +225,12 @@ def document_languages(found: DataFrame) -> DataFrame:
     best = per.groupBy("doc").agg(F.sum("n").alias("paragraphs"), F.min(F.struct((-F.col("n")).alias("m"), "language", "c")).alias("b"))
     share = -F.col("b.m") / F.col("paragraphs")
     return best.select("doc", F.col("b.language").alias("language"), (share * F.col("b.c")).alias("confidence"), "paragraphs", (share > 0.5).alias("major"))
+
+
+def whole_languages(found: DataFrame, key: str) -> DataFrame:
+    """(item, language, confidence) of each value of key, block or document, any paragraph of which has a language.
+
+    The paragraphs that count decide; those that don't only where there are no others.
+    """
+    rows = found.where("language is not null").withColumn("most", F.max("counts").over(Window.partitionBy(key)))
+    return document_languages(rows.where("counts = most").withColumn("doc", F.col(key))).select(F.col("doc").alias("item"), "language", "confidence")

@@ -112,11 +112,24 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_labels(spark: SparkSession, sf: str) -> DataFrame:
-    """(item, para_no, language, confidence): every paragraph (from 0) and every file (-1)."""
-    found = _segments(spark, sf)
-    files = language.document_languages(found)
-    a = found.select(F.col("id").alias("item"), "para_no", "language", "confidence")
-    return a.unionByName(files.select(F.col("doc").alias("item"), F.lit(-1).cast("long").alias("para_no"), "language", "confidence"))
+    """(item, para_no, language, confidence): every paragraph (from 0) of a text block, and every block of any type and every file (-1).
+
+    What holds no letters has a null language and confidence 0.
+    """
+    blocks, files = table(spark, sf, "content_blocks"), table(spark, sf, "parsed_files")
+    return _labels(blocks, files, language.fit(table(spark, sf, "documents"), "doc_id", "text", "lang", _text_blocks(spark, sf)))
+
+
+def _labels(blocks: DataFrame, files: DataFrame, model: language.Backoff) -> DataFrame:
+    names = ("id", "doc_id", "content", "language")
+    texts = language.segments(blocks.where("type = 'text'"), model, *names, every=True).withColumn("is_text", F.lit(True))
+    other = language.segments(blocks.where("not (type <=> 'text')"), model, *names, every=True).withColumns({"is_text": F.lit(False), "counts": F.lit(False)})
+    found = cut(texts.unionByName(other))
+    paras = found.where("is_text").select(F.col("id").alias("item"), "para_no", "language", "confidence")
+    items = blocks.select(F.col("id").alias("item")).union(blocks.select("doc_id")).union(files.select("id")).dropna().distinct()
+    whole = language.whole_languages(found, "id").union(language.whole_languages(found, "doc"))
+    rows = items.join(whole, "item", "left").select("item", F.lit(-1).cast("long").alias("para_no"), "language", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    return paras.unionByName(rows)
 
 
 def _pieces(spark: SparkSession, sf: str) -> DataFrame:

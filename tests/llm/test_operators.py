@@ -122,6 +122,19 @@ def test_language(spark):
     assert language.segments(df.limit(0), model, "id", "doc", "text", "lang").collect() == []
 
 
+def test_every_label(spark):
+    from siftwell.llm import queries
+
+    model = language.train([(t, x) for x, t in TEXTS.items() for _ in range(4)])
+    data = [("1", "d", "text", TEXTS["fr"] + "\n\n# " + TEXTS["de"] + "\n\n12 34\n\nthe report", "en"), ("2", "d", "table", TEXTS["es"] + "\n\n1 | 2", None), ("3", "d", "text", None, "en"), ("4", "e", "text", "der Bericht", "de"), ("5", "g", "image", "", None)]
+    blocks = spark.createDataFrame([*data, data[0], data[2]], "id string, doc_id string, type string, content string, language string")
+    files = spark.createDataFrame([("d",), ("e",), ("f",)], "id string")
+    got = queries._labels(blocks, files, model).collect()
+    want = {("1", 0): "fr", ("1", 1): "de", ("1", 2): None, ("1", 3): "en", ("4", 0): "de", ("1", -1): "fr", ("2", -1): "es", ("3", -1): None, ("4", -1): "de", ("5", -1): None, ("d", -1): "fr", ("e", -1): "de", ("f", -1): None, ("g", -1): None}
+    assert {(r.item, r.para_no): r.language for r in got} == want and len(got) == len(want)
+    assert all((r.confidence == 0) == (r.language is None) for r in got)
+
+
 def test_labels(spark):
     df = spark.createDataFrame([("en-US",), ("German",), (" zh-Hans",), ("und",), ("",), (None,)], "x string")
     assert [r[0] for r in df.select(language.label_code(df.x)).collect()] == ["en", "de", "zh", None, None, None]
