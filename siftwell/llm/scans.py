@@ -336,21 +336,25 @@ def faults(blocks: DataFrame, heights: DataFrame, content: DataFrame) -> DataFra
 def paragraphs(blocks: DataFrame, heights: DataFrame, content: DataFrame) -> DataFrame:
     """(doc_id, para_no, text): each file's body, mended, in continuous paragraphs.
 
-    A paragraph that doesn't end at a page's end goes on with the next page's first block. Paragraphs are
-    numbered by counts of pages, so that no file is gathered in one task.
+    A paragraph that doesn't end at a page's end goes on with the next page's first block of prose; a block
+    of numbers in the body is a paragraph of its own, after the one it stands in. Paragraphs are numbered by
+    counts of pages, so that no file is gathered in one task.
     """
-    b = read(blocks, heights, content).where("prose").select("doc", "page", "nth", "text", "mended", "is_first", "is_last")
+    b = read(blocks, heights, content).where(~F.col("margin") & F.col("text").rlike(r"\S")).select("doc", "page", "nth", "prose", "text", "mended", "is_first", "is_last")
     open_end = b.where("is_last").select("doc", (F.col("page") + 1).alias("page"), (~F.trim("text").rlike(END.pattern)).alias("goes_on"), F.regexp_extract("text", r"(\S*)\s*$", 1).rlike(HYPHEN.pattern).alias("cut"))
     b = b.join(open_end, ["doc", "page"], "left")
     starts = F.when(F.col("is_first") & F.coalesce("goes_on", F.lit(False)), 0).otherwise(1)
-    b = b.withColumn("starts", starts)
-    within = F.sum("starts").over(Window.partitionBy("doc", "page").orderBy("nth"))
-    sums = b.groupBy("doc", "page").agg(F.sum("starts").alias("s"))
-    before = F.sum("s").over(Window.partitionBy("doc").orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select("doc", "page", F.coalesce(before, F.lit(0)).alias("before"))
-    b = b.withColumn("within", within).join(sums, ["doc", "page"]).withColumn("para_no", F.col("before") + F.col("within") - 1)
+    b = b.withColumn("starts", starts).withColumn("opens", F.when(F.col("prose"), starts).otherwise(0))
+    order = Window.partitionBy("doc", "page").orderBy("nth")
+    pages = Window.partitionBy("doc").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    sums = b.groupBy("doc", "page").agg(F.sum("starts").alias("s"), F.sum("opens").alias("o"))
+    sums = sums.select("doc", "page", *[F.coalesce(F.sum(c).over(pages), F.lit(0)).alias("before_" + c) for c in ("s", "o")])
+    b = b.withColumns({"nth_start": F.sum("starts").over(order), "nth_open": F.sum("opens").over(order)}).join(sums, ["doc", "page"])
+    # What goes on belongs to the last paragraph of prose begun before it, whatever numbers stand between.
+    b = b.withColumn("no", F.col("before_s") + F.col("nth_start") - 1)
+    b = b.withColumn("of", F.when(F.col("prose"), F.col("before_o") + F.col("nth_open"))).withColumn("own", F.when(~F.col("prose"), F.col("no")))
     # The first token of a page that ends a word of the page before stands there already.
     text = F.when(F.col("is_first") & F.coalesce("cut", F.lit(False)), F.regexp_replace("mended", r"^\s*\S+\s*", "")).otherwise(F.col("mended"))
-    rows = b.select("doc", "para_no", F.struct("page", "nth", text.alias("t")).alias("x"))
-    out = rows.groupBy("doc", "para_no").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    rows = b.select("doc", "of", "own", "no", F.struct("page", "nth", text.alias("t")).alias("x"))
+    out = rows.groupBy("doc", "of", "own").agg(F.min("no").alias("para_no"), F.sort_array(F.collect_list("x")).alias("x"))
     return out.select(F.col("doc").alias("doc_id"), "para_no", F.array_join(F.transform("x", lambda s: s["t"]), " ").alias("text"))

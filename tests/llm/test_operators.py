@@ -224,6 +224,15 @@ def test_scans(spark):
     assert scans.faults(b.limit(0), h, content).collect() == []
 
 
+def test_numbers_in_the_body_stay(spark):
+    content = spark.createDataFrame([("c", "x", 0, 0, "text", "the laboratory measures the monitor. " * 30, ("body",))], "id string, doc_id string, pos int, page_num int, type string, content string, metadata struct<layout_type string>")
+    blocks = [("a", 0, "17215", 101.0), ("b", 0, "the monitor measures the labo-", 200.0), ("c", 0, "12.5", 300.0), ("d", 0, "7", 790.0), ("e", 1, "3,000", 101.0), ("f", 1, "ratory works.", 200.0), ("g", 1, "the monitor.", 250.0), ("h", 1, " ", 300.0), ("i", 2, "2 | 4", 200.0), ("j", 3, "the laboratory measures", 200.0), ("k", 4, "the monitor", 200.0), ("l", 4, "8", 300.0), ("m", 5, "before.", 200.0)]
+    b = spark.createDataFrame([(i, "d", p, t, y, y + 8) for i, p, t, y in blocks], "id string, doc_id string, page_num int, text string, y0 double, y1 double")
+    h = spark.createDataFrame([("d", p, 842.0) for p in range(6)], "doc_id string, page_num int, height double")
+    want = ["17215", "the monitor measures the laboratory works.", "12.5", "3,000", "the monitor.", "2 | 4", "the laboratory measures the monitor before.", "8"]
+    assert rows(scans.paragraphs(b, h, content)) == [("d", k, t) for k, t in enumerate(want)]
+
+
 # --- 8: packing ---
 
 
