@@ -679,7 +679,16 @@ def layout_hints(spark, sf):
   WHEN regexp_matches(lower(lt), 'title|section|head|chapter') AND ln BETWEEN 1 AND 6 THEN repeat('#', ln) || ' ' || {_CLEAN} ELSE {_CLEAN} END AS m FROM b WHERE kind <> 'table')
 SELECT doc, string_agg(m, chr(10) || chr(10) ORDER BY pos, m) AS markdown FROM m GROUP BY doc""")
 def document_markdown(spark, sf):
-    b = hinted(spark, sf).where("kind <> 'table'")
+    return as_markdown(hinted(spark, sf).where("kind <> 'table'"))
+
+
+@query()
+def document_markdown_whole(spark, sf):
+    """Blocks of every kind; document_markdown and its SQL leave tables out. Without SQL, tested on a fixture."""
+    return as_markdown(hinted(spark, sf))
+
+
+def as_markdown(b: DataFrame) -> DataFrame:
     heading = F.lower("metadata.layout_type").rlike("title|section|head|chapter")
     return render.document_markdown(b.withColumn("level", F.when(heading, F.col("level"))))
 

@@ -162,6 +162,15 @@ def test_render(spark):
     assert q.select(render.rerank_prompt(q.q, q.c)).first()[0].endswith("1. a\n2. b\nScores:")
 
 
+def test_markdown_of_every_kind(spark, tmp_path):
+    from siftwell.plans import queries as q
+
+    data = [("1", "d", 0, "text", "Title", ("title", 2)), ("2", "d", 1, "table", "a | b\n1 | 2", None), ("2", "d", 1, "table", "a | b\n1 | 2", None), ("3", "d", 2, "code", "x", None), ("4", "e", 0, "table", "p,q", None)]
+    spark.createDataFrame(data, "id string, doc_id string, pos int, type string, content string, metadata struct<layout_type string, layoutno int>").write.parquet(str(tmp_path / "content_blocks.parquet"))
+    got = {r.doc: r.markdown for r in q.queries()["document_markdown_whole"](spark, str(tmp_path)).collect()}
+    assert got == {"d": "## Title\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\n```\nx\n```", "e": "| p | q |\n| --- | --- |"}
+
+
 def test_lookups(spark):
     e = spark.createDataFrame([("Ann", "bob", 1.0), ("bob", "Ann", 2.0)], "src string, dst string, strength double")
     assert graph.between(e, "ANN").first().dst == "bob" and graph.between(e, dst="ann").first().src == "bob" and graph.between(e).count() == 2
