@@ -523,7 +523,16 @@ _S = "((b.x1 - b.x0) * (b.y1 - b.y0))"
 SELECT a.id AS id_a, b.id AS id_b, round({_A} / ({_R} + {_S} - {_A}), 6) AS iou, round(greatest({_A} / {_R}, {_A} / {_S}), 6) AS most, round(sqrt(((a.x0 + a.x1 - b.x0 - b.x1) / 2) ** 2 + ((a.y0 + a.y1 - b.y0 - b.y1) / 2) ** 2), 6) AS apart
 FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.page_num = a.page_num + 1 AND a.y0 < 100 AND b.y0 < 100""")
 def box_overlaps(spark, sf):
-    t = table(spark, sf, "text_blocks").dropDuplicates(["id"]).where("y0 < 100")
+    return overlaps(table(spark, sf, "text_blocks").dropDuplicates(["id"]).where("y0 < 100"))
+
+
+@query(SQL["box_overlaps"].removesuffix(" AND a.y0 < 100 AND b.y0 < 100"))
+def box_overlaps_whole(spark, sf):
+    """All blocks of consecutive pages; box_overlaps and its SQL take those near the top alone."""
+    return overlaps(table(spark, sf, "text_blocks").dropDuplicates(["id"]))
+
+
+def overlaps(t: DataFrame) -> DataFrame:
     a = t.select(F.col("id").alias("id_a"), "doc_id", (F.col("page_num") + 1).alias("page"), layout.box().alias("a"))
     b = t.select(F.col("id").alias("id_b"), "doc_id", F.col("page_num").alias("page"), layout.box().alias("b"))
     x, y = F.col("a"), F.col("b")

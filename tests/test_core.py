@@ -188,6 +188,19 @@ def test_running_text(spark):
     assert {r.id for r in layout.running_text(b, h).collect()} == {"0", "2", "3", "5"}
 
 
+def test_overlaps_of_whole_pages(spark, tmp_path):
+    from siftwell.plans import queries as q
+
+    data = [("top", 0, 0.0, 10.0), ("foot", 0, 800.0, 810.0), ("next", 1, 800.0, 810.0), ("next", 1, 800.0, 810.0), ("far", 3, 800.0, 810.0)]
+    t = spark.createDataFrame([(i, "d", p, 0.0, y0, 10.0, y1) for i, p, y0, y1 in data], "id string, doc_id string, page_num int, x0 double, y0 double, x1 double, y1 double")
+    t.write.parquet(str(tmp_path / "text_blocks.parquet"))
+    got = {tuple(r) for r in q.queries()["box_overlaps_whole"](spark, str(tmp_path)).collect()}
+    assert got == {("foot", "next", 1.0, 1.0, 0.0), ("top", "next", 0.0, 0.0, 800.0)}
+    con = duckdb.connect()
+    con.execute(f"create view text_blocks as select * from '{tmp_path}/text_blocks.parquet/*.parquet'")
+    assert set(con.sql(q.oracle_sql()["box_overlaps_whole"]).fetchall()) == got
+
+
 def test_images(spark):
     i = spark.createDataFrame([("logo1", "d", 0, (467.4, 26.8, 522.96, 47.2)), ("logo2", "d", 1, (467.4, 26.8, 522.96, 47.2)), ("fig", "d", 1, (80.0, 260.0, 420.0, 520.0))], "id string, doc string, page int, box struct<x0: double, y0: double, x1: double, y1: double>")
     h = spark.createDataFrame([("d", 0, 800.0), ("d", 1, 800.0)], "doc string, page int, height double")
