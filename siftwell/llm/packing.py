@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 #: Characters that are tokens by themselves; Java regular expressions.
 SINGLE = r"\p{IsHan}\p{IsHangul}\u3040-\u30FF\u31F0-\u31FF\uFF66-\uFF9F"
-#: Token: a Han, kana or Hangul character, else a run of letters and digits, else another visible character.
-TOKEN = rf"[{SINGLE}]|[\p{{L}}\p{{N}}\p{{M}}&&[^{SINGLE}]]+|[^\s\p{{Z}}\p{{C}}]"
+#: Token: a Han, kana or Hangul character, else a run of letters and digits, else another visible character,
+#: private-use ones, which fonts draw as bullets and symbols, among them.
+TOKEN = rf"[{SINGLE}]|[\p{{L}}\p{{N}}\p{{M}}&&[^{SINGLE}]]+|[^\s\p{{Z}}\p{{Cc}}\p{{Cf}}\p{{Cs}}\p{{Cn}}]"
 
 
 def token_count(text: Column) -> Column:

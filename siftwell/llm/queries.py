@@ -218,5 +218,5 @@ n AS (SELECT a.id, b.id AS other, list_cosine_similarity(a.e, b.e) AS s FROM v a
 k AS (SELECT id, other FROM n QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, other) <= 5)
 SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM k""",
         "p8_found": rf"""SELECT DISTINCT doc_id FROM documents WHERE len(regexp_extract_all(
-  regexp_replace(text, '([{SINGLE_SQL}])', ' \1 ', 'g'), '[\p{{L}}\p{{N}}\p{{M}}]+|[^\s\p{{Z}}\p{{C}}]')) > 1024""",
+  regexp_replace(text, '([{SINGLE_SQL}])', ' \1 ', 'g'), '[\p{{L}}\p{{N}}\p{{M}}]+|[^\s\p{{Z}}\p{{Cc}}\p{{Cf}}\p{{Cs}}]')) > 1024""",
     }

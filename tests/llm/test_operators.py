@@ -262,8 +262,8 @@ def test_fill(spark):
 
 
 def test_tokens(spark):
-    df = spark.createDataFrame([("Hello, wörld 12!",), ("中文abc ー한",), ("",), (None,)], "t string")
-    assert [r[0] for r in df.select(packing.token_count(df.t)).collect()] == [5, 5, 0, None]
+    df = spark.createDataFrame([("Hello, wörld 12!",), ("中文abc ー한",), ("",), (None,), ("\uf06c one \u200btwo\x07",)], "t string")
+    assert [r[0] for r in df.select(packing.token_count(df.t)).collect()] == [5, 5, 0, None, 3]
 
 
 # --- 9: leakage ---
