@@ -59,7 +59,8 @@ def pieces(text: str, limit: int = 512, overlap: int = 64) -> list[str]:
     if len(text) // CHARS_PER_TOKEN <= limit:
         return [text] if text else []
     shared = overlap * CHARS_PER_TOKEN
-    room = limit * CHARS_PER_TOKEN + CHARS_PER_TOKEN - 1 - shared
+    full = limit * CHARS_PER_TOKEN + CHARS_PER_TOKEN - 1
+    room = full - shared  # the first piece has no shared beginning and may be full
     segs = atoms(text, room)
     n = len(segs)
     size = [len(s) for s in segs]
@@ -71,7 +72,7 @@ def pieces(text: str, limit: int = 512, overlap: int = 64) -> list[str]:
     while heap:
         _, both, i, si, sj = heapq.heappop(heap)
         j = after[i] if alive[i] else n
-        if j >= n or stamp[i] != si or stamp[j] != sj or both > room:
+        if j >= n or stamp[i] != si or stamp[j] != sj or both > (room if i else full):
             continue
         size[i], level[i], after[i], alive[j] = both, level[j], after[j], False
         stamp[i] += 1
