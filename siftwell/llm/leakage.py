@@ -1,28 +1,36 @@
 """Evaluation texts leaking into training text: a prefix-filtered set join.
 
 A document holds a passage if some run of at least `least` successive words of the item (characters
-for scripts without spaces) stands in it with at most one in ten changed. Such a run of exactly
-`least` shares a known number of shingles with the item, so at least one of its rarest shingles, the
-prefix, must be shared. Items' shingles are counted over all documents; documents are joined on the
-prefixes; candidates must reach the number of shared shingles at one offset (the positional bound)
-and are verified word by word. Case, punctuation, spacing, markup and look-alike or invisible
-characters don't matter. Null texts and items leak nothing; repeated rows count once.
+for scripts without spaces) stands in it with at most one in ten changed. Such a run has a number of
+shingles in common with the item within the length of a least run, so at least one of that run's
+rarest shingles, its prefix, is among them.
+
+One pass over the documents counts the items' shingles and keeps, of each document, the windows in
+which enough of them stand close together, an item's length around; what may be an item's shingle is
+told by a bit filter of bounded size. Prefixes are chosen by the counts over all documents and joined
+with the windows' shingles; what they give, item and offset, is bounded by length and verified word by
+word. Neither items nor documents are collected, and any number of items takes the one pass.
+
+Case, punctuation, spacing, markup and look-alike or invisible characters don't matter. A first line
+that several items begin with is an instruction and not part of them. Null texts and items leak
+nothing; repeated rows count once.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.lookalike import fold
-from siftwell.session import filled
+from siftwell.session import cut, filled
 
 TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,80}>")
 MARKS = re.compile(r"[^\w\s]+|_+")
@@ -30,6 +38,10 @@ ASCII_MARKS = bytes(k for k in range(33, 127) if not chr(k).isalnum())
 NOTHING = re.compile(r"[\W_]+")
 DENSE = re.compile(r"[぀-ヿ㐀-鿿]")
 BASE = np.uint64(0x9E3779B97F4A7C15)
+PROBES = 4
+BITS_A_KEY, MOST_BITS = 64, 27
+SALT = 8
+SCANNED = "key long, n long, id long, unit int, first long, ids binary, at array<int>, keys array<long>"
 
 
 @dataclass(frozen=True)
@@ -40,17 +52,24 @@ class Unit:
     width: int
     tolerance: int = 10
 
+    @property
+    def span(self) -> int:
+        """Shingles of a run of the least length."""
+        return self.least - self.width + 1
+
     @property
     def shared(self) -> int:
         """Shingles that a run of the least length keeps when it is changed as much as is allowed."""
-        return self.least - self.width + 1 - self.width * (self.least // self.tolerance)
+        return self.span - self.width * (self.least // self.tolerance)
 
     @property
     def prefix(self) -> int:
-        return self.least - self.width + 1 - self.shared + 1
+        """Of a least run's shingles, the rarest so many; those shared can't all be others."""
+        return self.span - self.shared + 1
 
 
 WORDS, CHARACTERS = Unit(20, 5), Unit(30, 7)
+UNITS = (WORDS, CHARACTERS)
 
 
 def words(text: str) -> list[str]:
@@ -65,185 +84,221 @@ def characters(text: str) -> str:
     return NOTHING.sub("", fold(text).lower())
 
 
-def shingle_keys(ids: np.ndarray, width: int) -> np.ndarray:
-    """A key for each window of width ids."""
-    if len(ids) < width:
-        return np.zeros(0, "uint64")
-    key = np.zeros(len(ids) - width + 1, "uint64")
+class Numbers:
+    """Texts as 32-bit numbers, of words by hash and of characters by code point."""
+
+    def __init__(self) -> None:
+        self.seen: dict[str, int] = {}
+
+    def __call__(self, unit: int, text: str) -> np.ndarray:
+        if unit:
+            return np.frombuffer(characters(text).encode("utf-32-le", "surrogatepass"), "<u4")
+        seen, own = self.seen, words(text)
+        if len(seen) > 1_000_000:
+            seen.clear()
+        return np.array([n if (n := seen.get(w)) is not None else seen.setdefault(w, xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass"))) for w in own], "<u4")
+
+
+def unit_of(text: str) -> int:
+    """The kind an item is compared by: 1, characters, if most of it is of scripts without spaces."""
+    return int(len(DENSE.findall(text)) * 2 > len(characters(text)))
+
+
+def shingle_keys(unit: int, ids: np.ndarray) -> np.ndarray:
+    """A key for each window of the unit's width."""
+    width = UNITS[unit].width
+    n = max(0, len(ids) - width + 1)
+    key = np.full(n, unit, "uint64")
     for k in range(width):
-        key = (key ^ (key >> np.uint64(29))) * BASE + ids[k : len(ids) - width + 1 + k].astype("uint64")
-    return key
-
-
-class Index:
-    """The items' shingles of one unit, sorted by key, with the places where they stand."""
-
-    def __init__(self, unit: Unit, items: dict[int, np.ndarray]) -> None:
-        self.unit, self.items = unit, items
-        keys, item, pos = [], [], []
-        for i, ids in items.items():
-            k = shingle_keys(ids, unit.width)
-            keys.append(k)
-            item.append(np.full(len(k), i))
-            pos.append(np.arange(len(k)))
-        cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        self.keys, self.place = np.unique(cat(keys, "uint64"), return_inverse=True)
-        self.item, self.pos = cat(item, "int64").astype("int64"), cat(pos, "int64").astype("int64")
-        order = np.argsort(self.place, kind="stable")
-        self.by_key = order
-        self.starts = np.searchsorted(self.place[order], np.arange(len(self.keys) + 1))
-        self.is_prefix = np.ones(len(self.keys), bool)
-
-    def rarest(self, df: np.ndarray) -> None:
-        """Keep as prefixes, of every least run of every item, the shingles of least document frequency."""
-        self.is_prefix = np.zeros(len(self.keys), bool)
-        span = self.unit.least - self.unit.width + 1
-        at = 0
-        for ids in self.items.values():
-            n = max(0, len(ids) - self.unit.width + 1)
-            own = self.place[at : at + n]
-            at += n
-            for k in range(n - span + 1):
-                run = own[k : k + span]
-                self.is_prefix[run[np.lexsort((run, df[run]))[: self.unit.prefix]]] = True
-
-    def look_up(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the windows of ids are shingles of an item: their places and key numbers."""
-        keys = shingle_keys(ids, self.unit.width)
-        if not len(keys) or not len(self.keys):
-            return np.zeros(0, "int64"), np.zeros(0, "int64")
-        k = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        at = np.flatnonzero(self.keys[k] == keys)
-        return at, k[at]
-
-    def leaks(self, ids: np.ndarray, at: np.ndarray, k: np.ndarray) -> set[int]:
-        """Items of which a run stands in a text; at, k: its look-up."""
-        if not self.is_prefix[k].any() or len(at) < self.unit.shared:
-            return set()
-        n = self.starts[k + 1] - self.starts[k]
-        rows = self.by_key[np.repeat(self.starts[k] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        item, offset = self.item[rows], np.repeat(at, n) - self.pos[rows]
-        prefix = np.repeat(self.is_prefix[k], n)
-        pairs, which, count = np.unique(np.stack([item, offset]), axis=1, return_inverse=True, return_counts=True)
-        enough = count >= self.unit.shared
-        enough &= np.bincount(which.ravel(), weights=prefix, minlength=len(count)) > 0
-        out: set[int] = set()
-        for i, off in pairs[:, enough].T:
-            if int(i) not in out and self.holds(ids, self.items[int(i)], int(off)):
-                out.add(int(i))
-        return out
-
-    def holds(self, ids: np.ndarray, item: np.ndarray, offset: int) -> bool:
-        """Whether, the item laid at an offset, some run of the least length or more has few enough changes."""
-        lo, hi = max(0, -offset), min(len(item), len(ids) - offset)
-        least = self.unit.least
-        if hi - lo < least:
-            return False
-        changed = item[lo:hi] != ids[lo + offset : hi + offset]
-        good = np.concatenate([[0], np.cumsum(1 - self.unit.tolerance * changed.astype("int64"))])
-        return bool((good[least:] >= np.minimum.accumulate(good)[: len(good) - least]).any())
-
-
-def without_instructions(texts: Iterable[str], often: int = 3) -> list[str]:
-    """The texts without a first line that several of them begin with."""
-    texts = list(texts)
-    first = Counter(t.split("\n", 1)[0] for t in texts if "\n" in t)
-    return [t.split("\n", 1)[1] if "\n" in t and first[t.split("\n", 1)[0]] >= often else t for t in texts]
-
-
-class Matcher:
-    """Both indexes, and the numbering of the items' words."""
-
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.vocabulary: dict[str, int] = {}
-        of_words, of_chars = {}, {}
-        for (i, _), t in zip(items, without_instructions(t for _, t in items), strict=True):
-            if len(DENSE.findall(t)) * 2 > len(characters(t)):
-                of_chars[i] = self.codes(characters(t))
-            else:
-                of_words[i] = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(t)], "int64")
-        self.indexes = [Index(WORDS, of_words), Index(CHARACTERS, of_chars)]
+        key = (key ^ (key >> np.uint64(29))) * BASE + ids[k : n + k].astype("uint64")
+    return key ^ (key >> np.uint64(32))
+
+
+class Filter:
+    """Bits of keys: a key that was put in always passes, another seldom; one that is too full costs time only."""
+
+    def __init__(self, bits: int, slots: np.ndarray) -> None:
+        self.bits, self.slots = bits, slots
 
     @staticmethod
-    def codes(text: str) -> np.ndarray:
-        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype("int64")
-
-    def ids(self, text: str) -> Iterator[tuple[int, np.ndarray]]:
-        """The text as numbers, for each index it may have a passage of."""
-        get = self.vocabulary.get
-        yield 0, np.array([get(w, -1) for w in words(text)], "int64")
-        if DENSE.search(text):
-            yield 1, self.codes(characters(text))
-
-    def batch(self, texts: Iterable[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each index, the numbers of several texts one after the other, where each begins, which each is, and the look-up: places and keys."""
-        own: list[list[tuple[int, np.ndarray]]] = [[], []]
-        for n, t in enumerate(texts):
-            for j, ids in self.ids(t):
-                own[j].append((n, ids))
-        gap = np.array([-2])  # no item has it, so no shingle crosses it
-        for j, parts in enumerate(own):
-            if parts:
-                every = np.concatenate([x for _, ids in parts for x in (ids, gap)])
-                starts = np.cumsum([0, *[len(ids) + 1 for _, ids in parts]])
-                yield (j, every, starts, np.array([n for n, _ in parts]), *self.indexes[j].look_up(every))
-
-    def frequencies(self, docs: DataFrame, text: str) -> None:
-        """Count the items' shingles over all documents and choose the prefixes; what is collected is bounded by the items."""
-        shared = docs.sparkSession.sparkContext.broadcast(self)
-
-        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            own = shared.value
-            total = [np.zeros(len(x.keys), "int64") for x in own.indexes]
-            for b in batches:
-                for j, _, starts, _, at, k in own.batch(b["t"]):
-                    n = len(total[j])
-                    once = np.unique((np.searchsorted(starts, at, "right") - 1) * n + k)
-                    total[j] += np.bincount(once % n, minlength=n) if n else 0
-            for j, n in enumerate(total):
-                k = np.flatnonzero(n)
-                yield pd.DataFrame({"j": np.full(len(k), j), "k": k, "n": n[k]})
-
-        got = docs.select(F.col(text).alias("t")).dropna().mapInPandas(filled(part), "j long, k long, n long").groupBy("j", "k").agg(F.sum("n").alias("n"))
-        df = [np.zeros(len(x.keys), "int64") for x in self.indexes]
-        for r in got.collect():
-            df[r.j][r.k] = r.n
-        shared.unpersist()
-        for x, n in zip(self.indexes, df, strict=True):
-            x.rarest(n)
-
-    def find(self, docs: DataFrame, ident: str, text: str) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(self)
-
-        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            own = shared.value
-            for b in batches:
-                got, ids = [], b["id"].to_numpy()
-                for j, every, starts, number, at, k in own.batch(b["t"]):
-                    index = own.indexes[j]
-                    lo, hi = np.searchsorted(at, starts[:-1]), np.searchsorted(at, starts[1:])
-                    for x in np.flatnonzero(hi - lo >= index.unit.shared):
-                        one = slice(lo[x], hi[x])
-                        found = index.leaks(every[starts[x] : starts[x + 1] - 1], at[one] - starts[x], k[one])
-                        got += [(ids[number[x]], i) for i in found]
-                yield pd.DataFrame(got, columns=["id", "item"])
-
-        src = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("t")).dropna()
-        return src.mapInPandas(filled(part), "id long, item long").distinct()
-
-
-def leaks(docs: DataFrame, ident: str, text: str, items: DataFrame, item: str, passage: str, block: int = 5000) -> DataFrame:
+    def place(keys: np.ndarray, bits: int, probe: int) -> np.ndarray:
+        odd = np.uint64((2 * int(BASE) * probe + 0xD6E8FEB86659FD93) % (1 << 64))
+        return (keys * odd) >> np.uint64(64 - bits)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Where keys pass."""
+        at = np.arange(len(keys))
+        for k in range(PROBES):
+            place = self.place(keys[at], self.bits, k)
+            at = at[(self.slots[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
+        return at
+
+
+def numbered(items: DataFrame, item: str, passage: str, often: int = 3) -> DataFrame:
+    """(item, unit, ids): every item as numbers, without its first line if at least `often` items begin with that."""
+    rows = items.select(F.col(item).cast("long").alias("item"), F.col(passage).alias("t")).dropna().groupBy("item").agg(F.min("t").alias("t"))
+    rows = rows.withColumn("line", F.when(F.col("t").contains("\n"), F.substring_index("t", "\n", 1)))
+    common = rows.dropna(subset=["line"]).groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= often)
+    rest = F.expr("substring(t, length(line) + 2)")
+    rows = rows.join(common, "line", "left").select("item", F.when(F.col("n").isNotNull(), rest).otherwise(F.col("t")).alias("t"))
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = Numbers()
+        for b in batches:
+            unit = [unit_of(t) for t in b["t"]]
+            yield pd.DataFrame({"item": b["item"], "unit": unit, "ids": [number(u, t).tobytes() for u, t in zip(unit, b["t"], strict=True)]})
+
+    return rows.mapInPandas(filled(part), "item long, unit int, ids binary")
+
+
+def item_keys(items: DataFrame) -> DataFrame:
+    """(item, unit, pos, key) of every shingle of numbered items."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i, u, ids in zip(b["item"], b["unit"], b["ids"], strict=True):
+                k = shingle_keys(u, np.frombuffer(ids, "<u4"))
+                yield pd.DataFrame({"item": i, "unit": u, "pos": np.arange(len(k), dtype="int32"), "key": k.view("int64")})
+
+    return items.mapInPandas(filled(part), "item long, unit int, pos int, key long")
+
+
+def bit_filter(keys: DataFrame) -> Filter:
+    """A filter of all keys: bits are merged before they come to the driver, 2 ** MOST_BITS of them at most."""
+    n = max(1, keys.count())
+    bits = min(MOST_BITS, max(12, math.ceil(math.log2(n * BITS_A_KEY))))
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            place = np.concatenate([Filter.place(b["key"].to_numpy("int64").view("uint64"), bits, k) for k in range(PROBES)])
+            yield pd.DataFrame({"slot": (place >> np.uint64(6)).astype("int64"), "mask": (np.uint64(1) << (place & np.uint64(63))).view("int64")})
+
+    got = keys.select("key").mapInPandas(filled(part), "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()
+    slots = np.zeros(1 << (bits - 6), "uint64")
+    slots[got["slot"].to_numpy("int64")] = got["mask"].to_numpy("int64").view("uint64")
+    return Filter(bits, slots)
+
+
+def close_together(at: np.ndarray, owner: np.ndarray, unit: Unit) -> np.ndarray:
+    """Which hits stand among as many as a run shares, within a least run's length in one document."""
+    m = unit.shared - 1
+    out = np.zeros(len(at), bool)
+    first = np.flatnonzero((at[m:] - at[: len(at) - m] < unit.span) & (owner[m:] == owner[: len(at) - m]))
+    for k in range(unit.shared):
+        out[first + k] = True
+    return out
+
+
+def scan(docs: DataFrame, ident: str, text: str, may: Filter, longest: int) -> DataFrame:
+    """Two kinds of rows in one pass: (key, n), documents that hold a key, and (id, unit, first, ids, at, keys), windows of documents.
+
+    A window holds shingles of items close together, and `longest` numbers around them; at and keys are its hits.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((may.bits, may.slots))
+
+    def counts(got: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(np.concatenate(got), return_counts=True) if got else (np.zeros(0, "uint64"), np.zeros(0, "int64"))
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        may, number = Filter(*shared.value), Numbers()
+        seen: list[np.ndarray] = []
+        for b in batches:
+            names = b["id"].to_numpy()
+            for u, unit in enumerate(UNITS):
+                texts = [(k, number(u, t)) for k, t in enumerate(b["t"]) if not u or DENSE.search(t)]
+                if not texts:
+                    continue
+                ids = np.concatenate([x for _, x in texts])
+                starts = np.cumsum([0, *[len(x) for _, x in texts]])
+                owner = np.repeat(np.arange(len(texts)), np.diff(starts))
+                keys = shingle_keys(u, ids)
+                hit = may(keys)
+                hit = hit[owner[hit] == owner[hit + unit.width - 1]]  # no shingle crosses two texts
+                own = owner[hit]
+                order = np.lexsort((keys[hit], own))
+                k, o = keys[hit][order], own[order]
+                seen.append(k[np.concatenate([[True], (k[1:] != k[:-1]) | (o[1:] != o[:-1])])] if len(k) else k)
+                near = close_together(hit, own, unit)
+                at, who = hit[near], own[near]
+                breaks = np.flatnonzero((np.diff(at) > 2 * longest) | (np.diff(who) != 0)) + 1
+                rows = []
+                for h in np.split(at, breaks) if len(at) else ():
+                    d = owner[h[0]]
+                    lo, hi = max(starts[d], h[0] - longest), min(starts[d + 1], h[-1] + unit.width + longest)
+                    rows.append((names[texts[d][0]], u, lo - starts[d], ids[lo:hi].tobytes(), (h - lo).astype("int32"), keys[h].view("int64")))
+                if rows:
+                    yield pd.DataFrame(rows, columns=["id", "unit", "first", "ids", "at", "keys"]).assign(key=pd.array([None] * len(rows), "Int64"), n=pd.array([None] * len(rows), "Int64"))[names_of(SCANNED)]
+            if sum(map(len, seen)) > 2_000_000:
+                yield counted(*counts(seen))
+                seen = []
+        yield counted(*counts(seen))
+
+    src = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("t")).dropna()
+    return src.mapInPandas(filled(part), SCANNED)
+
+
+def names_of(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
+
+def counted(keys: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+    """Rows of counts alone."""
+    return pd.DataFrame({"key": keys.view("int64"), "n": n.astype("int64")}).reindex(columns=names_of(SCANNED)).astype({"id": "Int64", "unit": "Int32", "first": "Int64", "ids": object, "at": object, "keys": object}).replace({np.nan: None})
+
+
+def prefixes(keys: DataFrame, seen: DataFrame) -> DataFrame:
+    """(item, pos, key): of every least run of every item the shingles that fewest documents hold; seen: (key, n)."""
+    df = seen.groupBy("key").agg(F.sum("n").alias("n"))
+    rows = keys.join(df, "key", "left").select("item", "unit", F.struct("pos", "key", F.coalesce("n", F.lit(0)).alias("n")).alias("x"))
+    rows = rows.groupBy("item", "unit").agg(F.sort_array(F.collect_list("x")).alias("x")).select("item", "unit", "x.key", "x.n")
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i, u, key, n in zip(b["item"], b["unit"], b["key"], b["n"], strict=True):
+                unit, chosen = UNITS[u], np.zeros(len(key), bool)
+                for k in range(len(key) - unit.span + 1):
+                    run = slice(k, k + unit.span)
+                    chosen[k + np.lexsort((key[run], n[run]))[: unit.prefix]] = True
+                pos = np.flatnonzero(chosen)
+                yield pd.DataFrame({"item": i, "pos": pos.astype("int32"), "key": np.asarray(key)[pos]})
+
+    return rows.mapInPandas(filled(part), "item long, pos int, key long")
+
+
+def holds(unit: Unit, ids: np.ndarray, item: np.ndarray, offset: int) -> bool:
+    """Whether, the item laid at an offset, some run of the least length or more has few enough changes."""
+    lo, hi = max(0, -offset), min(len(item), len(ids) - offset)
+    if hi - lo < unit.least:
+        return False
+    changed = item[lo:hi] != ids[lo + offset : hi + offset]
+    good = np.concatenate([[0], np.cumsum(1 - unit.tolerance * changed.astype("int64"))])
+    return bool((good[unit.least :] >= np.minimum.accumulate(good)[: len(good) - unit.least]).any())
+
+
+def leaks(docs: DataFrame, ident: str, text: str, items: DataFrame, item: str, passage: str) -> DataFrame:
     """(id, item): every document with every item it holds a passage of.
 
-    Items are taken in blocks of bounded size, so that what is broadcast is bounded; each block is one pass over the documents.
+    Shuffled are the items, counts of their shingles, and the windows in which several stand. Joins are
+    salted by document, so that a passage in a third of all documents is spread.
     """
-    rows = items.select(F.col(item).cast("long").alias("i"), F.col(passage).alias("t")).dropna().dropDuplicates(["i"])
-    n = rows.count()
-    out = None
-    for k in range(max(1, -(-n // block))):
-        got = rows.where(F.pmod(F.xxhash64("i"), F.lit(-(-n // block))) == k) if n > block else rows
-        matcher = Matcher([(r.i, r.t) for r in got.orderBy("i").collect()])
-        matcher.frequencies(docs, text)
-        found = matcher.find(docs, ident, text)
-        out = found if out is None else out.unionByName(found)
-    return out
+    own = cut(numbered(items, item, passage))
+    keys = item_keys(own)
+    longest = own.agg(F.max(F.length("ids") / 4)).first()[0]
+    rows = cut(scan(docs, ident, text, bit_filter(keys), int(longest or 0)))
+    chosen = prefixes(keys, rows.where("key is not null").select("key", "n"))
+    salted = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int").alias("salt")
+    windows = rows.where("id is not null").select("id", "unit", "first", "ids", "at", "keys").dropDuplicates(["id", "unit", "first"])
+    hits = windows.select("id", "unit", "first", salt, F.explode(F.arrays_zip("at", "keys")).alias("x")).select("id", "unit", "first", "salt", "x.at", F.col("x.keys").alias("key"))
+    pairs = hits.join(chosen.select("item", "pos", "key", salted), ["key", "salt"]).select("id", "unit", "first", "salt", "item", (F.col("at") - F.col("pos")).alias("offset")).distinct()
+    found = pairs.join(windows.select("id", "unit", "first", "ids"), ["id", "unit", "first"]).join(own.select("item", "unit", F.col("ids").alias("its"), salted), ["item", "unit", "salt"])
+    n, m = (F.length(c) / 4 for c in ("its", "ids"))
+    least = F.element_at(F.array(*[F.lit(u.least) for u in UNITS]), F.col("unit") + 1)
+    found = found.where(F.least(n, m - F.col("offset")) - F.greatest(F.lit(0), -F.col("offset")) >= least)
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ok = [holds(UNITS[u], np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), o) for u, x, y, o in zip(b["unit"], b["ids"], b["its"], b["offset"], strict=True)]
+            yield b.loc[ok, ["id", "item"]]
+
+    return found.select("id", "item", "unit", "ids", "its", "offset").mapInPandas(filled(part), "id long, item long").distinct()

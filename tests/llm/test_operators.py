@@ -284,14 +284,14 @@ def test_leaks_equal_brute_force(spark):
     docs += [(100, "前言" + items[6][1][:32]), (101, items[6][1][:20]), (102, None), (103, ""), docs[0]]
     df = spark.createDataFrame(docs, "id long, text string").selectExpr("*", "1 as item")
     got = set(rows(leakage.leaks(df, "id", "text", spark.createDataFrame(items, "i long, t string"), "i", "t")))
-    m = leakage.Matcher([(i, t) for i, t in items if t])
-    brute = set()
+    number, brute = leakage.Numbers(), set()
+    plain = [(i, t.removeprefix("Answer the question.\n")) for i, t in items if t]
     for d, t in docs:
-        for j, ids in m.ids(t) if t is not None else ():
-            ix = m.indexes[j]
-            for i, item in ix.items.items():
-                if any(ix.holds(ids, item, off) for off in range(-len(item), len(ids))):
-                    brute.add((d, i))
+        for i, passage in plain if t else ():
+            u = leakage.unit_of(passage)
+            ids, item = number(u, t), number(u, passage)
+            if any(leakage.holds(leakage.UNITS[u], ids, item, off) for off in range(-len(item), len(ids))):
+                brute.add((d, i))
     assert got == brute
     assert (100, 6) in got and len(got) > 5
     assert leakage.leaks(df.limit(0), "id", "text", spark.createDataFrame(items, "i long, t string"), "i", "t").collect() == []
