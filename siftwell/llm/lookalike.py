@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.session import filled
+from siftwell.session import cut, filled
 
 # Letters of other scripts and the Latin letters that look like them.
 HOMOGLYPHS = {
@@ -258,15 +258,32 @@ def forms(df: DataFrame, ident: str, text: str, counts: Mapping[str, int]) -> Da
     return src.mapInPandas(filled(part), "id string, raw long, raw2 long, form long, form2 long").distinct()
 
 
-def look_alike_pairs(df: DataFrame, ident: str, text: str, counts: Mapping[str, int]) -> DataFrame:
+def look_alike_classes(df: DataFrame, ident: str, text: str, counts: Mapping[str, int]) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members) of the texts that read the same but are spelt in several ways.
+
+    pairs: (a, b), smaller first, of spellings of one class, each named by the least id that has it;
+    members: (id, spelling, class), one row for every id whose text reads like another spelling, the class
+    named by its least id. Spellings are counted before any join, so that masses of equal texts are one row.
+    """
+    rows = cut(forms(df, ident, text, counts))
+    key = ["form", "form2"]
+    spelt = rows.groupBy(*key, "raw", "raw2").agg(F.min("id").alias("spelling"))
+    mixed = spelt.groupBy(*key).agg(F.count("*").alias("n"), F.min("spelling").alias("class")).where("n > 1").drop("n")
+    spelt = spelt.join(mixed, key)
+    a, b = spelt.select(*key, F.col("spelling").alias("a")), spelt.select(*key, F.col("spelling").alias("b"))
+    pairs = a.join(b, key).where("a < b").select("a", "b").distinct()
+    return pairs, rows.join(spelt.select("raw", "raw2", "spelling", "class"), ["raw", "raw2"]).select("id", "spelling", "class").distinct()
+
+
+def look_alike_pairs(df: DataFrame, ident: str, text: str, counts: Mapping[str, int], salts: int = 8) -> DataFrame:
     """(id_a, id_b), smaller first: rows whose texts differ in characters but read the same.
 
-    Groups of texts with one spelling, however large, are dropped before any join by a count that is
-    merged before its shuffle.
+    The pairs of spellings, expanded to their members; members of one spelling, however many, are spread over salts.
     """
-    rows = forms(df, ident, text, counts).select("id", F.struct("raw", "raw2").alias("raw"), "form", "form2")
-    mixed = rows.groupBy("form", "form2").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form", "form2")
-    kept = rows.join(mixed, ["form", "form2"], "left_semi")
-    a = kept.select("form", "form2", F.col("id").alias("id_a"), F.col("raw").alias("raw_a"))
-    b = kept.select("form", "form2", F.col("id").alias("id_b"), F.col("raw").alias("raw_b"))
-    return a.join(b, ["form", "form2"]).where("id_a < id_b AND raw_a <> raw_b").select("id_a", "id_b").distinct()
+    pairs, members = look_alike_classes(df, ident, text, counts)
+    members = cut(members)
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    own = members.select("id", "spelling", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
+    half = pairs.select("a", "b", every).join(own.select(F.col("spelling").alias("a"), F.col("id").alias("x"), "salt"), ["a", "salt"])
+    both = half.select("x", "b", every).join(own.select(F.col("spelling").alias("b"), F.col("id").alias("y"), "salt"), ["b", "salt"])
+    return both.where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()

@@ -65,17 +65,17 @@ def _text_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "content_blocks").where("type = 'text'")
 
 
-def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    return boilerplate.found_lines(_text_blocks(spark, sf), "id", "source_file", "doc_id", "content")
+def _boilerplate(spark: SparkSession, sf: str) -> DataFrame:
+    return boilerplate.block_occurrences(_text_blocks(spark, sf), "id", "source_file", "doc_id", "content")
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _lines(spark, sf).select(F.col("id").alias("block_id"), "line_no").distinct()
+    return boilerplate.found_lines(_boilerplate(spark, sf)).select(F.col("id").alias("block_id"), "line_no").distinct()
 
 
 def p2_cleaned(spark: SparkSession, sf: str) -> DataFrame:
-    """(block_id, content) of every text block without its source's boilerplate lines."""
-    out = boilerplate.remove(_text_blocks(spark, sf), cut(_lines(spark, sf)), "id", "content")
+    """(block_id, content) of every text block without its source's boilerplate blocks."""
+    out = boilerplate.remove(_text_blocks(spark, sf), _boilerplate(spark, sf), "id", "content")
     return out.select(F.col("id").alias("block_id"), F.col("text").alias("content"))
 
 
@@ -90,11 +90,19 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return blocks.unionByName(lookalike.look_alike_pairs(table(spark, sf, "chunks"), "id", "text", counts))
 
 
+def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, spelling, class): one row for every block and chunk whose text reads like another spelling."""
+    counts = _counts(spark, sf)
+    blocks = lookalike.look_alike_classes(table(spark, sf, "content_blocks"), "id", "content", counts)[1]
+    return blocks.unionByName(lookalike.look_alike_classes(table(spark, sf, "chunks"), "id", "text", counts)[1])
+
+
 def p3_canonical(spark: SparkSession, sf: str) -> DataFrame:
-    """(id, text): blocks and chunks with their text in one form."""
+    """(id, text): every block and chunk once, with its text in one form."""
     counts = _counts(spark, sf)
     a = table(spark, sf, "content_blocks").select("id", F.col("content").alias("text"))
-    return a.union(table(spark, sf, "chunks").select("id", "text")).select("id", lookalike.canonical(F.col("text"), counts).alias("text"))
+    rows = a.union(table(spark, sf, "chunks").select("id", "text")).groupBy("id").agg(F.min("text").alias("text"))
+    return rows.select("id", lookalike.canonical(F.col("text"), counts).alias("text"))
 
 
 def _segments(spark: SparkSession, sf: str) -> DataFrame:

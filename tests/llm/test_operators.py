@@ -60,12 +60,13 @@ def test_boilerplate(spark):
     data = [(f"b{k}", "s", f"d{k}", f"Own line {'abcdefghij'[k]}\n** Share THIS page 12 **\nPar аge {k}\n\nend {'qrstuvwxyz'[k]}") for k in range(10)]
     data += [data[0], ("n", None, "d", "Share this page 1"), ("m", "s", "d", None), ("o", "few", "d1", "Share this page 1"), ("e", "s", "d0", "")]
     df = spark.createDataFrame(data, "id string, source string, doc string, text string").selectExpr("*", "1 as line", "2 as src")
-    found = boilerplate.found_lines(df, "id", "source", "doc", "text")
+    occurred = boilerplate.block_occurrences(df, "id", "source", "doc", "text")
+    found = boilerplate.found_lines(occurred)
     assert {(r.id, r.line_no) for r in found.collect()} == {(f"b{k}", n) for k in range(10) for n in (1, 2)}
     assert len({r.block for r in found.collect()}) == 1  # consecutive lines are one block
-    clean = {r.id: r.text for r in boilerplate.remove(df, found, "id", "text").collect()}
+    clean = {r.id: r.text for r in boilerplate.remove(df, occurred, "id", "text").collect()}
     assert clean["b0"] == "Own line a\n\nend q" and clean["m"] is None and clean["e"] == "" and clean["n"] == "Share this page 1"
-    assert boilerplate.found_lines(df.limit(0), "id", "source", "doc", "text").collect() == []
+    assert boilerplate.block_occurrences(df.limit(0), "id", "source", "doc", "text").collect() == []
 
 
 # --- 3: look-alikes ---
@@ -93,6 +94,9 @@ def test_pairs(spark):
     counts = lookalike.member_counts(df, "text")
     assert counts["e"] == 5 and counts["Т"] == 1
     assert rows(lookalike.look_alike_pairs(df, "id", "text", counts)) == [("a", "b"), ("b", "c"), ("f", "g")]
+    reps, members = lookalike.look_alike_classes(df, "id", "text", counts)
+    assert rows(reps) == [("a", "b"), ("f", "g")]
+    assert rows(members) == [("a", "a", "a"), ("b", "b", "a"), ("c", "a", "a"), ("f", "f", "f"), ("g", "g", "f")]
     assert lookalike.look_alike_pairs(df.limit(0), "id", "text", {}).collect() == []
 
 
