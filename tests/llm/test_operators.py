@@ -193,6 +193,19 @@ def test_exact_search_equals_brute_force(spark):
     assert neighbours.nearest(df.limit(0), "id", "e", 8).collect() == []
 
 
+def test_recall_of_the_relaxed_search(spark):
+    rng = np.random.default_rng(4)
+    v = (rng.normal(size=(3000, 24)) @ rng.normal(size=(24, 64))).astype("float32")
+    df = spark.createDataFrame([(f"v{k:04d}", [float(x) for x in r]) for k, r in enumerate(v)], "id string, e array<float>")
+    got = neighbours.nearest(df, "id", "e", 64, k=5, relax=neighbours.RELAX_ALL, shard=500, fit_rows=500).toPandas()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    cos = u @ u.T
+    np.fill_diagonal(cos, -2)
+    best = {f"v{k:04d}": {f"v{j:04d}" for j in np.argpartition(-r, 5)[:5]} for k, r in enumerate(cos)}
+    found = got.groupby("id")["other"].agg(set)
+    assert len(found) == 3000 and sum(len(found[k] & b) for k, b in best.items()) >= 0.9 * 5 * 3000
+
+
 # --- 7: scans ---
 
 
