@@ -179,7 +179,10 @@ def exact(ids: np.ndarray, v: np.ndarray, q: np.ndarray, best: Best, at_least: f
 def search(df: DataFrame, reps: DataFrame, k: int, at_least: float | None, relax: float, shard: int, fit_rows: int) -> DataFrame:
     """(id, other, similarity): each vector's k nearest others found, ids being distinct. The tree is fitted on rows of df."""
     spark = reps.sparkSession
-    shared = spark.sparkContext.broadcast(routing(df, df.count(), shard, fit_rows))
+    tree = routing(df, df.count(), shard, fit_rows)
+    shared = spark.sparkContext.broadcast(tree)
+    # A task for each shard or two, however many there are: the session's number of partitions is for any size.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(1 for _ in tree.leaves()))
 
     def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = {id(leaf): n for n, leaf in enumerate(shared.value.leaves())}
@@ -238,10 +241,10 @@ def search(df: DataFrame, reps: DataFrame, k: int, at_least: float | None, relax
 
     # A vector is searched in its own shard first: where that holds k near ones, as in a mass of near-copies, its ball
     # is small by the time it may visit others.
-    shards = reps.mapInPandas(filled(home), "shard long, id string, vec binary").groupBy("shard")
+    shards = reps.mapInPandas(filled(home), "shard long, id string, vec binary").repartition(tasks, "shard").groupBy("shard")
     first = cut(shards.applyInPandas(at_home, "shard long, id string, vec binary, floor float, others array<string>, sims array<double>"))
     visits = first.select("id", "vec", "floor").mapInPandas(filled(visit), "shard long, id string, vec binary, home boolean, floor float")
-    second = visits.repartition(F.col("shard")).sortWithinPartitions("shard", F.desc("home"), "id").mapInPandas(filled(abroad), "id string, others array<string>, sims array<double>")
+    second = visits.repartition(tasks, "shard").sortWithinPartitions("shard", F.desc("home"), "id").mapInPandas(filled(abroad), "id string, others array<string>, sims array<double>")
     found = first.select("id", "others", "sims").unionByName(second)
     found = found.select("id", F.explode(F.arrays_zip("others", "sims")).alias("x")).select("id", F.col("x.others").alias("other"), F.col("x.sims").alias("similarity"))
     w = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")

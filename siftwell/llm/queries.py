@@ -176,7 +176,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def _residue(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    return residue.residue(docs, residue.fit(docs, "doc_id", "text"), "doc_id", "text", "title")
+    return residue.residue(docs, residue.fit(docs, "text", "title"), "doc_id", "text", "title")
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:

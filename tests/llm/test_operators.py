@@ -320,10 +320,21 @@ def test_leaks_equal_brute_force(spark):
 
 def test_residue(spark):
     prose = [f"The {a} {b} measures the pressure in the vessel and the {c} report follows within {k} days." for k, (a, b, c) in enumerate(itertools.product(["old", "new", "northern"], ["pump", "valve", "sensor"], ["annual", "monthly"]))]
-    bad = ["# Not Found\n\nThe requested page could not be found on this server.", "My title\n\nLorem ipsum dolor sit amet, consectetur adipiscing elit.", "Please enable JavaScript to view this page.", "Dear {{name}}, the report follows.", "Call [Insert name here] now."]
+    corpus = [*prose, "The pump template uses a name in its header.", "It once said so in the template header, where a page may not be found."] * 20
+    bad = ["# Not Found\n\nThe requested URL was not found on this server.", "My title\n\nLorem ipsum dolor sit amet, consectetur adipiscing elit.", "Please enable JavaScript and cookies to continue.", "Dear {{name}}, the report follows.", "Call [Insert name here] now.", "quux zork. " * 40]
     good = [prose[0], "The pump template uses `{{name}}` in its header.", "```\necho ${HOME}\n```\n" + prose[1], "", prose[2] * 3 + " It once said page not found. " + prose[3] * 3, prose[5] * 500]
-    data = [(k, t, "My title") for k, t in enumerate(bad + good)] + [(0, bad[0], None), (99, None, None)]
-    df = spark.createDataFrame(data, "doc_id long, text string, title string").selectExpr("*", "1 as why")
-    got = {r.id for r in residue.residue(df, residue.train([*prose, "The pump template uses a name in its header.", "It once said so in the template header."] * 20), "doc_id", "text", "title").collect()}
+    data = [(k, t, "My title") for k, t in enumerate(bad + good)] + [(0, bad[0], None), (99, None, None)] + [(1000 + k, t, None) for k, t in enumerate(corpus)]
+    df = spark.createDataFrame(data, "doc_id long, text string, title string").selectExpr("*", "1 as why", "2 as h", "3 as at")
+    got = {r.id for r in residue.residue(df, residue.fit(df, "text", "title"), "doc_id", "text", "title").collect()}
     assert got == set(range(len(bad)))
-    assert residue.residue(df.limit(0), residue.fit(df.limit(0), "doc_id", "text"), "doc_id", "text", "title").collect() == []
+    assert residue.residue(df.limit(0), residue.fit(df.limit(0), "text", "title"), "doc_id", "text", "title").collect() == []
+
+
+def test_coverage_of_several_texts_is_that_of_each():
+    rng = random.Random(6)
+    prose = ["".join(rng.choices("abcde ", k=400)) for _ in range(20)]
+    base = residue.count(prose)
+    model = residue.Detector([residue.ratio(residue.seeds()[1], base)], residue.ratio(residue.seeds()[2], base))
+    texts = ["", "page not found", "x", *prose, "access denied. " * 9, "a b c page not found " + prose[0]]
+    assert model.coverage(texts).tolist() == pytest.approx([model.coverage([t])[0] for t in texts])
+    assert model.coverage(["page not found"])[0] == 1
