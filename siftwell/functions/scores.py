@@ -14,22 +14,18 @@ OTHER_PAIR, SAME_LANGUAGE = 0.5, 1.15
 EPS = 1e-8
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 def dot(a: Column, b: Column) -> Column:
-    return _dot(a, b)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
 def norm(v: Column) -> Column:
-    return F.sqrt(_dot(v, v))
+    return F.sqrt(dot(v, v))
 
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity, 0 if either vector is all zero."""
-    norm = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
-    return F.when(norm == 0, 0.0).otherwise(_dot(a, b) / norm)
+    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
 def clamp(x: Column) -> Column:

@@ -1,8 +1,10 @@
 """BM25 as tables: postings, document lengths, term statistics; exact top-k for any number of queries.
 
-Postings are counted map-side before their shuffle. A search joins the queries' terms with the
-postings, so only documents that share a term are scored; documents without a positive score follow
-by id only where fewer than k have one.
+Texts are read and split once: an index is the table of counts (document, term, times), merged map-side
+before its shuffle and written to the shared folder, and everything else is taken from that. Where the
+queries are known beforehand only their terms are kept apart, all others being one count a document. A
+search joins the queries' terms with the postings, so only documents that share a term are scored;
+documents without a positive score follow by id only for queries of which fewer than k have one.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.scores import saturate
 from siftwell.functions.text import tokens
+from siftwell.session import cut
 
 K1, B = 1.5, 0.75
 
@@ -44,11 +47,26 @@ def term_stats(postings: DataFrame, corpus: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(corpus.select("n"))).select("term", "df", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def build(docs: DataFrame, doc: str, text: str) -> Index:
-    """Index a table of documents; null texts have no terms and length 0."""
-    words = docs.select(F.col(doc).alias("doc"), F.coalesce(tokens(F.col(text)), F.array()).alias("words"))
-    postings = words.select("doc", F.explode("words").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
-    lengths = words.select("doc", F.size("words").alias("len"))
+def words(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, words); null texts have none."""
+    return docs.select(F.col(doc).alias("doc"), F.coalesce(tokens(F.col(text)), F.array()).alias("words"))
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, qtf) of queries (query_id, text)."""
+    return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+
+
+def build(docs: DataFrame, doc: str, text: str, queries: DataFrame | None = None) -> Index:
+    """Index a table of documents; null texts have no terms and length 0. queries: keep the postings of their terms alone."""
+    each = words(docs, doc, text).select("doc", F.explode_outer("words").alias("term"))
+    counts = each.groupBy("doc", "term").agg(F.count("term").alias("tf"))
+    if queries is not None:
+        asked = query_terms(queries).select(F.col("term").alias("kept")).distinct()
+        counts = each.join(asked, each["term"] == asked["kept"], "left").groupBy("doc", F.col("kept").alias("term")).agg(F.count(each["term"]).alias("tf"))
+    counts = cut(counts)
+    postings = counts.where("term is not null")
+    lengths = counts.groupBy("doc").agg(F.sum("tf").cast("int").alias("len"))
     corpus = corpus_stats(lengths)
     return Index(postings, lengths, term_stats(postings, corpus), corpus)
 
@@ -58,8 +76,10 @@ def scores(index: Index, queries: DataFrame) -> DataFrame:
 
     A term that a query repeats counts as often; negative sums count 0.
     """
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    hit = index.postings.join(asked, "term").join(index.terms.select("term", "idf"), "term").join(index.lengths, "doc").crossJoin(F.broadcast(index.corpus))
+    asked = query_terms(queries)
+    kept = index.postings.join(asked.select("term").distinct(), "term", "left_semi")
+    terms = asked.join(term_stats(kept, index.corpus).select("term", "idf"), "term")
+    hit = kept.join(index.lengths, "doc").join(terms, "term").crossJoin(F.broadcast(index.corpus))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     return hit.groupBy("query_id", "doc").agg(F.greatest(F.lit(0.0), F.sum(part)).alias("score"))
 
@@ -67,10 +87,12 @@ def scores(index: Index, queries: DataFrame) -> DataFrame:
 def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, doc, score, rank): the first k documents of each query, ties by id after rounding to 9 places."""
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc")
-    best = scores(index, queries).where("score > 0")
+    best = scores(index, queries).where("score > 0").select("*", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
+    best = cut(best.select("query_id", "doc", "score"))
     # The k least ids follow with score 0 where too few documents have a score; 2k ids suffice to skip those ranked.
+    few = queries.select("query_id").distinct().join(best.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < k)
     rest = index.lengths.select("doc").orderBy("doc").limit(2 * k)
-    filler = queries.select("query_id").distinct().crossJoin(F.broadcast(rest)).join(best.select("query_id", "doc"), ["query_id", "doc"], "left_anti")
+    filler = few.select("query_id").crossJoin(F.broadcast(rest)).join(best.select("query_id", "doc"), ["query_id", "doc"], "left_anti")
     every = best.unionByName(filler.select("query_id", "doc", F.lit(0.0).alias("score")))
     return every.select("*", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
 

@@ -2,7 +2,8 @@
 
 Where a boundary depends on what has been gathered so far no window function expresses it, so the
 greedy passes fold a document's sorted rows with `aggregate`, in the JVM: documents are the unit of
-parallelism, and rows carry only what the fold needs. Everything else is windows.
+parallelism, and rows carry only what the fold needs: places, sizes and kinds, never texts. A fold gives
+the places at which groups begin, and a window turns them into group numbers. Everything else is windows.
 """
 
 from __future__ import annotations
@@ -59,21 +60,25 @@ def islands(lines: DataFrame) -> DataFrame:
 
 
 def fold_groups(rows: DataFrame, key: str, order: list[str], fields: list[str], zero: Column, step) -> DataFrame:
-    """Number each row's group by a greedy pass over its document.
+    """The rows with their group's number g, given by a greedy pass over their document.
 
     step(acc, row) gives a struct whose field g is the row's group; acc begins as zero and carries what
-    the pass has gathered. Returns (key, order..., g).
+    the pass has gathered. Only order and fields go through the pass, which keeps where groups begin;
+    the other columns of rows stay where they are.
     """
+    at = F.struct(*order)
     seq = F.array_sort(F.collect_list(F.struct(*order, *fields)))
-    start = F.struct(zero.alias("s"), F.array().cast("array<int>").alias("gs"))
+    start = F.struct(zero.alias("s"), F.array().cast(f"array<{rows.select(at.alias('x')).schema['x'].dataType.simpleString()}>").alias("begin"))
 
     def one(acc: Column, row: Column) -> Column:
         s = step(acc["s"], row)
-        return F.struct(s.alias("s"), F.concat(acc["gs"], F.array(s["g"])).alias("gs"))
+        here = F.struct(*[row[c].alias(c) for c in order])
+        return F.struct(s.alias("s"), F.when(s["g"] != acc["s"]["g"], F.concat(acc["begin"], F.array(here))).otherwise(acc["begin"]).alias("begin"))
 
-    got = rows.groupBy(key).agg(seq.alias("seq")).withColumn("gs", F.aggregate("seq", start, one, lambda acc: acc["gs"]))
-    pairs = got.select(key, F.explode(F.arrays_zip("seq", "gs")).alias("x"))
-    return pairs.select(key, *[F.col(f"x.seq.{c}").alias(c) for c in (*order, *fields)], F.col("x.gs").alias("g"))
+    begins = rows.groupBy(key).agg(F.aggregate(seq, start, one, lambda acc: acc["begin"]).alias("begin")).select(key, F.explode("begin").alias("_at"))
+    begins = begins.select(key, *[F.col(f"_at.{c}").alias(c) for c in order], F.lit(1).alias("_new"))
+    g = F.sum(F.coalesce("_new", F.lit(0))).over(Window.partitionBy(key).orderBy(*order)) - 1
+    return rows.join(begins, [key, *order], "left").withColumn("g", g.cast("int")).drop("_new")
 
 
 def _state(g: Column, n: Column, **more: Column) -> Column:
@@ -94,7 +99,7 @@ def section_chunks(markdown: DataFrame, doc: str, text: str) -> DataFrame:
         return _state(F.when(new, s["g"] + 1).otherwise(s["g"]), F.when(new, r["tokens"]).otherwise(s["n"] + r["tokens"]), last=last.cast("int"))
 
     zero = _state(F.lit(-1), F.lit(0), last=F.lit(-2).cast("int"))
-    got = fold_groups(rows, "doc", ["pos"], ["section_id", "tokens", "text"], zero, step)
+    got = fold_groups(rows, "doc", ["pos"], ["section_id", "tokens"], zero, step)
     parts = F.array_sort(F.collect_list(F.struct("pos", "text")))
     out = got.groupBy("doc", F.col("g").alias("chunk_no")).agg(F.min_by("section_id", "pos").alias("section_id"), F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"))
     return out.withColumn("token_count", token_estimate(F.col("text")))
@@ -115,7 +120,7 @@ def token_chunks(blocks: DataFrame, doc: str, pos: str, kind: str, content: str,
         new = (s["g"] < 0) | (r["kind"] != "text") | s["media"] | (s["n"] > threshold)
         return _state(F.when(new, s["g"] + 1).otherwise(s["g"]), F.when(new, r["tokens"]).otherwise(s["n"] + r["tokens"]), media=(r["kind"] != "text"))
 
-    got = fold_groups(rows, "doc", ["pos", "seg"], ["kind", "tokens", "text"], _state(F.lit(-1), F.lit(0), media=F.lit(False)), step)
+    got = fold_groups(rows, "doc", ["pos", "seg"], ["kind", "tokens"], _state(F.lit(-1), F.lit(0), media=F.lit(False)), step)
     parts = F.array_sort(F.collect_list(F.struct("pos", "seg", "text")))
     out = got.groupBy("doc", F.col("g").alias("chunk_no")).agg(F.min("kind").alias("chunk_type"), F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"), F.sum("tokens").alias("token_count"))
     if overlap_percent > 0:
@@ -195,6 +200,30 @@ def media_context(chunks: DataFrame, size: int) -> DataFrame:
     return chunks.withColumn("context_above", F.when(media, F.coalesce(tail, F.lit("")))).withColumn("context_below", F.when(media, F.coalesce(F.substring(below, 1, chars), F.lit(""))))
 
 
+def dispatch(blocks: DataFrame, doc: str, pos: str, source: Column, kind: str, content: str) -> DataFrame:
+    """(doc, by_section): whether a document goes to the section chunker or to the token chunker.
+
+    It goes by sections if it is markdown, one block of text, and has headings of several levels or
+    several of the first; lists and tables count as levels of their own, as classify numbers them.
+    """
+    one = blocks.groupBy(F.col(doc).alias("doc")).agg(F.count("*").alias("n"), F.max(F.col(kind) == "text").alias("text"))
+    single = one.where("n = 1 and text").join(is_markdown(blocks, doc, source, kind, content).where("markdown"), "doc", "left_semi")
+    lines = blocks.select(F.col(doc).alias("doc"), F.posexplode(F.split(F.col(content), "\n")).alias("pos", "line")).join(single.select("doc"), "doc", "left_semi")
+    levels = classify(lines, "doc", "pos", "line").where(F.col("level") != BODY).groupBy("doc")
+    cut = levels.agg(((F.countDistinct("level") > 1) | (F.sum(F.when(F.col("level") == 1, 1).otherwise(0)) > 1)).alias("by_section"))
+    return one.join(cut, "doc", "left").select("doc", F.coalesce("by_section", F.lit(False)).alias("by_section"))
+
+
+def chunks(blocks: DataFrame, doc: str, pos: str, source: Column, kind: str, content: str, size: int = 512, overlap_percent: float = 0.0) -> DataFrame:
+    """(doc, chunk_no, chunk_type, text, token_count, method) of all documents, each by the chunker it is dispatched to."""
+    way = dispatch(blocks, doc, pos, source, kind, content).withColumnRenamed("doc", "_doc")
+    rows = blocks.join(way, F.col(doc) == F.col("_doc"))
+    by_section = section_chunks(rows.where("by_section").drop("_doc", "by_section"), doc, content)
+    by_tokens = token_chunks(rows.where("not by_section").drop("_doc", "by_section"), doc, pos, kind, content, size, overlap_percent)
+    a = by_section.select("doc", "chunk_no", F.lit("text").alias("chunk_type"), "text", F.col("token_count").cast("long").alias("token_count"), F.lit("section").alias("method"))
+    return a.unionByName(by_tokens.select("doc", "chunk_no", "chunk_type", "text", F.col("token_count").cast("long").alias("token_count"), F.lit("token").alias("method")))
+
+
 def is_markdown(blocks: DataFrame, doc: str, source: Column, kind: str, content: str) -> DataFrame:
     """(doc, markdown): a block says that it was converted, or the only block is text with a heading."""
     marked = F.max(source == "converted_markdown")

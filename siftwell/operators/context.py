@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.operators.extraction import DONE
+
 
 def window(blocks: DataFrame, within: str, order: str, ident: str, kind: str, content: str, size: int = 2, kinds: list[str] | None = None, include_self: bool = False) -> DataFrame:
     """A column `context`: up to `size` blocks before and after, in order; kinds filter after the window."""
@@ -27,7 +32,32 @@ def fallback_answer(results: DataFrame) -> DataFrame:
     return results.groupBy("query_id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("answer"))
 
 
-def prompt_context(texts: DataFrame, entities: DataFrame, relationships: DataFrame, caps: tuple[int, int, int] = (8, 5, 5)) -> DataFrame:
-    """(section, line) of what an answer is generated from, each section cut to its cap; inputs have (rank, line)."""
-    parts = [t.where(F.col("rank") <= n).select(F.lit(s).alias("section"), "rank", "line") for s, t, n in zip(("texts", "entities", "relationships"), (texts, entities, relationships), caps, strict=True)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+def prompt_context(results: DataFrame, graph: DataFrame, caps: tuple[int, int, int] = (8, 5, 5)) -> DataFrame:
+    """(query_id, context): what answers are generated from, texts, entities and relationships each up to its cap.
+
+    results: (query_id, rank, content, score, channels), graph: (query_id, rank, content, score, channel).
+    """
+    line = F.format_string("[%s-%d] (score=%.4f, source=%s)\n%s", F.col("kind"), F.col("rank"), F.col("score"), F.col("channel"), F.col("content"))
+    texts = results.select("query_id", F.lit(0).alias("part"), F.lit("Text").alias("kind"), "rank", "score", F.col("channels").alias("channel"), F.substring("content", 1, 4000).alias("content"))
+    entity = F.col("channel") == "graph/entity"
+    around = graph.select("query_id", F.when(entity, 1).otherwise(2).alias("part"), F.when(entity, "Entity").otherwise("Rel").alias("kind"), "rank", "score", "channel", F.substring("content", 1, 500).alias("content"))
+    cap = F.element_at(F.array(*map(F.lit, caps)), F.col("part") + 1)
+    rows = texts.unionByName(around).where(F.col("rank") <= cap).select("query_id", F.struct("part", "rank", line.alias("line")).alias("x"))
+    return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("context"))
+
+
+def generated(prompts: DataFrame, model: Callable[[str], str]) -> DataFrame:
+    """(query_id, reply): a model's answers to prompts (query_id, prompt); null where it fails or says nothing."""
+
+    def say(prompt: str) -> str | None:
+        try:
+            reply = model(prompt)
+        except Exception:
+            return None
+        return None if not reply or reply.strip() == DONE else reply
+
+    @F.pandas_udf("string")
+    def run(col: pd.Series) -> pd.Series:
+        return col.map(say, na_action="ignore")
+
+    return prompts.select("query_id", run(F.col("prompt")).alias("reply"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.session import cut
+
 # The reply format.
 FIELD, DONE = "<|#|>", "<|COMPLETE|>"
 SPLIT = r"<\|#\|>"
@@ -97,7 +99,10 @@ def summarize(groups: DataFrame, descriptions: str, summary: Callable[[list[str]
 
 
 def replies(blocks: DataFrame, provider: Callable[[str], str], block: str = "id", content: str = "content") -> DataFrame:
-    """(block_id, response): one call for each block of enough text, in Arrow batches; a failed call gives a null reply."""
+    """(block_id, response): one call for each block of enough text, in Arrow batches; a failed call gives a null reply.
+
+    The replies are written to the shared folder: what is read from them, or lost with an executor, asks no model twice.
+    """
 
     def safe(text: str) -> str | None:
         try:
@@ -110,23 +115,47 @@ def replies(blocks: DataFrame, provider: Callable[[str], str], block: str = "id"
         return col.map(safe, na_action="ignore")
 
     some = blocks.where(F.length(F.trim(F.col(content))) >= MIN_CONTENT)
-    return some.select(F.col(block).alias("block_id"), run(F.col(content)).alias("response"))
+    return cut(some.select(F.col(block).alias("block_id"), run(F.col(content)).alias("response")))
+
+
+def _names(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """(block_id, names) of the entities found in each block, sorted; the first `most` of them."""
+    names = F.array_sort(F.collect_set("entity_name"))
+    return rows.groupBy("block_id").agg((names if most is None else F.slice(names, 1, most)).alias("names"))
+
+
+def glean(blocks: DataFrame, found: DataFrame, provider: Callable[[str], str], block: str = "id", content: str = "content") -> DataFrame:
+    """Another round of extraction, told what each block has given so far: of a name's rows the one of the longest description stays, the earlier of equal ones."""
+    asked = blocks.join(_names(found), F.col(block) == F.col("block_id"), "left")
+    prompt = F.concat(F.lit("Found so far: "), F.coalesce(F.array_join("names", ", "), F.lit("")), F.lit(". List what is missing, and better descriptions.\n"), F.col(content))
+    more = entities(replies(asked.withColumn("_prompt", F.when(F.length(F.trim(F.col(content))) >= MIN_CONTENT, prompt)), provider, block, "_prompt"))
+    every = found.withColumn("round", F.lit(0)).unionByName(more.withColumn("round", F.lit(1)))
+    first = Window.partitionBy(F.lower("entity_name")).orderBy(F.desc(F.length("description")), "round", "block_id", "pos")
+    kept = every.select("*", F.row_number().over(first).alias("k"), F.max("round").over(Window.partitionBy(F.lower("entity_name"))).alias("again"))
+    return kept.where((F.col("k") == 1) | ((F.col("again") == 0) & (F.col("round") == 0))).drop("k", "again", "round")
+
+
+def relations_among(blocks: DataFrame, found: DataFrame, provider: Callable[[str], str], most: int = 30, block: str = "id", content: str = "content") -> DataFrame:
+    """Relationships that a model finds among the entities given: blocks of fewer than two are not asked, of many the first `most` by name are named."""
+    asked = blocks.join(_names(found, most).where(F.size("names") >= 2), F.col(block) == F.col("block_id"))
+    prompt = F.concat(F.lit("Entities: "), F.array_join("names", ", "), F.lit(". List the relations among them.\n"), F.col(content))
+    return relationships(replies(asked.withColumn("_prompt", prompt), provider, block, "_prompt"))
 
 
 def extract(blocks: DataFrame, provider: Callable[[str], str], rounds: int = 0, block: str = "id", content: str = "content") -> tuple[DataFrame, DataFrame]:
-    """(entities, relationships) of blocks, each reply parsed for both; another round adds entities of longer descriptions."""
-    got = replies(blocks, provider, block, content).cache()
+    """(entities, relationships) of blocks, each reply parsed for both; another round, one at most, gleans entities."""
+    got = replies(blocks, provider, block, content)
     found = entities(got)
-    for n in range(min(rounds, 1)):
-        more = replies(blocks, provider, block, content)
-        found = found.unionByName(entities(more).withColumn("pos", F.col("pos") + 1_000_000 * (n + 1)))
-    return found, relationships(got)
+    return (glean(blocks, found, provider, block, content) if rounds > 0 else found), relationships(got)
 
 
 def build_graph(blocks: DataFrame, provider: Callable[[str], str], rounds: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Merged entities and relationships of blocks."""
+    """Merged entities of blocks, and the merged relationships that the first replies name or that are found among each block's entities."""
     e, r = extract(blocks, provider, rounds)
-    return merge_entities(e), merge_relationships(r)
+    among = relations_among(blocks, e, provider)
+    every = r.unionByName(among.withColumn("pos", F.col("pos") + 1_000_000)).groupBy("block_id", "src_id", "tgt_id", "description")
+    every = every.agg(F.min("pos").alias("pos"), F.array_join(F.array_sort(F.collect_set("keywords")), ",").alias("keywords"), F.max("weight").alias("weight"))
+    return merge_entities(e), merge_relationships(every)
 
 
 def entity_names(replies: DataFrame, key: str = "query_id", reply: str = "response") -> DataFrame:

@@ -5,6 +5,8 @@ vertices: (id, name, entity_type, description, language, pagerank); edges: (src,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,69 +37,80 @@ def load(entities: DataFrame, relationships: DataFrame) -> tuple[DataFrame, Data
     return vertices, edges
 
 
-def incident(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """(src, dst, rel_type, strength) of edges at either end of ids, each pair once; out of an id comes before into one."""
-    out = edges.join(ids.select(F.col("id").alias("src")).distinct(), "src", "left_semi").withColumn("into", F.lit(0))
-    into = edges.join(ids.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").withColumn("into", F.lit(1))
-    best = out.unionByName(into.select(*out.columns)).groupBy("src", "dst").agg(F.min(F.struct("into", (-F.col("strength")).alias("s"), "rel_type")).alias("b"))
-    return best.select("src", "dst", F.col("b.rel_type").alias("rel_type"), (-F.col("b.s")).alias("strength"))
+def incident(edges: DataFrame, ids: DataFrame, *keys: str) -> DataFrame:
+    """(keys, src, dst, rel_type, strength) of edges at either end of ids, each pair once; out of an id comes before into one.
+
+    ids: (keys, id); keys such as query_id tell sets of ids apart.
+    """
+    ids = ids.select(*keys, "id").distinct()
+    sides = [edges.join(ids.withColumnRenamed("id", end), end).withColumn("into", F.lit(k)) for k, end in enumerate(("src", "dst"))]
+    every = reduce(DataFrame.unionByName, [x.select(*keys, "src", "dst", "rel_type", "strength", "into") for x in sides])
+    best = every.groupBy(*keys, "src", "dst").agg(F.min(F.struct("into", (-F.col("strength")).alias("s"), "rel_type")).alias("b"))
+    return best.select(*keys, "src", "dst", F.col("b.rel_type").alias("rel_type"), (-F.col("b.s")).alias("strength"))
 
 
-def neighbours(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """(seed, id, hops): what lies within so many undirected hops of each seed, the seed itself left out, by least hops."""
+def neighbours(edges: DataFrame, seeds: DataFrame, hops: int, *keys: str) -> DataFrame:
+    """(keys, seed, id, hops): what lies within so many undirected hops of each seed, the seed itself left out, by least hops. seeds: (keys, id)."""
     both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    reached = seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("hops"))
+    reached = seeds.select(*keys, F.col("id").alias("seed"), "id", F.lit(0).alias("hops")).distinct()
     front = reached
     for n in range(1, hops + 1):
-        step = front.join(both, front["id"] == both["src"]).select("seed", F.col("dst").alias("id"), F.lit(n).alias("hops")).distinct()
-        front = step.join(reached.select("seed", "id"), ["seed", "id"], "left_anti")
+        step = front.join(both, front["id"] == both["src"]).select(*keys, "seed", F.col("dst").alias("id"), F.lit(n).alias("hops")).distinct()
+        front = step.join(reached.select(*keys, "seed", "id"), [*keys, "seed", "id"], "left_anti")
         reached = reached.unionByName(front)
     return reached.where("hops > 0")
 
 
-def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = 20, damping: float = 0.85, every: int = 5) -> DataFrame:
+def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = 100, damping: float = 0.85, every: int = 5, tolerance: float | None = 1e-6) -> DataFrame:
     """(id, pagerank): weighted and directed, the mass of vertices without edges shared by all.
 
     A round is one join and one aggregation; the dangling mass is a one-row table joined in, so no round
-    waits for the driver. Lineage is cut in the shared folder every few rounds. Parallel edges collapse
-    to the greatest strength.
+    waits for the driver. Lineage is cut in the shared folder every few rounds; there the rounds end too
+    if the last one's changes sum to less than `tolerance` a vertex (null: all rounds are run). Parallel
+    edges collapse to the greatest strength.
     """
     ids = vertices.select("id").distinct()
     one = edges.where("strength > 0").groupBy("src", "dst").agg(F.max("strength").alias("strength"))
     total = one.groupBy("src").agg(F.sum("strength").alias("out"))
     share = cut(one.join(total, "src").select("src", "dst", (F.col("strength") / F.col("out")).alias("share")))
     n = ids.agg(F.count("*").alias("n"))
-    rank = cut(ids.join(total.select(F.col("src").alias("id"), F.lit(True).alias("has")), "id", "left").crossJoin(F.broadcast(n)).select("id", F.coalesce("has", F.lit(False)).alias("has"), "n", (1.0 / F.col("n")).alias("r")))
+    has = total.select(F.col("src").alias("id"), F.lit(True).alias("has"))
+    first = (1.0 / F.col("n")).alias("r")
+    rank = cut(ids.join(has, "id", "left").crossJoin(F.broadcast(n)).select("id", F.coalesce("has", F.lit(False)).alias("has"), "n", first, F.lit(0.0).alias("was")))
     for i in range(iterations):
         dangling = rank.agg(F.sum(F.when(~F.col("has"), F.col("r")).otherwise(0.0)).alias("d"))
         got = rank.join(share, rank["id"] == share["src"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("r") * F.col("share")).alias("got"))
-        rank = rank.join(got, "id", "left").crossJoin(F.broadcast(dangling)).select("id", "has", "n", ((1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("d") / F.col("n"))).alias("r"))
+        new = (1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("d") / F.col("n"))
+        rank = rank.join(got, "id", "left").crossJoin(F.broadcast(dangling)).select("id", "has", "n", new.alias("r"), F.col("r").alias("was"))
         if (i + 1) % every == 0:
             rank = cut(rank)
+            moved = rank.agg(F.sum(F.abs(F.col("r") - F.col("was"))).alias("moved"), F.max("n").alias("n")).first() if tolerance is not None else None
+            if moved and (moved.moved is None or moved.moved < moved.n * tolerance):
+                break
     return rank.select("id", F.col("r").alias("pagerank"))
 
 
 def search(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, top_k: int = 5, hops: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(entities, relationships) around scored seeds (id, score); vertices with pagerank.
+    """(entities, relationships) around the scored seeds (query_id, id, score) of each query; vertices with pagerank.
 
     A neighbour scores min(0.95, 0.6 / (hops + 1)) and replaces a seed that it is; a seed's page rank
     counts 0.1. Entities are ordered by score x page rank, relationships by strength.
     """
-    near = neighbours(edges, seeds, hops).select("id").distinct()
-    known = near.join(vertices.select("id", "pagerank"), "id").select("id", F.lit(min(0.95, 0.6 / (hops + 1))).alias("score"), "pagerank")
-    own = seeds.join(near, "id", "left_anti").select("id", "score", F.lit(0.1).alias("pagerank"))
+    near = neighbours(edges, seeds, hops, "query_id").select("query_id", "id").distinct()
+    known = near.join(vertices.select("id", "pagerank"), "id").select("query_id", "id", F.lit(min(0.95, 0.6 / (hops + 1))).alias("score"), "pagerank")
+    own = seeds.join(near, ["query_id", "id"], "left_anti").groupBy("query_id", "id").agg(F.max("score").alias("score")).withColumn("pagerank", F.lit(0.1))
     every = known.unionByName(own).withColumn("weight", F.round(F.col("score") * F.col("pagerank"), 9))
-    entities = every.orderBy(F.desc("weight"), "id").limit(top_k)
-    around = incident(edges, seeds.select("id").union(near)).orderBy(F.desc("strength"), "src", "dst").limit(top_k)
-    return entities, around
+    first = lambda df, *order: df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= top_k)
+    around = incident(edges, seeds.select("query_id", "id").union(near), "query_id")
+    return first(every, F.desc("weight"), "id"), first(around, F.desc("strength"), "src", "dst")
 
 
 def result_rows(entities: DataFrame, relationships: DataFrame) -> DataFrame:
-    """Both as results (doc, content, score, channel)."""
-    e = entities.select(F.col("id").alias("doc"), F.concat(F.lit("[Entity] "), "id").alias("content"), F.coalesce("score", F.lit(0.5)).alias("score"), F.lit("graph/entity").alias("channel"))
+    """Both as results (query_id, doc, content, score, channel, rank)."""
+    e = entities.select("query_id", F.col("id").alias("doc"), F.concat(F.lit("[Entity] "), "id").alias("content"), F.coalesce("score", F.lit(0.5)).alias("score"), F.lit("graph/entity").alias("channel"), "rank")
     r = relationships.select(
-        F.concat_ws("_", "src", "rel_type", "dst").alias("doc"), F.format_string("[Relationship] %s --[%s]--> %s", "src", "rel_type", "dst").alias("content"),
-        F.coalesce("strength", F.lit(0.3)).alias("score"), F.lit("graph/relationship").alias("channel"),
+        "query_id", F.concat_ws("_", "src", "rel_type", "dst").alias("doc"), F.format_string("[Relationship] %s --[%s]--> %s", "src", "rel_type", "dst").alias("content"),
+        F.coalesce("strength", F.lit(0.3)).alias("score"), F.lit("graph/relationship").alias("channel"), "rank",
     )
     return e.unionByName(r)
 
@@ -115,6 +128,8 @@ def between(edges: DataFrame, src: str | None = None, dst: str | None = None) ->
 
 
 def lookup(vertices: DataFrame, names: DataFrame) -> DataFrame:
-    """Vertices whose id or name is among names (name), each once."""
+    """Vertices whose id or name is among names (name), each once: two equi joins, those found by id left out of the second."""
     keys = names.select(F.lower("name").alias("_key")).distinct()
-    return vertices.join(keys, (F.lower("id") == F.col("_key")) | (F.lower("name") == F.col("_key")), "left_semi")
+    by_id = vertices.join(keys, F.lower(vertices["id"]) == keys["_key"], "left_semi")
+    rest = vertices.join(keys, F.lower(vertices["id"]) == keys["_key"], "left_anti")
+    return by_id.unionByName(rest.join(keys, F.lower(rest["name"]) == keys["_key"], "left_semi"))

@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import geometry, scores, text
 from siftwell.operators import bm25, chunking, context, extraction, fusion, graph, layout, render, rerank, retrieval
-from siftwell.session import table
+from siftwell.session import cut, table
 from siftwell.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-ASKED = {1: "regional ledger inspection", 2: "vector index pressure límites", 3: "archived document schedule schedule"}
-VALUES = ", ".join(f"({k}::BIGINT, '{v}')" for k, v in ASKED.items())
+ASKED = "SELECT doc_id AS query_id, title AS text FROM documents WHERE doc_id % 20 = 0 AND title IS NOT NULL"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -29,8 +28,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def asked(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(ASKED.items()), "query_id long, text string")
+def asked(spark: SparkSession, sf: str) -> DataFrame:
+    """The searches' questions: the title of every document whose id is divisible by 20."""
+    return table(spark, sf, "documents").where("doc_id % 20 = 0 and title is not null").select(F.col("doc_id").alias("query_id"), F.col("title").alias("text"))
 
 
 def r6(c):
@@ -45,16 +45,21 @@ postings AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(w) AS ter
 lengths AS (SELECT doc, len(w) AS len FROM words),
 corpus AS (SELECT count(*) AS n, coalesce(avg(len), 0) AS avgdl FROM lengths),
 terms AS (SELECT term, count(*) AS df, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM postings, corpus GROUP BY term),
-asked AS (SELECT query_id, unnest({TOKENS.format("text")}) AS term FROM (VALUES {VALUES}) t(query_id, text)),
+questions AS ({ASKED}),
+asked AS (SELECT query_id, unnest({TOKENS.format("text")}) AS term FROM questions),
 hit AS (SELECT query_id, doc, greatest(0.0, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl)))) AS score
         FROM asked JOIN postings USING (term) JOIN terms USING (term) JOIN lengths USING (doc), corpus GROUP BY ALL),
-every AS (SELECT q.query_id, l.doc, coalesce(h.score, 0.0) AS score FROM (SELECT DISTINCT query_id FROM asked) q CROSS JOIN lengths l LEFT JOIN hit h USING (query_id, doc)),
+every AS (SELECT q.query_id, l.doc, coalesce(h.score, 0.0) AS score FROM (SELECT DISTINCT query_id FROM questions) q CROSS JOIN lengths l LEFT JOIN hit h USING (query_id, doc)),
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc) AS rank FROM every QUALIFY rank <= 10)
 """
 
 
-def index(spark: SparkSession, sf: str) -> bm25.Index:
-    return bm25.build(table(spark, sf, "documents"), "doc_id", "text")
+def index(spark: SparkSession, sf: str, queries: DataFrame | None = None) -> bm25.Index:
+    return bm25.build(table(spark, sf, "documents"), "doc_id", "text", queries)
+
+
+def ten_best(spark: SparkSession, sf: str) -> DataFrame:
+    return bm25.search(index(spark, sf, asked(spark, sf)), asked(spark, sf), 10)
 
 
 @query(f"SELECT doc_id, len(w) AS n_tokens, len(list_distinct(w)) AS n_terms FROM (SELECT doc_id, {TOKENS.format('text')} AS w FROM documents)")
@@ -65,7 +70,8 @@ def bm25_tokenize(spark, sf):
 
 @query(INDEX + "SELECT n, round(avgdl, 6) AS avgdl FROM corpus")
 def bm25_corpus_stats(spark, sf):
-    return index(spark, sf).corpus.select("n", r6(F.col("avgdl")).alias("avgdl"))
+    w = bm25.words(table(spark, sf, "documents"), "doc_id", "text")
+    return bm25.corpus_stats(w.select(F.size("words").alias("len"))).select("n", r6(F.col("avgdl")).alias("avgdl"))
 
 
 @query(INDEX + "SELECT term, df, round(idf, 6) AS idf FROM terms")
@@ -75,12 +81,12 @@ def bm25_term_idf(spark, sf):
 
 @query(INDEX + "SELECT query_id, doc, round(score, 6) AS score, rank::INT AS rank FROM best")
 def bm25_search_topk(spark, sf):
-    return bm25.search(index(spark, sf), asked(spark), 10).select("query_id", "doc", r6(F.col("score")).alias("score"), "rank")
+    return ten_best(spark, sf).select("query_id", "doc", r6(F.col("score")).alias("score"), "rank")
 
 
 @query(INDEX + "SELECT query_id, doc, round(score, 6) AS raw_score, round(least(1.0, score / (score + 1)), 6) AS score FROM best")
 def bm25_saturated(spark, sf):
-    got = bm25.saturated(bm25.search(index(spark, sf), asked(spark), 10))
+    got = bm25.saturated(ten_best(spark, sf))
     return got.select("query_id", "doc", r6(F.col("raw_score")).alias("raw_score"), r6(F.col("score")).alias("score"))
 
 
@@ -191,14 +197,14 @@ WORDS = r"list_filter(regexp_split_to_array(lower({}), '\s+'), lambda w: w <> ''
 SIMPLE = f"""0.6 * len(list_intersect(list_distinct({WORDS.format("query")}), list_distinct({WORDS.format("substring(content, 1, 500)")}))) / greatest(len(list_distinct({WORDS.format("query")})), 1)
  + 0.2 * greatest(0.0, least(1.0, 1 - abs(300 - len({WORDS.format("content")})) / 1000.0)) + 0.2 * score"""
 CANDIDATES = INDEX + f""", rows AS (SELECT b.query_id, v.text AS query, b.doc, d.text AS content, least(1.0, b.score / (b.score + 1)) AS score
-  FROM best b JOIN (VALUES {VALUES}) v(query_id, text) USING (query_id) JOIN documents d ON d.doc_id = b.doc)
+  FROM best b JOIN questions v USING (query_id) JOIN documents d ON d.doc_id = b.doc)
 """
 
 
 def candidates(spark, sf):
-    found = bm25.saturated(bm25.search(index(spark, sf), asked(spark), 10)).select("query_id", "doc", "score")
+    found = bm25.saturated(ten_best(spark, sf)).select("query_id", "doc", "score")
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("content"))
-    return found.join(docs, "doc").join(asked(spark).withColumnRenamed("text", "query"), "query_id")
+    return docs.join(found, "doc").join(asked(spark, sf).withColumnRenamed("text", "query"), "query_id")
 
 
 @query(CANDIDATES + f"SELECT query_id, doc, round({SIMPLE}, 6) AS score FROM rows")
@@ -220,27 +226,36 @@ def rerank_embedding_blend(spark, sf):
     return rerank.embedding_blend(rows).select("query_id", "doc", r6(F.col("score")).alias("score"))
 
 
-HYBRID = INDEX + f""", probes AS (SELECT a.query_id, b.vec_id AS doc, greatest(0.0, least(1.0, {SIM.replace("a.embedding", "a.e").replace("b.embedding", "b.embedding")})) AS score
-  FROM (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id IN (1, 2, 3)) a CROSS JOIN embeddings b
+HYBRID_ROWS = INDEX + f""", probes AS (SELECT a.query_id, b.vec_id AS doc, greatest(0.0, least(1.0, {SIM.replace("a.embedding", "a.e").replace("b.embedding", "b.embedding")})) AS score
+  FROM (SELECT vec_id AS query_id, embedding AS e FROM embeddings JOIN questions ON query_id = vec_id) a CROSS JOIN embeddings b
   QUALIFY row_number() OVER (PARTITION BY a.query_id ORDER BY round(greatest(0.0, least(1.0, {SIM.replace("a.embedding", "a.e")})), 9) DESC, b.vec_id) <= 10),
 lists AS (SELECT query_id, doc, score, 'vector' AS channel FROM probes UNION ALL SELECT query_id, doc, least(1.0, score / (score + 1)), 'bm25' FROM best),
 norm AS (SELECT *, max(score) OVER w - min(score) OVER w AS width, min(score) OVER w AS lo FROM lists WINDOW w AS (PARTITION BY query_id, channel)),
 fused AS (SELECT query_id, doc, score FROM (SELECT query_id, doc, {AVG} AS score FROM norm GROUP BY ALL) {FUSED}),
-rows AS (SELECT f.query_id, v.text AS query, f.doc, d.text AS content, f.score FROM fused f JOIN (VALUES {VALUES}) v(query_id, text) USING (query_id) JOIN documents d ON d.doc_id = f.doc),
-ranked AS (SELECT query_id, doc, {SIMPLE} AS score FROM rows)
-SELECT query_id, doc, round(score, 6) AS score FROM ranked QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc) <= 5"""
+rows AS (SELECT f.query_id, v.text AS query, f.doc, d.text AS content, f.score FROM fused f JOIN questions v USING (query_id) JOIN documents d ON d.doc_id = f.doc),
+scored AS (SELECT query_id, doc, {SIMPLE} AS score FROM rows),
+flagship AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc)::INT AS rank FROM scored QUALIFY rank <= 5)
+"""
+
+
+def probed(spark, sf):
+    """The questions' vectors, where they have one (vec_id standing for doc_id)."""
+    return vectors(spark, sf).join(asked(spark, sf), F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("query"))
 
 
-@query(HYBRID)
+def flagship(spark, sf):
+    b = bm25.saturated(ten_best(spark, sf)).select("query_id", "doc", "score", F.lit("bm25").alias("channel"))
+    v = retrieval.vector_search(vectors(spark, sf), probed(spark, sf), "vec_id", 10).select("query_id", F.col("vec_id").alias("doc"), F.col("similarity").alias("score"), F.lit("vector").alias("channel"))
+    top = cut(fusion.fuse(v.unionByName(b), "weighted_avg", 10).select("query_id", "doc", "score"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("content"))
+    rows = docs.join(top, "doc").join(asked(spark, sf).withColumnRenamed("text", "query"), "query_id")
+    return rerank.simple(rows, 5)
+
+
+@query(HYBRID_ROWS + "SELECT query_id, doc, round(score, 6) AS score FROM flagship")
 def hybrid_rerank(spark, sf):
     """The flagship: BM25 over documents and vectors (vec_id standing for doc_id) fused and reranked."""
-    b = bm25.saturated(bm25.search(index(spark, sf), asked(spark), 10)).select("query_id", "doc", "score", F.lit("bm25").alias("channel"))
-    asks = vectors(spark, sf).where("vec_id in (1, 2, 3)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    v = retrieval.vector_search(vectors(spark, sf), asks, "vec_id", 10).select("query_id", F.col("vec_id").alias("doc"), F.col("similarity").alias("score"), F.lit("vector").alias("channel"))
-    top = fusion.fuse(v.unionByName(b), "weighted_avg", 10).select("query_id", "doc", "score")
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("content"))
-    rows = top.join(docs, "doc").join(asked(spark).withColumnRenamed("text", "query"), "query_id")
-    return rerank.simple(rows, 5).select("query_id", "doc", r6(F.col("score")).alias("score"))
+    return flagship(spark, sf).select("query_id", "doc", r6(F.col("score")).alias("score"))
 
 
 # --- text functions ---------------------------------------------------------------------------------
@@ -344,11 +359,6 @@ def page_marker(spark, sf):
     return table(spark, sf, "text_blocks").select("id", text.page_marker(F.col("text")).alias("marker")).distinct()
 
 
-@query("""SELECT query_id, list_sort(list(s))::VARCHAR AS ignored, count(*) AS n FROM (SELECT query_id, doc_id AS s FROM retrieval_results) GROUP BY query_id""".replace("list_sort(list(s))::VARCHAR AS ignored, ", ""))
-def results_per_query(spark, sf):
-    return table(spark, sf, "retrieval_results").groupBy("query_id").agg(F.count("*").alias("n"))
-
-
 @query("""SELECT query_id, doc_id, CASE WHEN list_contains(list_transform(p, lambda x: x IS NULL), true) THEN 0.5 ELSE coalesce(p[1], 0.5) END AS first, CASE WHEN list_contains(list_transform(p, lambda x: x IS NULL), true) THEN 0.5 ELSE coalesce(p[2], 0.5) END AS second
 FROM (SELECT DISTINCT query_id, doc_id, list_transform(string_split(CASE WHEN query_id % 3 = 0 THEN ' 0.25' WHEN query_id % 3 = 1 THEN ' 0.5, 0.125' ELSE ' none' END, ','), lambda s: TRY_CAST(trim(s) AS DOUBLE)) AS p FROM retrieval_results)""")
 def rerank_score_parse(spark, sf):
@@ -469,6 +479,31 @@ def markdown_documents(spark, sf):
     return chunking.is_markdown(b, "doc_id", F.col("metadata.source"), "type", "content")
 
 
+_ONE = "one AS (SELECT * FROM (SELECT DISTINCT ON (id) doc_id AS doc, pos, id, type, content, metadata.source AS source FROM content_blocks ORDER BY id) UNION ALL SELECT 'text-' || doc_id, 0, 'text-' || doc_id, 'text', text, NULL FROM documents)"
+DISPATCH = _ONE + r""", doc AS (SELECT doc, count(*) AS n, bool_or(type = 'text') AS is_text, any_value(content) AS content,
+    coalesce(bool_or(source = 'converted_markdown'), false) OR (count(*) = 1 AND coalesce(bool_or(type = 'text' AND regexp_matches(content, '(?m)^#{1,6}\s+')), false)) AS markdown FROM one GROUP BY doc),
+single AS (SELECT doc AS doc_id, content AS text FROM doc WHERE n = 1 AND is_text AND markdown)"""
+WAY = "way AS (SELECT doc, coalesce(b, false) AS by_section FROM doc LEFT JOIN (SELECT doc, count(DISTINCT level) > 1 OR count_if(level = 1) > 1 AS b FROM lines WHERE level <> 99 GROUP BY doc) USING (doc))"
+
+
+def full_blocks(spark, sf):
+    """The blocks of parsed files, and each document as a file of one block."""
+    b = table(spark, sf, "content_blocks").select("doc_id", "pos", "id", "type", "content", F.col("metadata.source").alias("source")).dropDuplicates(["id"])
+    name = F.concat(F.lit("text-"), "doc_id")
+    return b.unionByName(table(spark, sf, "documents").select(name.alias("doc_id"), F.lit(0).alias("pos"), name.alias("id"), F.lit("text").alias("type"), F.col("text").alias("content"), F.lit(None).cast("string").alias("source")))
+
+
+@query("WITH " + DISPATCH + ", " + LINES.removeprefix("WITH ").replace("FROM documents", "FROM single") + ", " + WAY + " SELECT doc, by_section FROM way")
+def chunk_dispatch(spark, sf):
+    return chunking.dispatch(full_blocks(spark, sf), "doc_id", "pos", F.col("source"), "type", "content")
+
+
+@query()
+def chunks_by_dispatch(spark, sf):
+    """Every document cut by the chunker it goes to; both chunkers have SQL of their own, and so has the dispatch."""
+    return chunking.chunks(full_blocks(spark, sf), "doc_id", "pos", F.col("source"), "type", "content")
+
+
 @query()
 def merged_lines(spark, sf):
     """Incomplete lines joined; a fold without SQL, tested against a plain version."""
@@ -521,14 +556,8 @@ _S = "((b.x1 - b.x0) * (b.y1 - b.y0))"
 
 @query(f"""WITH t AS (SELECT DISTINCT ON (id) * FROM text_blocks)
 SELECT a.id AS id_a, b.id AS id_b, round({_A} / ({_R} + {_S} - {_A}), 6) AS iou, round(greatest({_A} / {_R}, {_A} / {_S}), 6) AS most, round(sqrt(((a.x0 + a.x1 - b.x0 - b.x1) / 2) ** 2 + ((a.y0 + a.y1 - b.y0 - b.y1) / 2) ** 2), 6) AS apart
-FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.page_num = a.page_num + 1 AND a.y0 < 100 AND b.y0 < 100""")
+FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.page_num = a.page_num + 1""")
 def box_overlaps(spark, sf):
-    return overlaps(table(spark, sf, "text_blocks").dropDuplicates(["id"]).where("y0 < 100"))
-
-
-@query(SQL["box_overlaps"].removesuffix(" AND a.y0 < 100 AND b.y0 < 100"))
-def box_overlaps_whole(spark, sf):
-    """All blocks of consecutive pages; box_overlaps and its SQL take those near the top alone."""
     return overlaps(table(spark, sf, "text_blocks").dropDuplicates(["id"]))
 
 
@@ -553,39 +582,43 @@ def follows_graph(spark, sf):
     return graph.follows(one_chunks(spark, sf), "id", "text", ["id"], "doc_id")[1]
 
 
-EDGES = """WITH e AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, 'supplies' AS rel_type, count(*)::DOUBLE AS strength FROM lineitem GROUP BY ALL)"""
+EDGES_ONLY = "e AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, 'supplies' AS rel_type, count(*)::DOUBLE AS strength FROM lineitem GROUP BY ALL)"
+EDGES = "WITH " + EDGES_ONLY
+SEEDS = ", seeds AS (SELECT s_suppkey AS query_id, unnest(['s' || s_suppkey, 'p' || s_suppkey]) AS id, unnest([0.9::DOUBLE, 0.8]) AS score FROM supplier WHERE s_suppkey % 20 = 0)"
 
 
 def edges(spark, sf):
     e = table(spark, sf, "lineitem").groupBy(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).agg(F.count("*").cast("double").alias("strength"))
-    return e.select("src", "dst", F.lit("supplies").alias("rel_type"), "strength")
+    return cut(e.select("src", "dst", F.lit("supplies").alias("rel_type"), "strength"))
 
 
-def seeds(spark):
-    return spark.createDataFrame([("s1", 0.9), ("p1", 0.8)], "id string, score double")
+def seeds(spark, sf):
+    """The graph searches' seeds: every supplier whose key is divisible by 20, and the part of that key."""
+    s = table(spark, sf, "supplier").where("s_suppkey % 20 = 0").select(F.col("s_suppkey").alias("query_id"))
+    both = F.array(*[F.struct(F.concat(F.lit(x), "query_id").alias("id"), F.lit(v).alias("score")) for x, v in (("s", 0.9), ("p", 0.8))])
+    return s.select("query_id", F.inline(both))
 
 
-@query(EDGES + "SELECT src, dst, rel_type, strength FROM e WHERE src IN ('s1', 'p1') OR dst IN ('s1', 'p1')")
+@query(EDGES + SEEDS + " SELECT DISTINCT query_id, src, dst, rel_type, strength FROM e JOIN seeds ON e.src = id OR e.dst = id")
 def incident_edges(spark, sf):
-    return graph.incident(edges(spark, sf), seeds(spark))
+    return graph.incident(edges(spark, sf), seeds(spark, sf), "query_id")
 
 
-NEAR = EDGES + """, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
-h1 AS (SELECT DISTINCT s.seed, u.dst AS id, 1 AS hops FROM (VALUES ('s1'), ('p1')) s(seed) JOIN u ON u.src = s.seed WHERE u.dst <> s.seed),
-h2 AS (SELECT DISTINCT h.seed, u.dst AS id, 2 AS hops FROM h1 h JOIN u ON u.src = h.id WHERE u.dst <> h.seed AND NOT EXISTS (SELECT 1 FROM h1 x WHERE x.seed = h.seed AND x.id = u.dst)),
+NEAR = """, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+h1 AS (SELECT DISTINCT s.query_id, s.id AS seed, u.dst AS id, 1 AS hops FROM seeds s JOIN u ON u.src = s.id WHERE u.dst <> s.id),
+h2 AS (SELECT DISTINCT h.query_id, h.seed, u.dst AS id, 2 AS hops FROM h1 h JOIN u ON u.src = h.id WHERE u.dst <> h.seed AND NOT EXISTS (SELECT 1 FROM h1 x WHERE x.query_id = h.query_id AND x.seed = h.seed AND x.id = u.dst)),
 near AS (SELECT * FROM h1 UNION ALL SELECT * FROM h2)
 """
 
 
-@query(NEAR + "SELECT seed, id, hops FROM near")
+@query(EDGES + SEEDS + NEAR + "SELECT query_id, seed, id, hops FROM near")
 def nhop_neighbors(spark, sf):
-    return graph.neighbours(edges(spark, sf), seeds(spark), 2)
+    return graph.neighbours(edges(spark, sf), seeds(spark, sf), 2, "query_id")
 
 
 ROUNDS = 6
 RANKS = (
-    EDGES
-    + """, v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), n AS (SELECT count(*) AS n FROM v), o AS (SELECT src, sum(strength) AS out FROM e GROUP BY src),
+    """, v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), n AS (SELECT count(*) AS n FROM v), o AS (SELECT src, sum(strength) AS out FROM e GROUP BY src),
 sh AS (SELECT e.src, e.dst, e.strength / o.out AS share FROM e JOIN o USING (src)), r0 AS (SELECT id, 1.0::DOUBLE / n AS r FROM v, n)
 """
     + "".join(
@@ -594,35 +627,62 @@ sh AS (SELECT e.src, e.dst, e.strength / o.out AS share FROM e JOIN o USING (src
         for k in range(ROUNDS)
     )
 )
+FOUND = (
+    NEAR
+    + f""", k AS (SELECT DISTINCT query_id, id FROM near),
+known AS (SELECT query_id, id, 0.2::DOUBLE AS score, round(r, 9) AS pr FROM k JOIN r{ROUNDS} USING (id) UNION ALL SELECT query_id, id, score, 0.1 FROM seeds s WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.query_id = s.query_id AND k.id = s.id)),
+entities AS (SELECT query_id, id, score, round(score * pr, 9) AS weight, row_number() OVER (PARTITION BY query_id ORDER BY round(score * pr, 9) DESC, id)::INT AS rank FROM known),
+touched AS (SELECT query_id, id FROM k UNION SELECT query_id, id FROM seeds),
+around AS (SELECT DISTINCT query_id, src, dst, rel_type, strength FROM e JOIN touched ON e.src = id UNION SELECT query_id, src, dst, rel_type, strength FROM e JOIN touched ON e.dst = id),
+relations AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY strength DESC, src, dst)::INT AS rank FROM around)
+"""
+)
 
 
-def vertices(spark, sf):
-    e = edges(spark, sf)
+def vertices(e: DataFrame) -> DataFrame:
     return e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
 
 
-@query(RANKS + f"SELECT id, round(r, 9) AS pagerank FROM r{ROUNDS}")
+def ranked(e: DataFrame) -> DataFrame:
+    """Six rounds, as many as the SQL writes out; graph.pagerank by itself goes on to its tolerance."""
+    return graph.pagerank(vertices(e), e, ROUNDS, tolerance=None).select("id", F.round("pagerank", 9).alias("pagerank"))
+
+
+@query(EDGES + RANKS + f"SELECT id, round(r, 9) AS pagerank FROM r{ROUNDS}")
 def pagerank(spark, sf):
-    return graph.pagerank(vertices(spark, sf), edges(spark, sf), ROUNDS).select("id", F.round("pagerank", 9).alias("pagerank"))
+    return ranked(edges(spark, sf))
 
 
 def searched(spark, sf):
-    v = vertices(spark, sf)
-    ranks = graph.pagerank(v, edges(spark, sf), ROUNDS).select("id", F.round("pagerank", 9).alias("pagerank"))
-    return graph.search(ranks, edges(spark, sf), seeds(spark), 10)
+    e = edges(spark, sf)
+    return graph.search(ranked(e), e, seeds(spark, sf), 10)
 
 
-@query(RANKS + NEAR.removeprefix(EDGES) + f""", k AS (SELECT DISTINCT id FROM near),
-every AS (SELECT k.id, 0.2::DOUBLE AS score, round(r, 9) AS pr FROM k JOIN r{ROUNDS} USING (id) UNION ALL SELECT * FROM (VALUES ('s1', 0.9::DOUBLE, 0.1::DOUBLE), ('p1', 0.8, 0.1)) WHERE col0 NOT IN (SELECT id FROM k))
-SELECT id, round(score * pr, 9) AS weight FROM every ORDER BY weight DESC, id LIMIT 10""")
+@query(EDGES + SEEDS + RANKS + FOUND + "SELECT query_id, id, weight, rank FROM entities WHERE rank <= 10")
 def graph_search_entities(spark, sf):
-    return searched(spark, sf)[0].select("id", "weight")
+    return searched(spark, sf)[0].select("query_id", "id", "weight", "rank")
 
 
-@query(NEAR + """, k AS (SELECT id FROM near UNION VALUES ('s1'), ('p1'))
-SELECT 'src' AS side, src, dst, strength FROM e WHERE src IN (SELECT id FROM k) OR dst IN (SELECT id FROM k) ORDER BY strength DESC, src, dst LIMIT 10""".replace("'src' AS side, ", ""))
+@query(EDGES + SEEDS + RANKS + FOUND + "SELECT query_id, src, dst, strength, rank FROM relations WHERE rank <= 10")
 def graph_search_relationships(spark, sf):
-    return searched(spark, sf)[1].select("src", "dst", "strength")
+    return searched(spark, sf)[1].select("query_id", "src", "dst", "strength", "rank")
+
+
+LINKS = "e AS (SELECT 'v' || vec_id AS src, 'v' || lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS dst, 'follows' AS rel_type, 0.7::DOUBLE AS strength FROM embeddings QUALIFY dst IS NOT NULL)"
+NEAREST = f"""SELECT questions.query_id, 'v' || b.vec_id AS id, greatest(0.0, least(1.0, {SIM})) AS score FROM embeddings a JOIN questions ON query_id = a.vec_id CROSS JOIN embeddings b
+  QUALIFY row_number() OVER (PARTITION BY questions.query_id ORDER BY round(greatest(0.0, least(1.0, {SIM})), 9) DESC, 'v' || b.vec_id) <= 5"""
+
+
+@query(HYBRID_ROWS + f", {LINKS}, seeds AS ({NEAREST})" + RANKS + FOUND + """SELECT query_id, doc::VARCHAR AS doc, round(score, 6) AS score, 'text' AS channel, rank FROM flagship
+UNION ALL SELECT query_id, id, round(score, 6), 'graph/entity', rank FROM entities WHERE rank <= 5
+UNION ALL SELECT query_id, src || '_' || rel_type || '_' || dst, round(strength, 6), 'graph/relationship', rank FROM relations WHERE rank <= 5""")
+def hybrid_graph_rerank(spark, sf):
+    """The flagship's passages with the graph channel beside them: vectors as entities, linked to the next of their label."""
+    v = vectors(spark, sf).select(F.concat(F.lit("v"), "vec_id").alias("id"), "embedding", "label", "vec_id")
+    e = cut(v.select(F.col("id").alias("src"), F.lead("id").over(Window.partitionBy("label").orderBy("vec_id")).alias("dst"), F.lit("follows").alias("rel_type"), F.lit(0.7).alias("strength")).where("dst is not null"))
+    around = retrieval.graph_channel(v.select("id", "embedding"), ranked(e), e, probed(spark, sf), 5, 5)
+    texts = flagship(spark, sf).select("query_id", F.col("doc").cast("string").alias("doc"), "score", F.lit("text").alias("channel"), "rank")
+    return texts.unionByName(around.select("query_id", "doc", "score", "channel", "rank")).withColumn("score", r6(F.col("score")))
 
 
 # --- extraction -------------------------------------------------------------------------------------
@@ -684,16 +744,15 @@ def layout_hints(spark, sf):
     return hinted(spark, sf).select("id", "level")
 
 
-@query(f"""WITH {ONE_BLOCKS}, m AS (SELECT doc, pos, CASE WHEN kind = 'image' THEN '![' || regexp_replace({_CLEAN}, '^.*/', '') || '](' || {_CLEAN} || ')' WHEN kind = 'code' THEN '```' || chr(10) || {_CLEAN} || chr(10) || '```'
-  WHEN regexp_matches(lower(lt), 'title|section|head|chapter') AND ln BETWEEN 1 AND 6 THEN repeat('#', ln) || ' ' || {_CLEAN} ELSE {_CLEAN} END AS m FROM b WHERE kind <> 'table')
+@query(rf"""WITH {ONE_BLOCKS}, t AS (SELECT id, c, list_transform(list_filter(string_split(c, chr(10)), lambda s: trim(s) <> ''), lambda l: list_transform(CASE WHEN contains(l, ' | ') THEN string_split(l, ' | ') WHEN contains(l, chr(9)) THEN string_split(l, chr(9)) ELSE string_split(l, ',') END, lambda c: trim(c))) AS every
+  FROM (SELECT id, {_CLEAN} AS c FROM b WHERE kind = 'table')),
+u AS (SELECT id, c, list_filter(every, lambda r, i: list_position(every, r) = i) AS rows FROM t),
+tables AS (SELECT id, CASE WHEN len(rows) = 0 THEN c ELSE array_to_string(list_concat(['| ' || array_to_string(rows[1], ' | ') || ' |', '| ' || array_to_string(list_transform(rows[1], lambda c: '---'), ' | ') || ' |'],
+  list_transform(rows[2:], lambda r: '| ' || array_to_string(list_resize(r, len(rows[1]), ''), ' | ') || ' |')), chr(10)) END AS markdown FROM u),
+m AS (SELECT doc, pos, CASE WHEN kind = 'table' THEN tables.markdown WHEN kind = 'image' THEN '![' || regexp_replace({_CLEAN}, '^.*/', '') || '](' || {_CLEAN} || ')' WHEN kind = 'code' THEN '```' || chr(10) || {_CLEAN} || chr(10) || '```'
+  WHEN regexp_matches(lower(lt), 'title|section|head|chapter') AND ln BETWEEN 1 AND 6 THEN repeat('#', ln) || ' ' || {_CLEAN} ELSE {_CLEAN} END AS m FROM b LEFT JOIN tables USING (id))
 SELECT doc, string_agg(m, chr(10) || chr(10) ORDER BY pos, m) AS markdown FROM m GROUP BY doc""")
 def document_markdown(spark, sf):
-    return as_markdown(hinted(spark, sf).where("kind <> 'table'"))
-
-
-@query()
-def document_markdown_whole(spark, sf):
-    """Blocks of every kind; document_markdown and its SQL leave tables out. Without SQL, tested on a fixture."""
     return as_markdown(hinted(spark, sf))
 
 
@@ -745,7 +804,8 @@ def result_languages(spark, sf):
 
 @query(EDGES + "SELECT (SELECT count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e)) AS entities, (SELECT count(*) FROM e) AS relationships")
 def graph_stats(spark, sf):
-    return graph.stats(vertices(spark, sf), edges(spark, sf))
+    e = edges(spark, sf)
+    return graph.stats(vertices(e), e)
 
 
 @query("SELECT DISTINCT id, CASE type WHEN 'image' THEN 'Image: ' || content WHEN 'table' THEN 'Table: ' || substring(content, 1, 500) WHEN 'code' THEN 'Code (' || len(list_filter(string_split(content, chr(10)), lambda s: trim(s) <> '')) || ' lines): ' || substring(content, 1, 200) ELSE content END AS description FROM content_blocks")

@@ -107,6 +107,14 @@ def base64_images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.base64("content").alias("base64"))
 
 
-def knowledge_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(entities, relationships) of a saved graph."""
-    return spark.read.json(f"{path}/entities"), spark.read.json(f"{path}/relationships")
+def knowledge_graph(spark: SparkSession, path: str, form: str = "parquet") -> tuple[DataFrame, DataFrame]:
+    """(vertices, edges) of a saved graph."""
+    return spark.read.format(form).load(f"{path}/graph/vertices"), spark.read.format(form).load(f"{path}/graph/edges")
+
+
+def knowledge_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(entities, relationships) of a graph in the interchange form: one JSON document, entities an object by name, relationships a list."""
+    entity = "struct<entity_name: string, entity_type: string, description: string>"
+    relation = "struct<src_id: string, tgt_id: string, keywords: string, description: string, weight: double>"
+    whole = spark.read.schema(f"entities map<string, {entity}>, relationships array<{relation}>").option("multiLine", True).json(path)
+    return whole.select(F.explode("entities").alias("key", "e")).select("key", "e.*"), whole.select(F.explode("relationships").alias("r")).select("r.*")

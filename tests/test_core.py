@@ -119,6 +119,15 @@ def test_rerankers(spark):
 # --- chunking ---
 
 
+def test_dispatch(spark):
+    data = [("md", 0, "text", "# A\n\ntext\n\n## B\n\nmore", None), ("two", 0, "text", "# A\nx\n# B\ny", None), ("flat", 0, "text", "# A\nx", None), ("plain", 0, "text", "just text", None), ("parts", 0, "text", "# A\n## B", "converted_markdown"), ("parts", 1, "text", "x", None), ("none", 0, "text", None, None)]
+    b = spark.createDataFrame(data, "doc string, pos int, kind string, content string, source string")
+    way = {r.doc: r.by_section for r in chunking.dispatch(b, "doc", "pos", F.col("source"), "kind", "content").collect()}
+    assert way == {"md": True, "two": True, "flat": False, "plain": False, "parts": False, "none": False}
+    got = {(r.doc, r.method) for r in chunking.chunks(b, "doc", "pos", F.col("source"), "kind", "content").collect()}
+    assert got == {("md", "section"), ("two", "section"), ("flat", "token"), ("plain", "token"), ("parts", "token")}
+
+
 def chunked(spark, md):
     return chunking.section_chunks(spark.createDataFrame([("d", md)], "doc string, text string"), "doc", "text").orderBy("chunk_no").collect()
 
@@ -167,7 +176,7 @@ def test_markdown_of_every_kind(spark, tmp_path):
 
     data = [("1", "d", 0, "text", "Title", ("title", 2)), ("2", "d", 1, "table", "a | b\n1 | 2", None), ("2", "d", 1, "table", "a | b\n1 | 2", None), ("3", "d", 2, "code", "x", None), ("4", "e", 0, "table", "p,q", None)]
     spark.createDataFrame(data, "id string, doc_id string, pos int, type string, content string, metadata struct<layout_type string, layoutno int>").write.parquet(str(tmp_path / "content_blocks.parquet"))
-    got = {r.doc: r.markdown for r in q.queries()["document_markdown_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc: r.markdown for r in q.queries()["document_markdown"](spark, str(tmp_path)).collect()}
     assert got == {"d": "## Title\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\n```\nx\n```", "e": "| p | q |\n| --- | --- |"}
 
 
@@ -194,11 +203,11 @@ def test_overlaps_of_whole_pages(spark, tmp_path):
     data = [("top", 0, 0.0, 10.0), ("foot", 0, 800.0, 810.0), ("next", 1, 800.0, 810.0), ("next", 1, 800.0, 810.0), ("far", 3, 800.0, 810.0)]
     t = spark.createDataFrame([(i, "d", p, 0.0, y0, 10.0, y1) for i, p, y0, y1 in data], "id string, doc_id string, page_num int, x0 double, y0 double, x1 double, y1 double")
     t.write.parquet(str(tmp_path / "text_blocks.parquet"))
-    got = {tuple(r) for r in q.queries()["box_overlaps_whole"](spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in q.queries()["box_overlaps"](spark, str(tmp_path)).collect()}
     assert got == {("foot", "next", 1.0, 1.0, 0.0), ("top", "next", 0.0, 0.0, 800.0)}
     con = duckdb.connect()
     con.execute(f"create view text_blocks as select * from '{tmp_path}/text_blocks.parquet/*.parquet'")
-    assert set(con.sql(q.oracle_sql()["box_overlaps_whole"]).fetchall()) == got
+    assert set(con.sql(q.oracle_sql()["box_overlaps"]).fetchall()) == got
 
 
 def test_images(spark):
@@ -238,6 +247,41 @@ def test_extraction(spark):
     assert [x.summary for x in s.collect()] == ["4", "2", ""]
 
 
+def test_gleaning_and_relations_among(spark):
+    blocks = spark.createDataFrame([("x", "enough text here"), ("y", "other text here")], "id string, content string")
+
+    def model(t: str) -> str:
+        if t.startswith("Found so far: Ann"):
+            return "entity<|#|>ann<|#|>person<|#|>Leads the whole team\nentity<|#|>Cy<|#|>person<|#|>New"
+        if t.startswith("Entities: ") and "Ann" in t.split(".")[0]:
+            return "relation<|#|>Ann<|#|>Bob<|#|>works<|#|>together"
+        return "entity<|#|>Ann<|#|>person<|#|>Leads\nentity<|#|>Bob<|#|>person<|#|>Helps" if "enough" in t and not t.startswith(("Found", "Entities")) else ""
+
+    found, relations = extraction.extract(blocks, model, rounds=1)
+    assert {(r.entity_name, r.description) for r in found.collect()} == {("ann", "Leads the whole team"), ("Bob", "Helps"), ("Cy", "New")}
+    assert relations.collect() == []
+    e, r = extraction.build_graph(blocks, model)
+    assert {x.name_key for x in e.collect()} == {"ann", "bob"} and [(x.src, x.dst) for x in r.collect()] == [("ann", "bob")]
+
+
+def test_searches_of_several_queries(spark):
+    e = spark.createDataFrame([("a", "b", "r", 1.0), ("b", "c", "r", 2.0), ("x", "y", "r", 3.0)], "src string, dst string, rel_type string, strength double")
+    v = graph.pagerank(e.select(F.col("src").alias("id")).union(e.select("dst")), e)
+    seeds = spark.createDataFrame([(1, "a", 0.9), (2, "y", 0.5), (2, "y", 0.4), (3, "none", 0.9)], "query_id long, id string, score double")
+    ents, rels = graph.search(v, e, seeds, 5)
+    assert {(r.query_id, r.id) for r in ents.collect()} == {(1, "a"), (1, "b"), (1, "c"), (2, "x"), (2, "y"), (3, "none")}
+    assert {(r.query_id, r.src, r["rank"]) for r in rels.collect()} == {(1, "b", 1), (1, "a", 2), (2, "x", 1)}
+    assert {r.channel for r in graph.result_rows(ents, rels).collect()} == {"graph/entity", "graph/relationship"}
+
+
+def test_queries_in_blocks(spark, monkeypatch):
+    items = spark.createDataFrame([(str(k), [float(k), 1.0]) for k in range(5)], "id string, embedding array<float>")
+    q = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(9)], "query_id long, query array<float>")
+    whole = {tuple(r) for r in retrieval.vector_search(items, q, "id", 2).collect()}
+    monkeypatch.setattr(retrieval, "MAX_QUERIES", 4)
+    assert {tuple(r) for r in retrieval.vector_search(items, q, "id", 2).collect()} == whole and len(whole) == 18
+
+
 def test_graph(spark):
     e = spark.createDataFrame([("a", "b", "r", 1.0), ("b", "c", "r", 1.0), ("c", "a", "r", 1.0), ("c", "c", "r", 2.0), ("a", "b", "r", 3.0), ("d", "a", "r", 1.0)], "src string, dst string, rel_type string, strength double")
     v = spark.createDataFrame([(x,) for x in "abcde"], "id string")
@@ -275,12 +319,18 @@ def test_files(spark, tmp_path):
 
 def test_engine(spark, tmp_path):
     blocks = spark.createDataFrame([(f"d{k}", 0, "text", f"The {w} pump measures pressure.") for k, w in enumerate(["red", "blue", "green"])], "doc_id string, pos int, type string, content string")
-    eng = HybridEngine(spark, str(tmp_path), Config(top_k=2), model=lambda t: REPLY)
-    eng.ingest(blocks)
-    got = eng.query(spark.createDataFrame([(1, "blue pump")], "query_id long, text string")).first()
+    questions = spark.createDataFrame([(1, "blue pump"), (2, "Ann")], "query_id long, text string")
+    silent = HybridEngine(spark, str(tmp_path), Config(top_k=2))
+    silent.ingest(blocks)
+    got = silent.query(questions.where("query_id = 1")).first()
     assert got.sources[0].doc == "d1#0" and "blue" in got.answer and len(got.sources) == 2
+    assert silent.retrieve_graph(questions).collect() == []
+    eng = HybridEngine(spark, str(tmp_path), Config(top_k=2), model=lambda t: f"said of {t.count('[Entity-')} entities" if "Question:" in t else REPLY)
     v, e = eng.build_graph(blocks.select(F.col("doc_id").alias("id"), "content"))
-    assert {r.id for r in v.collect()} == {"ann", "old"}
+    assert {r.id for r in v.collect()} == {"ann", "old"} and {r.id for r in sinks.collection(spark, str(tmp_path), "entities").collect()} == {"ann", "old"}
+    around = eng.retrieve_graph(questions).collect()
+    assert {(r.query_id, r.channel) for r in around} >= {(1, "graph/entity"), (2, "graph/entity")}
+    assert {r.query_id: r.answer for r in eng.query(questions).collect()} == {1: "said of 2 entities", 2: "said of 2 entities"}
     with pytest.raises(ValueError):
         sinks.rebuild_chunks(blocks.limit(0).selectExpr("doc_id as id", "content as text", "type as chunk_type"), spark.createDataFrame([], "id string, embedding array<float>"), str(tmp_path / "x"))
     eng.save_state(str(tmp_path / "state"))
@@ -306,7 +356,7 @@ def test_core_queries_equal_their_sql(spark):
 
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "chunks", "content_blocks", "text_blocks", "page_heights", "retrieval_results", "eval_items", "lineitem", "part", "events"):
+    for t in ("documents", "embeddings", "chunks", "content_blocks", "text_blocks", "page_heights", "retrieval_results", "eval_items", "lineitem", "supplier", "part", "events"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     for name in ("bm25_search_topk", "fuse_weighted_avg", "section_chunks", "running_text", "merge_relations", "incident_edges"):
         rel = con.sql(q.oracle_sql()[name])
