@@ -1,101 +1,153 @@
 """Noise in text from scanned pages.
 
-Words that the clean part of the corpus knows form a trie. A word it doesn't know is intersected with
-it by a Levenshtein automaton whose edits are the usual misreadings, merges and splits such as rn for
-m among them: this gives every known word within the distance and leaves invented names alone.
-Candidates are ranked by how few edits they need, then by frequency in the word's context. Running
-headers, footers and page numbers are what stands in the margin zones of a page. Line ends inside
-words are joined, and lines and pages reflowed to paragraphs.
-
-Blocks with a null id, file, page or text are left out, repeated ids count once, a page of unknown
-height has no margins, and null font sizes don't matter.
+Words that the clean part of the corpus has a few times are known. A word of a scanned page that isn't
+is intersected, by a Levenshtein automaton, with tries of all known words: this gives every known word
+within the distance, usual misreadings, merges and splits such as rn for m among them, counting less
+than other edits. Candidates are ranked by what they cost, then by how often they follow the word
+before them, then by frequency. A name stays as it is: a capitalised word is taken for another only at
+usual misreadings, and for one that is not as rare as names are; edits other than usual misreadings
+count only where a character can't stand in a word or the word before speaks for the candidate.
+
+Nothing that grows with the data is collected: the known words are a table, which the words of pages
+are joined with; only the most frequent ones, at most 1 / COMMON, are told to every task. What no join
+knows meets the known words in blocks of bounded size, each a trie.
+
+Running headers, footers and page numbers are what stands in the margin zones of a page, or, where a
+page has no layout, what repeats at the ends of a file's pages. Line ends inside words are joined, and
+lines and pages reflowed to paragraphs. Blocks with a null id, file, page or text are left out, repeated
+ids count once, a page of unknown height has no margins, and null font sizes don't matter.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siftwell.functions.text import margin_form, page_marker
+from siftwell.llm.leakage import Filter, bit_filter
 from siftwell.llm.lookalike import fold
-from siftwell.session import filled, table
+from siftwell.session import cut, filled, table
 
 # What is read, and what stands there.
 MISREADINGS = """rn m|m rn|m in|m ni|cl d|d cl|ii u|u ii|iii m|ri n|n ri|li h|h li|vv w|w vv|lc k|c e|e c|c o|o c|b h|h b|q g|g q|n u|u n|n h|f t|t f|y v|v y
 1 l|1 i|1 t|| l|| i|| t|! i|! l|! t|l i|i l|l t|t l|i j|j i|I l|l I|1 I|| I|l 1|0 o|0 O|o 0|5 s|5 S|$ s|$ S|6 b|6 é|6 e|6 ó|6 G|8 B|8 b|9 g|9 q|@ a|+ t|€ e|£ e|2 z|2 Z|4 A|? 7|é e|e é|á a|a á|ü u|ö o|ä a|f fi|f fl|ii ü|} )|{ (|¢ c|© e|3 e|3 B|7 T|7 t|% x|& a|* x|# h"""
 CONFUSED = frozenset(tuple(x.split(" ")) for line in MISREADINGS.split("\n") for x in re.findall(r"(?:\| |[^| ]+ )[^| ]+", line))
 HYPHEN = re.compile(r"[-‐‑­¬]\s*$")
+HYPHENS_SEEN = re.compile("[-‐‑­¬]")
 WORD = re.compile(r"[^\W\d_]+(?:[-‑][^\W\d_]+)*")
 EDGE = re.compile(r"^[^\w|@$!+€]+|[^\w|@$!+€]+$")
 END = re.compile(r"[.!?。！？…:][\"'”’»)\]]*\s*$")
 APOSTROPHE = re.compile(r"(['’])")
 
 
+LEAST = 3  # times that the clean texts have a known word, or a pair of words
+COMMON = 2e-5  # share of all words from which a known word is told to every task
+NAMES = 2e-6  # share of all words that a candidate for a capitalised word must have
+TRIE_WORDS = 200_000
+OTHER = 3  # what an edit costs that is no usual misreading
+OPTION = "array<struct<c: string, n: long, cost: int, at: array<int>>>"
+
 BY_READ: dict[str, list[str]] = {}
 for _a, _b in sorted({(x.lower(), y.lower()) for x, y in CONFUSED}):
     BY_READ.setdefault(_a, []).append(_b)
 
 
 class Automaton:
-    """A Levenshtein automaton whose edits are the usual misreadings: it accepts every string that so many of them turn into a word.
+    """A Levenshtein automaton: it accepts every word that so many usual misreadings and so many other edits turn into what was read.
 
-    A state is a set of (letters read, edits, letters still due); only transitions that some state asks for are followed.
+    A state is a set of (letters read, misreadings, other edits, letters still due); only transitions that some state asks for are followed.
     """
 
-    def __init__(self, read: str, most: int) -> None:
-        self.read, self.most = read, most
+    def __init__(self, read: str, usual: int, other: int) -> None:
+        self.read, self.usual, self.other = read, usual, other
 
     def start(self) -> frozenset:
-        return frozenset({(0, 0, "")})
+        return self.closed({(0, 0, 0, "")})
+
+    def closed(self, state: set) -> frozenset:
+        """With what follows without a letter: what was read has one too many."""
+        more = {(i + 1, e, o + 1, "") for i, e, o, due in state if not due and o < self.other and i < len(self.read)}
+        return frozenset(state | more) if self.other <= 1 else frozenset(state | self.closed(more)) if more else frozenset(state)
 
-    def steps(self, state: frozenset) -> dict[str, set]:
-        """The states that follow, by letter."""
-        out: dict[str, set] = {}
-        w = self.read
-        for i, e, due in state:
+    def step(self, state: frozenset, c: str) -> frozenset:
+        """The states that follow a letter of a word."""
+        out, w = set(), self.read
+        for i, e, o, due in state:
             if due:
-                out.setdefault(due[0], set()).add((i, e, due[1:]))
+                if due[0] == c:
+                    out.add((i, e, o, due[1:]))
                 continue
-            if i < len(w):
-                out.setdefault(w[i], set()).add((i + 1, e, ""))
-            if e < self.most:
+            if i < len(w) and w[i] == c:
+                out.add((i + 1, e, o, ""))
+            if e < self.usual:
                 for a in (1, 2, 3):
-                    if i + a <= len(w):
-                        for word in BY_READ.get(w[i : i + a], ()):
-                            out.setdefault(word[0], set()).add((i + a, e + 1, word[1:]))
+                    for word in BY_READ.get(w[i : i + a], ()) if i + a <= len(w) else ():
+                        if word[0] == c:
+                            out.add((i + a, e + 1, o, word[1:]))
+            if o < self.other:
+                out.add((i, e, o + 1, ""))
+                if i < len(w):
+                    out.add((i + 1, e, o + 1, ""))
+        return self.closed(out) if out else frozenset()
+
+    def letters(self, state: frozenset) -> set[str] | None:
+        """The letters that lead on; null for any."""
+        if any(o < self.other and not due for _, _, o, due in state):
+            return None
+        out, w = set(), self.read
+        for i, e, _, due in state:
+            if due:
+                out.add(due[0])
+                continue
+            out.update(w[i : i + 1])
+            if e < self.usual:
+                out.update(word[0] for a in (1, 2, 3) if i + a <= len(w) for word in BY_READ.get(w[i : i + a], ()))
         return out
 
-    def accepts(self, state: frozenset) -> bool:
-        return any(i == len(self.read) and not due for i, _, due in state)
-
-
-def trie(words: list[str]) -> dict:
-    root: dict = {}
-    for w in words:
-        node = root
-        for c in w:
-            node = node.setdefault(c, {})
-        node[""] = w
-    return root
-
-
-def candidates(read: str, root: dict, most: int) -> list[str]:
-    """Every word of the trie that the automaton of what was read accepts."""
-    auto, out = Automaton(read, most), []
-    stack = [(root, auto.start())]
-    while stack:
-        node, state = stack.pop()
-        if "" in node and auto.accepts(state):
-            out.append(node[""])
-        for c, after in auto.steps(state).items():
-            if c in node:
-                stack.append((node[c], frozenset(after)))
-    return out
+    def accepts(self, state: frozenset) -> tuple[int, int] | None:
+        """The least edits, usual and other, of the word that ends here; null if none does."""
+        return min(((o, e) for i, e, o, due in state if i == len(self.read) and not due), default=None)
+
+
+class Trie:
+    """Sorted words; a node is the range of them that begin with a prefix."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.words = sorted(words)
+
+    def child(self, lo: int, hi: int, prefix: str) -> tuple[int, int]:
+        lo = bisect_left(self.words, prefix, lo, hi)
+        return lo, bisect_left(self.words, prefix + "\U0010ffff", lo, hi)
+
+    def search(self, auto: Automaton) -> list[tuple[str, int, int]]:
+        """Every word that the automaton accepts, with its usual misreadings and other edits."""
+        out, stack = [], [(0, len(self.words), "", auto.start())]
+        while stack:
+            lo, hi, prefix, state = stack.pop()
+            if lo < hi and self.words[lo] == prefix:
+                if (got := auto.accepts(state)) is not None:
+                    out.append((prefix, got[1], got[0]))
+                lo += 1
+            wanted = auto.letters(state)
+            if wanted is None:
+                wanted, at, n = set(), lo, len(prefix)
+                while at < hi:
+                    wanted.add(c := self.words[at][n])
+                    at = bisect_left(self.words, prefix + c + "\U0010ffff", at, hi)
+            for c in wanted:
+                a, b = self.child(lo, hi, prefix + c)
+                if a < b and (after := auto.step(state, c)):
+                    stack.append((a, b, prefix + c, after))
+        return out
 
 
 def explain(read: str, word: str) -> list[int] | None:
@@ -118,43 +170,93 @@ def explain(read: str, word: str) -> list[int] | None:
     return None if got is None else list(got)
 
 
+def odd(word: str) -> list[int]:
+    """Where a word has characters that can't stand in one: marks and digits, capitals inside."""
+    return [k for k, c in enumerate(word) if not (c.isalpha() or c in "-'’") or (k and c.isupper())]
+
+
 class Reader:
-    """Finds and mends misread words, with counts of words and of pairs of words."""
+    """Finds and mends misread words: counts of known words, candidates for others, counts of pairs of words."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int]) -> None:
-        self.words, self.pairs = words, pairs
-        self.root = trie(list(words))
-        self.cache: dict[str, list[tuple[str, list[int]]]] = {}
+    def __init__(self, words: dict[str, int], options: dict[str, list[tuple[str, int, int, list[int]]]], pairs: dict[tuple[str, str], int], total: int) -> None:
+        self.words, self.options, self.pairs, self.total = words, options, pairs, total
 
     def knows(self, word: str) -> bool:
         return word.lower() in self.words
 
-    def options(self, word: str) -> list[tuple[str, list[int]]]:
-        """Known words that usual misreadings turn into this one, with the places of the misreadings."""
-        got = self.cache.get(word)
-        if got is None:
-            low = word.lower()
-            # An invented name is an unknown capitalised word: it is taken for another word at one edit only, unless it is long.
-            most = 1 if word[:1].isupper() and word.isalpha() and len(word) < 7 else 2
-            got = [(c, at) for c in candidates(low, self.root, most) if c != low and (at := explain(low, c))]
-            if len(self.cache) > 200_000:
-                self.cache.clear()
-            self.cache[word] = got
-        return got
+    def apart(self, apart: str, close: str) -> bool:
+        """Whether a word cut at a hyphen is written with it; a misread one as its mended form is."""
+        a, c = self.words.get(apart, 0), self.words.get(close, 0)
+        if a or c:
+            return a > c
+        return self.mend(close) is None and self.mend(apart) is not None
 
     def mend(self, word: str, before: str = "", begins: bool = False) -> tuple[str, list[int]] | None:
         """The most likely known word for one that isn't known, with the places misread; null if it may stay. begins: at a sentence's beginning."""
         if len(word) < 2 or self.knows(word) or not any(map(str.isalpha, word)):
             return None
-        got = self.options(word)
-        if not got:
+        capital = word[:1].isupper()
+        # An invented name is an unknown capitalised word: it is taken for another word at one edit only, unless it is long.
+        most = 1 if capital and word.isalpha() and len(word) < 7 else 2
+        strange = odd(word)
+        fits = []
+        for c, n, cost, at in self.options.get(word.lower(), ()):
+            usual = cost < OTHER
+            if usual and cost <= most and (not capital or n >= NAMES * self.total):
+                fits.append((-cost, self.pairs.get((before, c), 0), n, c, at))
+            elif not usual and not capital and len(word) >= 5 and (set(at) & set(strange) or self.pairs.get((before, c), 0)):
+                fits.append((-cost, self.pairs.get((before, c), 0), n, c, at))
+        if not fits:
             return None
-        rank = lambda o: (-len(o[1]), self.pairs.get((before, o[0]), 0), self.words[o[0]], o[0])
-        c, at = max(got, key=rank)
+        *_, c, at = max(fits)
         upper = word[0].isupper() or (begins and not word[0].isalpha())
         return (c[:1].upper() + c[1:] if upper else c), at
 
 
+class Notes:
+    """Stands in for a Reader and notes what would be looked up: (word, the word before it, whether edits of other kinds may count).
+
+    Both ways of writing a cut word are gone through.
+    """
+
+    def __init__(self, hyphens: bool) -> None:
+        self.hyphens = hyphens
+        self.asked: set[tuple[str, str, bool]] = set()
+
+    def note(self, word: str, before: str = "", other: bool = False) -> None:
+        if len(word) > 1 and any(map(str.isalpha, word)):
+            self.asked.add((word.lower(), before, other))
+
+    def knows(self, word: str) -> bool:
+        self.note(word)
+        return False
+
+    def mend(self, word: str, before: str = "", begins: bool = False) -> None:
+        self.note(word, before, len(word) >= 5 and not word[:1].isupper())
+
+    def apart(self, apart: str, close: str) -> bool:
+        self.note(apart)
+        self.note(close)
+        return self.hyphens
+
+
+def edits(read: str, word: str) -> list[int]:
+    """The place of the one edit between two words that differ by one."""
+    k = next((k for k, (a, b) in enumerate(zip(read, word, strict=False)) if a != b), min(len(read), len(word)))
+    return [min(k, len(read) - 1)]
+
+
+def candidates(word: str, tries: Trie, other: bool = True) -> list[tuple[str, int, list[int]]]:
+    """(known word, cost, places) for a lower-case word: by usual misreadings, or, if there are none and other is set, by one edit of another kind."""
+    out = []
+    for c, _, _ in tries.search(Automaton(word, 2, 0)):
+        if c != word and (at := explain(word, c)):
+            out.append((c, len(at), at))
+    if out or not other:
+        return out
+    return [(c, OTHER, edits(word, c)) for c, _, o in tries.search(Automaton(word, 0, 1)) if o]
+
+
 def inner(token: str) -> tuple[int, str]:
     """A token without what stands around its word, and where the word begins."""
     m = re.match(r"^[^\w|@$!+€]*", token)
@@ -163,15 +265,19 @@ def inner(token: str) -> tuple[int, str]:
     return at, re.sub(r"(?<=[^\W\d_])[!+]$", "", core) if len(core) > 2 and core.endswith("!") and core[:-1].isalpha() else core
 
 
-def read_block(text: str, reader: Reader, following: str | None, preceding: str | None) -> tuple[list[tuple[int, str]], str]:
+def read_block(text: str, reader: Reader | Notes, following: str | None, preceding: str | None) -> tuple[list[tuple[int, str]], str]:
     """Faults (line, fault) of a body block, and its text as one mended paragraph.
 
     following: the first token of the next page's body if the block is the last of its page; preceding:
     the last token of the page before if the block is the first of its page.
     """
     lines = text.split("\n")
-    tokens: list[list] = []  # [line, piece] lists: a token may lie on two lines
+    tokens: list[list] = []  # [line, piece] lists: a token may lie on two lines, or begin on the page before (line None)
     cut = None
+    begun = re.search(r"\S+\s*$", preceding) if preceding and HYPHEN.search(preceding) else None
+    if begun and re.search(r"\w[-‐‑­¬]\s*$", begun[0]):
+        tokens.append([None, begun[0].strip()])
+        cut = -1
     hyphens: set[int] = set()
     for n, line in enumerate(lines):
         parts = line.split()
@@ -188,9 +294,6 @@ def read_block(text: str, reader: Reader, following: str | None, preceding: str
         pieces = t[1::2]
         if len(pieces) == 1 and not (k == len(tokens) - 1 and cut is not None):
             joined, sizes = pieces[0], [len(pieces[0])]
-            if k == 0 and preceding and HYPHEN.search(preceding):
-                words.append(joined)  # the end of a word begun on the page before
-                continue
         else:
             whole = [*pieces, following] if k == len(tokens) - 1 and cut is not None and following else pieces
             stems = [HYPHEN.sub("", p) if j + 1 < len(whole) or len(whole) == 1 else p for j, p in enumerate(whole)]
@@ -198,7 +301,7 @@ def read_block(text: str, reader: Reader, following: str | None, preceding: str
             for j, nxt in enumerate(stems[1:], 1):
                 close = inner(joined + nxt)[1].lower()
                 apart = inner(joined + "-" + nxt)[1].lower()
-                legit = len(whole) > 1 and written_apart(apart, close, reader)
+                legit = len(whole) > 1 and reader.apart(apart, close)
                 joined += ("-" if legit else "") + nxt
                 sizes.append(len(joined))
                 if not legit:
@@ -226,22 +329,14 @@ def read_block(text: str, reader: Reader, following: str | None, preceding: str
                             out.add((line, "chars"))
                 offset += len(sub)
         words.append(mended)
-    out |= {(n, "hyphen") for n in hyphens}
+    out |= {(n, "hyphen") for n in hyphens if n is not None}
     return sorted(out), " ".join(words)
 
 
-def written_apart(apart: str, close: str, reader: Reader) -> bool:
-    """Whether a word cut at a hyphen is written with it; a misread one as its mended form is."""
-    a, c = reader.words.get(apart, 0), reader.words.get(close, 0)
-    if a or c:
-        return a > c
-    return reader.mend(close) is None and reader.mend(apart) is not None
-
+def vocabulary(clean: DataFrame, text: str) -> DataFrame:
+    """(w, n) of the known words, counted over all clean texts."""
 
-def vocabulary(clean: DataFrame, text: str, share: float = 2e-6, least: int = 3) -> Reader:
-    """Counts of words and pairs of words over all clean texts; what is collected has at most 1 / share entries of each."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
         for b in batches:
             for t in b["t"]:
@@ -249,24 +344,54 @@ def vocabulary(clean: DataFrame, text: str, share: float = 2e-6, least: int = 3)
         yield pd.DataFrame({"w": list(total), "n": list(total.values())})
 
     src = clean.select(F.col(text).alias("t")).dropna()
-    words = src.mapInPandas(filled(count), "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    words = words.cache()
-    n = words.agg(F.sum("n")).first()[0] or 0
-    known = {r.w: r.n for r in words.where(F.col("n") >= share * n).collect()}
-    words.unpersist()
-    shared = clean.sparkSession.sparkContext.broadcast(frozenset(known))
-
-    def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
-        keep = shared.value
+    return src.mapInPandas(filled(part), "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+
+
+def pair_counts(clean: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """(a, b, n) of pairs of successive words, the second one of wanted (b), counted over all clean texts."""
+    may = bit_filter(wanted.select(F.xxhash64("b").alias("key")))
+    shared = clean.sparkSession.sparkContext.broadcast((may.bits, may.slots))
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        may, total = Filter(*shared.value), Counter()
+        keep: dict[str, bool] = {}
         for b in batches:
             for t in b["t"]:
-                w = [x if x in keep else None for x in WORD.findall(fold(t).lower())]
-                total.update(x for x in zip(w, w[1:], strict=False) if x[0] is not None and x[1] is not None)
+                w = WORD.findall(fold(t).lower())
+                if fresh := list({x for x in w if x not in keep}):
+                    if len(keep) > 500_000:
+                        keep.clear()
+                        fresh = list(set(w))
+                    passed = set(may(np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) for x in fresh], "uint64")).tolist())
+                    keep.update((x, k in passed) for k, x in enumerate(fresh))
+                total.update(x for x in zip(w, w[1:], strict=False) if keep[x[1]])
         yield pd.DataFrame([(a, b, n) for (a, b), n in total.items()], columns=["a", "b", "n"])
 
-    pairs = src.mapInPandas(filled(pair), "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= max(least, share * n))
-    return Reader(known, {(r.a, r.b): r.n for r in pairs.collect()})
+    src = clean.select(F.col(text).alias("t")).dropna()
+    got = src.mapInPandas(filled(part), "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return got.where(F.col("n") >= LEAST).join(wanted.select("b").distinct(), "b", "left_semi")
+
+
+def options(lost: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, options) of words (word, other) that aren't known: the known words (w, n) in blocks by hash, each a trie in every task."""
+    blocks = max(1, -(-words.count() // TRIE_WORDS))
+    # A word takes far longer than its row is large: the rows are spread by number, not by size.
+    lost = cut(lost.repartition(int(lost.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    out = []
+    for k in range(blocks):
+        known = words.where(F.pmod(F.xxhash64("w"), F.lit(blocks)) == k).toPandas()
+        shared = lost.sparkSession.sparkContext.broadcast(dict(zip(known["w"], known["n"], strict=True)))
+
+        def part(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            n = shared.value
+            tries = Trie(list(n))
+            for b in batches:
+                got = [(w, c, n[c], cost, at) for w, x in zip(b["word"], b["other"], strict=True) for c, cost, at in candidates(w, tries, x)]
+                yield pd.DataFrame(got, columns=["word", "c", "n", "cost", "at"])
+
+        out.append(lost.mapInPandas(filled(part), "word string, c string, n long, cost int, at array<int>"))
+    every = reduce(DataFrame.unionByName, out)
+    return every.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("c", "n", "cost", "at"))).alias("options"))
 
 
 def tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -300,37 +425,128 @@ def neighbours(b: DataFrame) -> DataFrame:
     return out.withColumns({"following": F.when(F.col("is_last"), F.col("following")), "preceding": F.when(F.col("is_first"), F.col("preceding"))})
 
 
-def read(blocks: DataFrame, heights: DataFrame, content: DataFrame) -> DataFrame:
-    """Every block with its faults (line, fault) and its mended text; margins have fault 'margin' on each line and no text."""
+def page_rows(content: DataFrame) -> DataFrame:
+    """(id, doc, page, text): the rows of content that are scanned pages, each once; a page without a number goes by its place."""
+    page = F.coalesce("page_num", "pos").alias("page")
+    rows = content.where("metadata.layout_type = 'page'").select("id", F.col("doc_id").alias("doc"), page, F.col("content").alias("text"))
+    return rows.dropna(subset=["id", "text"]).dropDuplicates(["id"])
+
+
+def without_layout(pages: DataFrame, least: float = 0.5, ends: int = 2) -> DataFrame:
+    """Pages' texts laid out as blocks by themselves: the lines at a page's ends that repeat on so many of the file's pages, or number it, are margin."""
+    lines = pages.select("id", "doc", "page", F.posexplode(F.split("text", "\n")).alias("k", "line"), F.size(F.split("text", "\n")).alias("n"))
+    end = (F.col("k") < ends) | (F.col("k") >= F.col("n") - ends)
+    form = margin_form(F.col("line"))
+    often = lines.where(end & (form != "")).groupBy("doc", form.alias("form")).agg(F.countDistinct("page").alias("on"))
+    of = pages.groupBy("doc").agg(F.countDistinct("page").alias("pages"))
+    marks = lines.where(end).withColumn("form", form).join(often, ["doc", "form"], "left").join(of, "doc")
+    repeated = F.coalesce(F.col("on") >= F.greatest(F.lit(2.0), F.lit(least) * F.col("pages")), F.lit(False))
+    gone = marks.where(repeated | (page_marker(F.col("line")) & (F.trim("line") != ""))).groupBy("id").agg(F.collect_set("k").alias("gone"))
+    rows = pages.join(gone, "id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    rows = rows.withColumn("all", F.split("text", "\n"))
+    first = F.size(F.filter(F.array(*[F.lit(k) for k in range(ends)]), lambda k: F.forall(F.sequence(F.lit(0), k), lambda j: F.array_contains("gone", j))))
+    n = F.size("all")
+    last = F.size(F.filter(F.array(*[F.lit(k) for k in range(ends)]), lambda k: F.forall(F.sequence(F.lit(0), k), lambda j: F.array_contains("gone", n - 1 - j))))
+    rows = rows.withColumns({"top": F.least(first, n), "low": F.greatest(F.least(first, n), n - last)})
+    part = lambda lo, hi, margin, nth: F.struct(F.array_join(F.slice("all", lo + 1, hi - lo), "\n").alias("text"), F.lit(margin).alias("margin"), (hi - lo).alias("lines"), lo.cast("long").alias("line0"), F.lit(nth).alias("nth"))
+    three = F.array(part(F.lit(0), F.col("top"), True, 1), part(F.col("top"), F.col("low"), False, 2), part(F.col("low"), n, True, 3))
+    out = rows.select("id", "doc", "page", F.inline(F.filter(three, lambda x: x["lines"] > 0)))
+    own = ~F.col("margin")
+    return out.withColumns({"prose": own, "is_first": own, "is_last": own})
+
+
+def laid_out(blocks: DataFrame, heights: DataFrame, content: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(every block, with those of pages that have no layout of their own; the pages (item, doc, page) whose text is that of their blocks)."""
+    own = placed(blocks, heights)
+    texts = own.groupBy("doc", "page").agg(F.xxhash64(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda x: x["text"]), "\n")).alias("of_blocks"))
+    pages = page_rows(content).join(texts, ["doc", "page"], "left")
+    same = F.coalesce(F.xxhash64("text") == F.col("of_blocks"), F.lit(False))
+    alone = without_layout(pages.where(~same).select("id", "doc", "page", "text"))
+    every = own.select(*own.columns, F.lit(False).alias("alone")).unionByName(alone.withColumn("alone", F.lit(True)).select(*own.columns, "alone"))
+    return neighbours(every), pages.where(same).select(F.col("id").alias("item"), "doc", "page")
+
+
+def read(laid: DataFrame, content: DataFrame) -> DataFrame:
+    """Every block laid out, with its faults (line, fault) and its mended text; margins have fault 'margin' on each line and no text."""
+    spark = laid.sparkSession
     clean = content.where("type = 'text' and not (metadata.layout_type <=> 'page')")
-    model = vocabulary(clean, "content")
-    shared = blocks.sparkSession.sparkContext.broadcast((model.words, model.pairs))
+    words = cut(vocabulary(clean, "content"))
+    total = words.agg(F.sum("n")).first()[0] or 0
+    common = {r.w: r.n for r in words.where(F.col("n") >= COMMON * total).collect()}
+    told = spark.sparkContext.broadcast(common)
+    laid = cut(laid)
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = []
+            for key, text, following, preceding in zip(b["key"], b["text"], b["following"], b["preceding"], strict=True):
+                asked: set[tuple[str, str, bool]] = set()
+                for hyphens in (False, True) if "-" in text or HYPHENS_SEEN.search(text) else (False,):
+                    notes = Notes(hyphens)
+                    read_block(text, notes, following or None, preceding or None)
+                    asked |= notes.asked
+                got += [(key, w, before, other) for w, before, other in asked if w not in told.value]
+            yield pd.DataFrame(got, columns=["key", "word", "before", "other"])
+
+    keyed = laid.withColumn("key", F.struct("id", "nth"))
+    asked = cut(keyed.where(~F.col("margin")).select(F.to_json("key").alias("key"), "text", "following", "preceding").mapInPandas(filled(ask), "key string, word string, before string, other boolean"))
+    need = asked.groupBy("word").agg(F.max("other").alias("other")).join(words.withColumnRenamed("w", "word"), "word", "left")
+    lost = options(need.where("n is null").select("word", "other"), words)
+    answers = cut(need.drop("other").join(lost, "word", "left").where("n is not null or options is not null"))
+    # Which of several candidates of least cost follows the word before more often.
+    least = F.array_min(F.transform("options", lambda o: o["cost"]))
+    several = answers.where((F.size(F.filter("options", lambda o: o["cost"] == least)) > 1) | (least >= OTHER))
+    context = cut(asked.where("before <> ''").join(several, "word").select("key", F.col("before").alias("a"), F.explode(F.col("options.c")).alias("b")).distinct())
+    pairs = context.join(pair_counts(clean, "content", context.select("b")), ["a", "b"])
+    known = asked.select("key", "word").distinct().join(answers, "word").groupBy("key").agg(F.collect_list(F.struct("word", "n", "options")).alias("known"))
+    met = pairs.groupBy("key").agg(F.collect_list(F.struct("a", "b", "n")).alias("met"))
+    rows = keyed.withColumn("key", F.to_json("key")).join(known, "key", "left").join(met, "key", "left").drop("key")
+    keep = [c for c in laid.columns if c not in ("following", "preceding")]
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(*shared.value)
         for b in batches:
             faults, mended = [], []
-            for text, margin, following, preceding in zip(b["text"], b["margin"], b["following"], b["preceding"], strict=True):
+            for text, margin, following, preceding, own, met in zip(b["text"], b["margin"], b["following"], b["preceding"], b["known"], b["met"], strict=True):
                 if margin:
                     faults.append([{"line": n, "fault": "margin"} for n in range(text.count("\n") + 1)])
                     mended.append(None)
-                else:
-                    found, one = read_block(text, reader, following or None, preceding or None)
-                    faults.append([{"line": n, "fault": f} for n, f in found])
-                    mended.append(one)
-            yield b.drop(columns=["following", "preceding"]).assign(faults=faults, mended=mended)[["id", "doc", "page", "text", "margin", "prose", "lines", "line0", "nth", "is_first", "is_last", "faults", "mended"]]
+                    continue
+                own = [] if own is None else own
+                here = {x["word"]: x["n"] for x in own if x["n"] is not None}
+                maybe = {x["word"]: [(o["c"], o["n"], o["cost"], list(o["at"])) for o in x["options"]] for x in own if x["options"] is not None}
+                reader = Reader(Both(here, told.value), maybe, {(x["a"], x["b"]): x["n"] for x in ([] if met is None else met)}, total)
+                found, one = read_block(text, reader, following or None, preceding or None)
+                faults.append([{"line": n, "fault": f} for n, f in found])
+                mended.append(one)
+            yield b[keep].assign(faults=faults, mended=mended)
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in laid.select(*keep).schema) + ", faults array<struct<line: long, fault: string>>, mended string"
+    return rows.mapInPandas(filled(part), schema)
 
-    schema = "id string, doc string, page int, text string, margin boolean, prose boolean, lines int, line0 long, nth int, is_first boolean, is_last boolean, faults array<struct<line: long, fault: string>>, mended string"
-    return neighbours(placed(blocks, heights)).mapInPandas(filled(part), schema)
+
+class Both:
+    """Two tables of words as one."""
+
+    def __init__(self, here: dict[str, int], told: dict[str, int]) -> None:
+        self.here, self.told = here, told
+
+    def get(self, word: str, other: int = 0) -> int:
+        return self.here.get(word) or self.told.get(word, other)
+
+    def __contains__(self, word: str) -> bool:
+        return word in self.here or word in self.told
 
 
 def faults(blocks: DataFrame, heights: DataFrame, content: DataFrame) -> DataFrame:
-    """(item, line_no, fault) of text blocks and of the page rows of content whose lines they are."""
-    got = read(blocks, heights, content).select("id", "doc", "page", "line0", F.explode("faults").alias("f"))
-    pages = content.where("metadata.layout_type = 'page'").select(F.col("id").alias("item"), F.col("doc_id").alias("doc"), F.coalesce("page_num", "pos").alias("page")).dropDuplicates(["item"])
-    own = got.select(F.col("id").alias("item"), F.col("f.line").alias("line_no"), F.col("f.fault").alias("fault"))
-    whole = got.join(pages, ["doc", "page"]).select("item", (F.col("line0") + F.col("f.line")).alias("line_no"), F.col("f.fault").alias("fault"))
-    return own.unionByName(whole)
+    """(item, line_no, fault) of text blocks and of the page rows of content.
+
+    A page row whose text is that of its blocks has their faults; any other is read itself.
+    """
+    laid, pages = laid_out(blocks, heights, content)
+    got = cut(read(laid, content).select("id", "doc", "page", "line0", "alone", F.explode("faults").alias("f")).select("id", "doc", "page", "line0", "alone", "f.line", "f.fault"))
+    own = got.select(F.col("id").alias("item"), F.when(F.col("alone"), F.col("line0")).otherwise(0).alias("from"), "line", "fault").select("item", (F.col("from") + F.col("line")).alias("line_no"), "fault")
+    whole = got.where(~F.col("alone")).join(pages, ["doc", "page"]).select("item", (F.col("line0") + F.col("line")).alias("line_no"), "fault")
+    return own.unionByName(whole).distinct()
 
 
 def paragraphs(blocks: DataFrame, heights: DataFrame, content: DataFrame) -> DataFrame:
@@ -340,7 +556,7 @@ def paragraphs(blocks: DataFrame, heights: DataFrame, content: DataFrame) -> Dat
     of numbers in the body is a paragraph of its own, after the one it stands in. Paragraphs are numbered by
     counts of pages, so that no file is gathered in one task.
     """
-    b = read(blocks, heights, content).where(~F.col("margin") & F.col("text").rlike(r"\S")).select("doc", "page", "nth", "prose", "text", "mended", "is_first", "is_last")
+    b = read(laid_out(blocks, heights, content)[0], content).where(~F.col("margin") & F.col("text").rlike(r"\S")).select("doc", "page", "nth", "prose", "text", "mended", "is_first", "is_last")
     open_end = b.where("is_last").select("doc", (F.col("page") + 1).alias("page"), (~F.trim("text").rlike(END.pattern)).alias("goes_on"), F.regexp_extract("text", r"(\S*)\s*$", 1).rlike(HYPHEN.pattern).alias("cut"))
     b = b.join(open_end, ["doc", "page"], "left")
     starts = F.when(F.col("is_first") & F.coalesce("goes_on", F.lit(False)), 0).otherwise(1)

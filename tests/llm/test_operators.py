@@ -209,16 +209,49 @@ def test_recall_of_the_relaxed_search(spark):
 # --- 7: scans ---
 
 
+WORDS = "the laboratory measures long-term agreement medium monitor converter before single licence guides controller außerdem".split()
+
+
+class Options(dict):
+    """Candidates among WORDS, found as they are asked for."""
+
+    def get(self, word, other=()):
+        return [(c, 50, cost, at) for c, cost, at in scans.candidates(word, scans.Trie(WORDS))]
+
+
 def reader():
-    words = "the laboratory measures long-term agreement medium monitor converter before single licence guides controller".split()
-    return scans.Reader(dict.fromkeys(words, 50), {})
+    return scans.Reader(dict.fromkeys(WORDS, 50), Options(), {}, 1000)
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
 
 
 def test_automaton_equals_brute_force():
-    r = reader()
+    tries = scans.Trie(WORDS)
     for read in ("meclium", "rnonitor", "c0nverter", "smgle", "|icence", "bcfore", "zzz", "the", "cantrallcr"):
-        brute = {w for w in r.words if (at := scans.explain(read, w)) is not None and len(at) <= 2}
-        assert set(scans.candidates(read, r.root, 2)) == brute
+        brute = {w for w in WORDS if (at := scans.explain(read, w)) is not None and len(at) <= 2}
+        assert {c for c, _, _ in tries.search(scans.Automaton(read, 2, 0))} == brute
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choices("abc", k=rng.randrange(1, 6))) for _ in range(120)})
+    for read in [*words[:20], "abcab", "x", "aaaaaa"]:
+        for most in (1, 2):
+            brute = {(w, distance(read, w)) for w in words if distance(read, w) <= most}
+            assert {(c, o) for c, _, o in scans.Trie(words).search(scans.Automaton(read, 0, most))} == brute
+
+
+def test_edits_of_other_kinds_need_a_reason():
+    r = reader()
+    assert r.mend("auBerdem") == ("außerdem", [2]) and r.mend("mea#ures")[0] == "measures"
+    assert r.mend("medixm") is None and r.mend("Medixm") is None
+    assert scans.Reader(r.words, r.options, {("the", "medium"): 9}, 1000).mend("medixm", "the") == ("medium", [4])
+    assert scans.Reader(r.words, r.options, {}, 10**9).mend("Meclium") is None  # as rare as a name
 
 
 def test_read_block():
@@ -238,7 +271,20 @@ def test_scans(spark):
     got = rows(scans.faults(b, h, content))
     assert got == [("pg", 0, "margin"), ("pg", 1, "chars"), ("pg", 1, "hyphen"), ("pg", 2, "margin"), ("t1", 0, "margin"), ("t2", 0, "chars"), ("t2", 0, "hyphen"), ("t3", 0, "margin")]
     assert rows(scans.paragraphs(b, h, content)) == [("d", 0, "the monitor laboratory measures.")]
-    assert scans.faults(b.limit(0), h, content).collect() == []
+    assert rows(scans.faults(b.limit(0), h, content)) == [("pg", 1, "chars"), ("pg", 1, "hyphen"), ("pg", 2, "margin")]  # the page is read itself
+    assert scans.faults(b.limit(0), h, content.where("id = 'c'")).collect() == []
+
+
+def test_pages_without_layout(spark):
+    clean = "the laboratory measures the long-term agreement before the monitor. " * 30
+    words = ["measures", "agreement", "before", "laboratory"]
+    pages = [(f"p{k}", "d", k, k, "text", f"Annual Report {k}\nthe rnonitor {words[k]}\nthe {words[k - 1]}.\nPage {k}", ("page",)) for k in range(4)]
+    content = spark.createDataFrame([("c", "x", 0, 0, "text", clean, ("body",)), *pages, pages[0], ("one", "e", 0, 0, "text", "the rnonitor", ("page",)), ("void", "e", 1, 1, "text", "", ("page",))], "id string, doc_id string, pos int, page_num int, type string, content string, metadata struct<layout_type string>")
+    b = spark.createDataFrame([], "id string, doc_id string, page_num int, text string, y0 double, y1 double")
+    h = spark.createDataFrame([], "doc_id string, page_num int, height double")
+    want = [(f"p{k}", n, f) for k in range(4) for n, f in ((0, "margin"), (1, "chars"), (3, "margin"))]
+    assert rows(scans.faults(b, h, content)) == [("one", 0, "chars"), *want]
+    assert rows(scans.paragraphs(b, h, content))[0][:2] == ("d", 0)
 
 
 def test_numbers_in_the_body_stay(spark):
