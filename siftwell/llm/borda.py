@@ -25,7 +25,7 @@ def usable(c: Column) -> Column:
 
 
 def places(long: DataFrame) -> DataFrame:
-    """(list, score_name, value) -> twice the averaged place (so that it stays whole), and the list's scored items.
+    """(list, score_name, value) -> twice the averaged place, so that it stays whole.
 
     long: (list, score_name, item, value), higher values first, values never null, one row per item.
     """
@@ -38,12 +38,12 @@ def places(long: DataFrame) -> DataFrame:
     parts = ranged.groupBy("list", "score_name", "part").agg(F.sum("n").alias("part_n"))
     every = Window.partitionBy("list", "score_name")
     before = F.sum("part_n").over(every.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = parts.select("list", "score_name", "part", F.coalesce(before, F.lit(0)).alias("before"), F.sum("part_n").over(every).alias("scored"))
+    parts = parts.select("list", "score_name", "part", F.coalesce(before, F.lit(0)).alias("before"))
     inside = F.sum("n").over(Window.partitionBy("list", "score_name", "part").orderBy(F.desc("value")))
     return (
         ranged.select("*", inside.alias("upto"))
         .join(parts, ["list", "score_name", "part"])
-        .select("list", "score_name", "value", (2 * (F.col("before") + F.col("upto")) - F.col("n") + 1).alias("place2"), "scored")
+        .select("list", "score_name", "value", (2 * (F.col("before") + F.col("upto")) - F.col("n") + 1).alias("place2"))
     )
 
 
@@ -55,29 +55,17 @@ def borda(scores: DataFrame, weights: Mapping[str, float]) -> DataFrame:
     items are left out; an empty table gives an empty ranking.
     """
     names = list(weights)
-    scores = scores.select("list", "item", *[usable(F.col(x).cast("double")).alias(x) for x in names]).dropna(subset=["list", "item"])
+    scores = cut(scores.select("list", "item", *[usable(F.col(x).cast("double")).alias(x) for x in names]).dropna(subset=["list", "item"]))
+    # Items of each list, and of them those with each score.
+    sizes = scores.groupBy("list").agg(F.count("*").alias("_items"), F.struct(*[F.count(F.col(x)).alias(x) for x in names]).alias("_scored"))
     stacked = "stack({}, {}) as (score_name, value)".format(len(names), ", ".join(f"'{x}', `{x}`" for x in names))
-    long = scores.selectExpr("list", "item", stacked)
-    sizes = scores.groupBy("list").agg(F.count("*").alias("items"))
-    ranked = long.where("value is not null").join(places(long.where("value is not null")), ["list", "score_name", "value"])
+    long = scores.selectExpr("list", "item", stacked).where("value is not null")
     w = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])
+    got = long.join(places(long), ["list", "score_name", "value"]).groupBy("list", "item").agg(F.sum(F.element_at(w, F.col("score_name")) * F.col("place2")).alias("_p2"))
     # n - place for each score; a missing one has place (scored + 1 + n) / 2, and an unscored list (1 + n) / 2.
-    got = ranked.groupBy("list", "item").agg(
-        F.sum(F.element_at(w, F.col("score_name")) * F.col("place2")).alias("p2"), F.collect_set("score_name").alias("having")
-    )
-    scored = ranked.select("list", "score_name", "scored").distinct().groupBy("list").agg(F.map_from_entries(F.collect_list(F.struct("score_name", "scored"))).alias("m"))
-    out = scores.select("list", "item").join(got, ["list", "item"], "left").join(sizes, "list").join(scored, "list", "left")
-    lacking = sum(
-        (
-            F.when(F.coalesce(F.array_contains("having", k), F.lit(False)), 0.0).otherwise(
-                float(v) * (F.coalesce(F.element_at("m", F.lit(k)), F.lit(0)) + 1 + F.col("items"))
-            )
-            for k, v in weights.items()
-        ),
-        F.lit(0.0),
-    )
-    total = float(sum(weights.values()))
-    points = total * F.col("items") - (F.coalesce(F.col("p2"), F.lit(0.0)) + lacking) / 2
+    behind = sum((F.when(F.col(f"`{k}`").isNull(), float(v) * (F.col("_scored")[k] + 1 + F.col("_items"))).otherwise(0.0) for k, v in weights.items()), F.lit(0.0))
+    out = scores.join(got, ["list", "item"], "left").join(sizes, "list")
+    points = float(sum(weights.values())) * F.col("_items") - (F.coalesce(F.col("_p2"), F.lit(0.0)) + behind) / 2
     return out.select("list", "item", points.alias("points"))
 
 
