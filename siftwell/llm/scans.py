@@ -29,7 +29,7 @@ from functools import lru_cache, reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import margin_form, page_marker
@@ -42,7 +42,7 @@ MISREADINGS = """rn m|m rn|m in|m ni|cl d|d cl|ii u|u ii|iii m|ri n|n ri|li h|h
 1 l|1 i|1 t|| l|| i|| t|! i|! l|! t|l i|i l|l t|t l|i j|j i|I l|l I|1 I|| I|l 1|0 o|0 O|o 0|5 s|5 S|$ s|$ S|6 b|6 é|6 e|6 ó|6 G|8 B|8 b|9 g|9 q|@ a|+ t|€ e|£ e|2 z|2 Z|4 A|? 7|é e|e é|á a|a á|ü u|ö o|ä a|f fi|f fl|ii ü|} )|{ (|¢ c|© e|3 e|3 B|7 T|7 t|% x|& a|* x|# h"""
 CONFUSED = frozenset(tuple(x.split(" ")) for line in MISREADINGS.split("\n") for x in re.findall(r"(?:\| |[^| ]+ )[^| ]+", line))
 HYPHEN = re.compile(r"[-‐‑­¬]\s*$")
-HYPHENS_SEEN = re.compile("[-‐‑­¬]")
+LINE_END = re.compile(r"[-‐‑­¬]\s*(?:\n|$)")
 WORD = re.compile(r"[^\W\d_]+(?:[-‑][^\W\d_]+)*")
 EDGE = re.compile(r"^[^\w|@$!+€]+|[^\w|@$!+€]+$")
 END = re.compile(r"[.!?。！？…:][\"'”’»)\]]*\s*$")
@@ -398,23 +398,31 @@ def tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFram
     return table(spark, sf, "text_blocks"), table(spark, sf, "page_heights"), table(spark, sf, "content_blocks")
 
 
+def lines_hash(text: Column, first: Column) -> Column:
+    """A hash of lines and their numbers, which adds up over blocks by exclusive or."""
+    each = F.transform(F.split(text, "\n"), lambda line, k: F.xxhash64(first + k, line))
+    return F.aggregate(each, F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+
+
 def placed(blocks: DataFrame, heights: DataFrame, top: float = 0.1, bottom: float = 0.1) -> DataFrame:
-    """Blocks in reading order within their page: (id, doc, page, text, margin, nth, first line, first and last of the body).
+    """Blocks in reading order within their page: (id, doc, page, text, margin, nth, first line, first and last of the body, hash of the page's lines).
 
-    A block of one or two lines wholly within the top or bottom zone of its page is margin.
+    A block of one or two lines wholly within the top or bottom zone of its page is margin. Texts are shuffled once, by page.
     """
-    b = blocks.select("id", F.col("doc_id").alias("doc"), F.col("page_num").alias("page"), "text", "y0", "y1").dropna(subset=["id", "doc", "page", "text"]).dropDuplicates(["id"])
+    b = blocks.select("id", F.col("doc_id").alias("doc"), F.col("page_num").alias("page"), "text", "y0", "y1").dropna(subset=["id", "doc", "page", "text"])
     h = heights.groupBy(F.col("doc_id").alias("doc"), F.col("page_num").alias("page")).agg(F.max("height").alias("height"))
     lines = F.regexp_count("text", F.lit("\n")) + 1
     zone = (F.col("y1") <= top * F.col("height")) | (F.col("y0") >= (1 - bottom) * F.col("height"))
-    b = b.join(h, ["doc", "page"], "left").select("id", "doc", "page", "text", "y0", lines.alias("lines"), (F.coalesce(zone, F.lit(False)) & (lines <= 2)).alias("margin"))
     page = Window.partitionBy("doc", "page")
+    b = b.join(h, ["doc", "page"], "left").dropDuplicates(["doc", "page", "id"])
+    b = b.select("id", "doc", "page", "text", "y0", lines.alias("lines"), (F.coalesce(zone, F.lit(False)) & (lines <= 2)).alias("margin"))
     order = page.orderBy("y0", "id")
     prose = ~F.col("margin") & ~F.col("text").rlike(r"^[\s\d.,|/–—-]*$")
     b = b.withColumn("line0", F.coalesce(F.sum("lines").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     b = b.withColumn("nth", F.row_number().over(order)).withColumn("prose", prose)
     key = F.when(F.col("prose"), F.col("nth"))
-    return b.select("id", "doc", "page", "text", "margin", "prose", "lines", "line0", "nth", (F.min(key).over(page) == F.col("nth")).alias("is_first"), (F.max(key).over(page) == F.col("nth")).alias("is_last"))
+    of_page = F.bit_xor(lines_hash(F.col("text"), F.col("line0"))).over(page).alias("of_page")
+    return b.select("id", "doc", "page", "text", "margin", "prose", "lines", "line0", "nth", (F.min(key).over(page) == F.col("nth")).alias("is_first"), (F.max(key).over(page) == F.col("nth")).alias("is_last"), of_page)
 
 
 def neighbours(b: DataFrame) -> DataFrame:
@@ -426,10 +434,9 @@ def neighbours(b: DataFrame) -> DataFrame:
 
 
 def page_rows(content: DataFrame) -> DataFrame:
-    """(id, doc, page, text): the rows of content that are scanned pages, each once; a page without a number goes by its place."""
+    """(id, doc, page, text): the rows of content that are scanned pages; a page without a number goes by its place."""
     page = F.coalesce("page_num", "pos").alias("page")
-    rows = content.where("metadata.layout_type = 'page'").select("id", F.col("doc_id").alias("doc"), page, F.col("content").alias("text"))
-    return rows.dropna(subset=["id", "text"]).dropDuplicates(["id"])
+    return content.where("metadata.layout_type = 'page'").select("id", F.col("doc_id").alias("doc"), page, F.col("content").alias("text")).dropna(subset=["id", "text"])
 
 
 def without_layout(pages: DataFrame, least: float = 0.5, ends: int = 2) -> DataFrame:
@@ -456,14 +463,17 @@ def without_layout(pages: DataFrame, least: float = 0.5, ends: int = 2) -> DataF
 
 
 def laid_out(blocks: DataFrame, heights: DataFrame, content: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(every block, with those of pages that have no layout of their own; the pages (item, doc, page) whose text is that of their blocks)."""
-    own = placed(blocks, heights)
-    texts = own.groupBy("doc", "page").agg(F.xxhash64(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda x: x["text"]), "\n")).alias("of_blocks"))
-    pages = page_rows(content).join(texts, ["doc", "page"], "left")
-    same = F.coalesce(F.xxhash64("text") == F.col("of_blocks"), F.lit(False))
-    alone = without_layout(pages.where(~same).select("id", "doc", "page", "text"))
-    every = own.select(*own.columns, F.lit(False).alias("alone")).unionByName(alone.withColumn("alone", F.lit(True)).select(*own.columns, "alone"))
-    return neighbours(every), pages.where(same).select(F.col("id").alias("item"), "doc", "page")
+    """(every block, with those of pages that have no layout of their own; the pages (item, doc, page) whose text is that of their blocks).
+
+    Pages are compared by hashes of their lines; only texts of pages without layout are gathered.
+    """
+    own = cut(neighbours(placed(blocks, heights)).withColumn("alone", F.lit(False)))
+    rows = page_rows(content)
+    pages = rows.select("id", "doc", "page", lines_hash(F.col("text"), F.lit(0).cast("long")).alias("hash")).dropDuplicates(["id"])
+    pages = cut(pages.join(own.groupBy("doc", "page").agg(F.first("of_page").alias("of_page")), ["doc", "page"], "left").select("id", "doc", "page", F.coalesce(F.col("hash") == F.col("of_page"), F.lit(False)).alias("same")))
+    alone = without_layout(rows.join(pages.where(~F.col("same")).select("id"), "id", "left_semi").dropDuplicates(["id"]))
+    every = own.drop("of_page").unionByName(neighbours(alone).withColumn("alone", F.lit(True)))
+    return every.withColumn("key", F.monotonically_increasing_id()), pages.where("same").select(F.col("id").alias("item"), "doc", "page")
 
 
 def read(laid: DataFrame, content: DataFrame) -> DataFrame:
@@ -474,22 +484,25 @@ def read(laid: DataFrame, content: DataFrame) -> DataFrame:
     total = words.agg(F.sum("n")).first()[0] or 0
     common = {r.w: r.n for r in words.where(F.col("n") >= COMMON * total).collect()}
     told = spark.sparkContext.broadcast(common)
-    laid = cut(laid)
+    laid = cut(laid)  # keys are fixed from here
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = []
             for key, text, following, preceding in zip(b["key"], b["text"], b["following"], b["preceding"], strict=True):
-                asked: set[tuple[str, str, bool]] = set()
-                for hyphens in (False, True) if "-" in text or HYPHENS_SEEN.search(text) else (False,):
+                asked: dict[str, dict[str, bool]] = {}
+                for hyphens in (False, True) if LINE_END.search(text) or preceding else (False,):
                     notes = Notes(hyphens)
                     read_block(text, notes, following or None, preceding or None)
-                    asked |= notes.asked
-                got += [(key, w, before, other) for w, before, other in asked if w not in told.value]
+                    for w, before, other in notes.asked:
+                        if w not in told.value:
+                            of = asked.setdefault(w, {})
+                            of[before] = of.get(before, False) or other
+                for w, of in asked.items():
+                    got += [(key, w, before, other) for before, other in of.items() if before or len(of) == 1]
             yield pd.DataFrame(got, columns=["key", "word", "before", "other"])
 
-    keyed = laid.withColumn("key", F.struct("id", "nth"))
-    asked = cut(keyed.where(~F.col("margin")).select(F.to_json("key").alias("key"), "text", "following", "preceding").mapInPandas(filled(ask), "key string, word string, before string, other boolean"))
+    asked = cut(laid.where(~F.col("margin")).select("key", "text", "following", "preceding").mapInPandas(filled(ask), "key long, word string, before string, other boolean"))
     need = asked.groupBy("word").agg(F.max("other").alias("other")).join(words.withColumnRenamed("w", "word"), "word", "left")
     lost = options(need.where("n is null").select("word", "other"), words)
     answers = cut(need.drop("other").join(lost, "word", "left").where("n is not null or options is not null"))
@@ -500,8 +513,8 @@ def read(laid: DataFrame, content: DataFrame) -> DataFrame:
     pairs = context.join(pair_counts(clean, "content", context.select("b")), ["a", "b"])
     known = asked.select("key", "word").distinct().join(answers, "word").groupBy("key").agg(F.collect_list(F.struct("word", "n", "options")).alias("known"))
     met = pairs.groupBy("key").agg(F.collect_list(F.struct("a", "b", "n")).alias("met"))
-    rows = keyed.withColumn("key", F.to_json("key")).join(known, "key", "left").join(met, "key", "left").drop("key")
-    keep = [c for c in laid.columns if c not in ("following", "preceding")]
+    rows = laid.join(known, "key", "left").join(met, "key", "left")
+    keep = [c for c in laid.columns if c not in ("key", "following", "preceding")]
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
