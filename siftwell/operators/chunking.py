@@ -183,6 +183,11 @@ def outline_titles(lines: DataFrame, outline: DataFrame, least: float = 0.8) ->
     return lines.join(first, ["doc", "pos"], "left")
 
 
+def outline_decides(lines: DataFrame, least: float = 0.03) -> DataFrame:
+    """(doc, decides): whether an outline gives levels to more than so large a share of a document's lines, so that its levels are used; lines: of outline_titles."""
+    return lines.groupBy("doc").agg((F.count("outline_level") > F.lit(least) * F.count("*")).alias("decides"))
+
+
 def line_records(blocks: DataFrame, doc: str, pos: str, kind: str, content: str) -> DataFrame:
     """(doc, pos, nth, line): text blocks' lines, incomplete ones merged; a mark for each image or table."""
     rows = F.when(F.col(kind) == "text", merge_lines(F.split(F.col(content), "\n"))).when(F.col(kind) == "image", F.array(F.concat(F.lit("[Image: "), F.col(content), F.lit("]")))).otherwise(F.array(F.concat(F.lit("[Table: "), F.substring(F.col(content), 1, 100), F.lit("...]"))))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.functions.geometry import inside_ratio, iou, max_overlap
+from siftwell.functions.geometry import drawing_page, inside_ratio, max_overlap
 from siftwell.functions.text import margin_form, page_marker
 
 
@@ -69,16 +73,87 @@ def running_text(blocks: DataFrame, heights: DataFrame, top: float = 0.1, bottom
     return j.where((F.col("alike") >= enough) | ((F.col("here") >= enough) & page_marker(F.col("text")))).select("id").distinct()
 
 
-def running_images(images: DataFrame, heights: DataFrame, small: float = 0.05, width: float = 595.0, least: float = 0.5) -> DataFrame:
-    """(id): small images in a margin zone that stand at one place on most pages; images: (id, doc, page, box)."""
-    i = images.join(heights, ["doc", "page"])
+def seed_clusters(boxes: DataFrame, flat: bool, least: float = 0.5) -> DataFrame:
+    """(doc, zone, x0, y0, x1, y1, cluster) of different boxes (..., a, b, c), ordered by the last: the first box left takes every other that overlaps it enough.
+
+    flat: by horizontal extent alone. A group holds the different boxes of one file's margin, few by nature
+    and never its pages.
+    """
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["a", "b", "c"], ignore_index=True)
+        x0, y0, x1, y1 = (g[c].to_numpy("float64") for c in ("x0", "y0", "x1", "y1"))
+        cluster = np.full(len(g), -1)
+        for k in range(len(g)):
+            if cluster[k] >= 0:
+                continue
+            w = np.maximum(0, np.minimum(x1[k], x1) - np.maximum(x0[k], x0))
+            if flat:
+                both, every = w, np.maximum(x1[k], x1) - np.minimum(x0[k], x0)
+                alike = (x1 - x0 >= 1) & (x1[k] - x0[k] >= 1) & (both > least * np.maximum(every, 1e-9))
+            else:
+                both = w * np.maximum(0, np.minimum(y1[k], y1) - np.maximum(y0[k], y0))
+                every = (x1[k] - x0[k]) * (y1[k] - y0[k]) + (x1 - x0) * (y1 - y0) - both
+                alike = both > least * np.maximum(every, 1e-9)
+            cluster[(cluster < 0) & alike] = k
+            cluster[k] = k
+        return g.assign(cluster=cluster)[["doc", "zone", "x0", "y0", "x1", "y1", "cluster"]]
+
+    return boxes.groupBy("doc", "zone").applyInPandas(run, "doc string, zone string, x0 double, y0 double, x1 double, y1 double, cluster int")
+
+
+def _clustered(rows: DataFrame, box: list[str], flat: bool) -> DataFrame:
+    """Rows (doc, zone, at, x0, y0, x1, y1) with their cluster; box: the coordinates that tell boxes apart."""
+    named = {c: F.col(c) if c in box else F.lit(0.0) for c in ("x0", "y0", "x1", "y1")}
+    keyed = rows.withColumns({f"_{c}": v for c, v in named.items()})
+    different = keyed.groupBy("doc", "zone", *[F.col(f"_{c}").alias(c) for c in named]).agg(F.min("at").alias("at")).select("doc", "zone", *named, "at.*")
+    clusters = seed_clusters(different, flat).select("doc", "zone", *[F.col(c).alias(f"_{c}") for c in named], "cluster")
+    return keyed.join(clusters, ["doc", "zone", *[f"_{c}" for c in named]]).drop(*[f"_{c}" for c in named])
+
+
+def _zones(y0: Column, y1: Column, height: Column, top: float, bottom: float) -> Column:
+    """The margin zones a box reaches into."""
+    both = F.array(F.when(y0 <= top * height, "top"), F.when(y1 >= (1 - bottom) * height, "bottom"))
+    return F.explode(F.filter(both, lambda z: z.isNotNull())).alias("zone")
+
+
+def margin_blocks(blocks: DataFrame, heights: DataFrame, top: float = 0.1, bottom: float = 0.1, pages: int = 2, longest: int = 160) -> DataFrame:
+    """(id) of text blocks that are headers or footers: clusters of one extent in a margin zone on several pages.
+
+    A cluster goes if it stands steadily and has a page marker, or if it repeats a text, or stands steadily
+    and is short, and has a marker or stands close to the page's edge. blocks: (id, doc, page, text, x0, y0, x1, y1).
+    """
+    h = heights.groupBy("doc", "page").agg(F.max("height").alias("height"))
+    rows = blocks.join(h, ["doc", "page"]).where("height > 0").select("id", "doc", "page", "text", "x0", "y0", "x1", "y1", "height", F.struct(F.col("page").alias("a"), F.col("y0").alias("b"), F.col("id").alias("c")).alias("at"), _zones(F.col("y0"), F.col("y1"), F.col("height"), top, bottom))
+    rows = _clustered(rows, ["x0", "x1"], True).withColumn("form", margin_form(F.col("text")))
+    key = ["doc", "zone", "cluster"]
+    repeats = rows.where("form <> ''").groupBy(*key, "form").agg(F.count("*").alias("n")).groupBy(*key).agg(F.max("n").alias("repeats"))
+    width = F.col("x1") - F.col("x0")
+    steady = 0.7 * F.greatest(F.lit(0.0), 1 - F.stddev_pop("x0") / 600) + 0.3 * F.when(F.avg(width) > 0, F.greatest(F.lit(0.0), 1 - F.stddev_pop(width) / F.avg(width))).otherwise(0.0)
+    one = rows.groupBy(*key).agg(
+        F.countDistinct("page").alias("on"), steady.alias("steady"), F.max(page_marker(F.col("text"))).alias("marker"), F.avg(F.length(F.trim("text"))).alias("size"),
+        F.avg("y0").alias("y0"), F.avg("y1").alias("y1"), F.min_by("height", "at").alias("height"),
+    ).join(repeats, key, "left")
+    edge = (F.col("y0") <= 0.3 * top * F.col("height")) | (F.col("y1") >= (1 - 0.3 * bottom) * F.col("height"))
+    repeated = (F.coalesce("repeats", F.lit(0)) >= pages) | ((F.col("steady") > 0.8) & (F.col("size") <= longest))
+    gone = one.where((F.col("on") >= pages) & (((F.col("steady") > 0.7) & F.col("marker")) | (repeated & (F.col("marker") | edge))))
+    return rows.join(gone.select(*key), key, "left_semi").select("id").distinct()
+
+
+def margin_images(images: DataFrame, heights: DataFrame, top: float = 0.1, bottom: float = 0.1, pages: int = 2, small: float = 0.05, width: float = 595.0) -> DataFrame:
+    """(id) of images that are repeated logos: clusters of overlapping boxes in a margin zone on several pages, all small and steady. images: (id, doc, page, box)."""
+    h = heights.groupBy("doc", "page").agg(F.max("height").alias("height"))
     b = F.col("box")
-    area = (b["x1"] - b["x0"]) * (b["y1"] - b["y0"])
-    i = i.where((area <= small * F.col("height") * width) & ((b["y1"] <= 0.1 * F.col("height")) | (b["y0"] >= 0.9 * F.col("height"))))
-    cell = F.struct(*[F.round(b[c] / 5).alias(c) for c in ("x0", "y0")])
-    pages = heights.groupBy("doc").agg(F.countDistinct("page").alias("pages"))
-    same = i.groupBy("doc", cell.alias("cell")).agg(F.countDistinct("page").alias("n")).join(pages, "doc").where(F.col("n") >= F.greatest(F.lit(2.0), least * F.col("pages")))
-    return i.withColumn("cell", cell).join(same, ["doc", "cell"], "left_semi").select("id").distinct()
+    rows = images.join(h, ["doc", "page"]).select("id", "doc", "page", *[b[c].alias(c) for c in ("x0", "y0", "x1", "y1")], "height", F.struct(F.col("page").alias("a"), b["y0"].alias("b"), F.col("id").alias("c")).alias("at"))
+    rows = rows.select("*", _zones(F.col("y0"), F.col("y1"), F.col("height"), top, bottom))
+    rows = _clustered(rows, ["x0", "y0", "x1", "y1"], False)
+    key = ["doc", "zone", "cluster"]
+    wide, high = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    spread = lambda c, by: F.greatest(F.lit(0.0), 1 - F.stddev_pop(c) / by)
+    steady = 0.4 * spread("x0", F.lit(600.0)) + 0.4 * spread("y0", F.lit(800.0)) + 0.1 * spread(wide, F.greatest(F.lit(1.0), F.max(wide))) + 0.1 * spread(high, F.greatest(F.lit(1.0), F.max(high)))
+    one = rows.groupBy(*key).agg(F.countDistinct("page").alias("on"), steady.alias("steady"), F.max(wide * high).alias("area"), F.min_by("height", "at").alias("height"))
+    gone = one.where((F.col("on") >= pages) & (F.col("steady") > 0.75) & (F.col("area") <= small * width * F.col("height")))
+    return rows.join(gone.select(*key), key, "left_semi").select("id").distinct()
 
 
 def surrounding(images: DataFrame, blocks: DataFrame, budget: int = 200) -> DataFrame:
@@ -112,7 +187,27 @@ def reading_order(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("nth", F.row_number().over(Window.partitionBy("doc").orderBy(F.coalesce("page", F.lit(0)), F.coalesce("y0", "y1", F.lit(float("inf"))), F.coalesce("x0", F.lit(0.0)), "pos")))
 
 
-def same_place(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame:
-    """Pairs of boxes of one document and zone on different pages that overlap; both have (doc, zone, page, id, box)."""
-    x = b.select("doc", "zone", F.col("page").alias("page2"), F.col("id").alias("id2"), F.col("box").alias("box2"))
-    return a.join(x, ["doc", "zone"]).where((F.col("page") < F.col("page2")) & (iou(F.col("box"), F.col("box2")) > least))
+def page_content(words: DataFrame, images: DataFrame, tables: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc, page, nth, kind, content): what a parser read of pages, laid out.
+
+    Drawings are kept as one image of the page; words become lines; tables that aren't valid or lie in an
+    image are left out, as are lines that a table covers and what runs in the margins; the rest stands in
+    reading order. words: (doc, page, text, top, bottom, x0, x1, size); images: (id, doc, page, box, path);
+    tables: (id, doc, page, box, rows); pages: (doc, page, width, height, strokes, path).
+    """
+    drawn = pages.withColumn("drawing", drawing_page(F.col("strokes"), F.col("width"), F.col("height")))
+    plain = drawn.where("not drawing").select("doc", "page")
+    lines = group_words(words.join(plain, ["doc", "page"], "left_semi")).select("*", F.concat_ws("-", "doc", "page", "nth").alias("id"), F.struct("x0", "y0", "x1", "y1").alias("box"))
+    kept_tables = without_covered(tables.join(plain, ["doc", "page"], "left_semi").where(valid_table(F.col("rows"))), images)
+    heights = pages.select("doc", "page", "height")
+    text = lines.join(margin_blocks(lines, heights), "id", "left_anti")
+    text = without_covered(text, kept_tables, 0.8 - 1e-9, either=True)
+    figures = images.join(plain, ["doc", "page"], "left_semi").join(margin_images(images, heights), "id", "left_anti")
+    parts = [
+        text.select("doc", "page", "box", F.lit("text").alias("kind"), F.col("text").alias("content"), "id"),
+        kept_tables.select("doc", "page", "box", F.lit("table").alias("kind"), table_text(F.col("rows")).alias("content"), "id"),
+        figures.select("doc", "page", "box", F.lit("image").alias("kind"), F.col("path").alias("content"), "id"),
+        drawn.where("drawing").select("doc", "page", F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.col("width").alias("x1"), F.col("height").alias("y1")).alias("box"), F.lit("image").alias("kind"), F.col("path").alias("content"), F.lit("").alias("id")),
+    ]
+    rows = reduce(DataFrame.unionByName, parts).select("doc", "page", "kind", "content", F.col("id").alias("pos"), "box.*")
+    return reading_order(rows).select("doc", "page", "nth", "kind", "content")

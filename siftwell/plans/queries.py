@@ -533,6 +533,14 @@ def running_text(spark, sf):
     return layout.running_text(b, h)
 
 
+@query()
+def margin_blocks(spark, sf):
+    """Headers and footers by clusters of extents; the clusters are greedy and have no SQL."""
+    b = table(spark, sf, "text_blocks").select("id", F.col("doc_id").alias("doc"), F.col("page_num").alias("page"), "text", "x0", "y0", "x1", "y1").dropDuplicates(["id"])
+    h = table(spark, sf, "page_heights").select(F.col("doc_id").alias("doc"), F.col("page_num").alias("page"), "height")
+    return layout.margin_blocks(b, h)
+
+
 @query("""WITH n AS (SELECT doc_id AS doc, round(font_size, 1) AS size, count(*) AS n FROM (SELECT DISTINCT ON (id) * FROM text_blocks) WHERE font_size IS NOT NULL GROUP BY ALL),
 j AS (SELECT n.*, first_value(size) OVER (PARTITION BY doc ORDER BY n DESC, size DESC) AS body FROM n),
 hv AS (SELECT doc, count(*) AS have FROM j WHERE size > body GROUP BY doc),

@@ -28,17 +28,15 @@ def local_session(cores: str = "8", memory: str = "8g", shuffle_partitions: int
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's ``spark.checkpoint.dir``, else one made for a local test."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: the session's ``spark.checkpoint.dir``, else the context's checkpoint folder, else one made for a local test."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named
-    sc = spark.sparkContext
     if not sc.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = sc.getCheckpointDir()
-    if made is None:
-        made = "file://" + tempfile.mkdtemp(prefix="siftwell-", dir=os.environ.get("TMPDIR", "/tmp"))
-        sc.setCheckpointDir(made)
+    made = "file://" + tempfile.mkdtemp(prefix="siftwell-", dir=os.environ.get("TMPDIR", "/tmp"))
+    sc.setCheckpointDir(made)
     return made
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -103,6 +104,43 @@ def folder(spark: SparkSession, path: str, recursive: bool = True, use: dict[str
     return files.mapInPandas(part, BLOCKS)
 
 
+def image_header(data: bytes) -> tuple[str | None, int | None, int | None, str | None]:
+    """(format, width, height, mode) by an image file's header; nulls for what is none of PNG, GIF, BMP and JPEG."""
+    # Colour types of PNG, and component counts of JPEG.
+    png = {0: "L", 2: "RGB", 3: "P", 4: "LA", 6: "RGBA"}
+    jpeg = {1: "L", 3: "RGB", 4: "CMYK"}
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 26:
+        w, h, _, kind = struct.unpack(">IIBB", data[16:26])
+        return "PNG", w, h, png.get(kind)
+    if data[:3] == b"GIF" and len(data) >= 10:
+        return "GIF", *struct.unpack("<HH", data[6:10]), "P"
+    if data[:2] == b"BM" and len(data) >= 30:
+        w, h, _, bits = struct.unpack("<iiHH", data[18:30])
+        return "BMP", w, abs(h), "RGB" if bits >= 24 else "P"
+    if data[:2] == b"\xff\xd8":
+        at = 2
+        while at + 9 < len(data) and data[at] == 0xFF:
+            marker, size = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])[0]
+            if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+                h, w, n = struct.unpack(">HHB", data[at + 5 : at + 10])
+                return "JPEG", w, h, jpeg.get(n)
+            at += 2 + size
+        return "JPEG", None, None, None
+    return None, None, None, None
+
+
+def images(spark: SparkSession, path: str) -> DataFrame:
+    """(path, format, width, height, mode) of image files, read from their headers where they lie."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame([(p, *image_header(d)) for p, d in zip(b["path"], b["content"], strict=True)], columns=["path", "format", "width", "height", "mode"]).astype(object)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(file_format(F.col("path")) == "image")
+    return files.select("path", F.substring("content", 1, 1 << 20).alias("content")).mapInPandas(part, "path string, format string, width int, height int, mode string")
+
+
 def base64_images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.base64("content").alias("base64"))
 

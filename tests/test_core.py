@@ -210,10 +210,36 @@ def test_overlaps_of_whole_pages(spark, tmp_path):
     assert set(con.sql(q.oracle_sql()["box_overlaps"]).fetchall()) == got
 
 
+A3 = "id string, doc string, page int, text string, x0 double, y0 double, x1 double, y1 double"
+
+
+@pytest.mark.parametrize(("rows", "gone"), [
+    ([("Confidential Report", 0, 0, 10, 200, 30), ("Main body on page one", 0, 20, 120, 320, 180), ("Page 1", 0, 20, 760, 120, 790), ("Confidential Report", 1, 0, 10, 200, 30), ("Main body on page two", 1, 20, 140, 320, 200), ("Page 2", 1, 20, 760, 120, 790)], {0, 2, 3, 5}),
+    ([("Executive Summary", 0, 30, 35, 260, 70), ("The results improved.", 0, 30, 110, 380, 170)], set()),
+    ([("版本修订", 0, 30, 35, 260, 70), ("第一段。", 0, 30, 110, 380, 170), ("版本修订", 1, 30, 35, 260, 70), ("第二段。", 1, 30, 110, 380, 170), ("Page 1", 0, 20, 760, 120, 790), ("Page 2", 1, 20, 760, 120, 790)], {4, 5}),
+    ([], set()),
+])
+def test_margin_blocks(spark, rows, gone):
+    b = spark.createDataFrame([(str(k), "d", p, t, float(x0), float(y0), float(x1), float(y1)) for k, (t, p, x0, y0, x1, y1) in enumerate(rows)], A3)
+    h = spark.createDataFrame([("d", 0, 800.0), ("d", 1, 800.0)], "doc string, page int, height double")
+    assert {int(r.id) for r in layout.margin_blocks(b, h).collect()} == gone
+
+
+def test_page_content(spark):
+    words = [("d", p, w, y, y + 10.0, x, x + 40.0, 10.0) for p in (0, 1) for w, y, x in (("Report", 5.0, 10.0), (f"body{p}", 100.0, 10.0), ("text", 100.0, 60.0), ("cell", 300.0, 10.0), (str(p + 1), 790.0, 300.0))] + [("d", 2, "label", 50.0, 60.0, 5.0, 40.0, 8.0)]
+    w = spark.createDataFrame(words, "doc string, page int, text string, top double, bottom double, x0 double, x1 double, size double")
+    box = "box struct<x0: double, y0: double, x1: double, y1: double>"
+    images = spark.createDataFrame([("i1", "d", 0, (400.0, 20.0, 450.0, 40.0), "logo"), ("i2", "d", 1, (400.0, 20.0, 450.0, 40.0), "logo"), ("i3", "d", 1, (80.0, 400.0, 400.0, 700.0), "figure")], f"id string, doc string, page int, {box}, path string")
+    tables = spark.createDataFrame([("t1", "d", 0, (0.0, 290.0, 200.0, 320.0), [["a", "b"], ["1", "2"]]), ("t2", "d", 1, (100.0, 450.0, 200.0, 500.0), [["x", "y"], ["1", "2"]]), ("t3", "d", 0, (0.0, 0.0, 9.0, 9.0), [["one"]])], f"id string, doc string, page int, {box}, rows array<array<string>>")
+    pages = spark.createDataFrame([("d", 0, 595.0, 800.0, 0, None), ("d", 1, 595.0, 800.0, 10, None), ("d", 2, 595.0, 800.0, 900, "drawing.png")], "doc string, page int, width double, height double, strokes int, path string")
+    got = [(r.page, r.kind, r.content) for r in layout.page_content(w, images, tables, pages).orderBy("nth").collect()]
+    assert got == [(0, "text", "body0 text"), (0, "table", "a | b\n1 | 2"), (1, "text", "body1 text"), (1, "text", "cell"), (1, "image", "figure"), (2, "image", "drawing.png")]
+
+
 def test_images(spark):
     i = spark.createDataFrame([("logo1", "d", 0, (467.4, 26.8, 522.96, 47.2)), ("logo2", "d", 1, (467.4, 26.8, 522.96, 47.2)), ("fig", "d", 1, (80.0, 260.0, 420.0, 520.0))], "id string, doc string, page int, box struct<x0: double, y0: double, x1: double, y1: double>")
     h = spark.createDataFrame([("d", 0, 800.0), ("d", 1, 800.0)], "doc string, page int, height double")
-    assert {r.id for r in layout.running_images(i, h).collect()} == {"logo1", "logo2"}
+    assert {r.id for r in layout.margin_images(i, h).collect()} == {"logo1", "logo2"}
     blocks = spark.createDataFrame([("d", 1, "below", 530.0, 560.0), ("d", 1, "5", 522.0, 528.0), ("d", 1, "above", 100.0, 200.0)], "doc string, page int, text string, y0 double, y1 double")
     got = layout.surrounding(i.where("id = 'fig'").withColumnRenamed("id", "image"), blocks)
     assert {(r.side, r.text) for r in got.collect()} == {("above", "above"), ("below", "below")}
@@ -317,6 +343,50 @@ def test_files(spark, tmp_path):
     assert readers.text(spark, str(tmp_path / "a.md")).first().content == "# T\ntext"
 
 
+def test_sinks_and_readers(spark, tmp_path):
+    path = str(tmp_path)
+    v = spark.createDataFrame([("ann", "Ann", "person", "Leads"), ("bob", "Bob", "person", None)], "id string, name string, entity_type string, description string")
+    e = spark.createDataFrame([("ann", "bob", "knows", 0.5)], "src string, dst string, rel_type string, strength double")
+    for form in ("parquet", "json"):
+        sinks.save_graph(v, e, f"{path}/{form}", form)
+        v2, e2 = readers.knowledge_graph(spark, f"{path}/{form}", form)
+        assert v2.count() == 2 and e2.select("src", "dst", "strength").first() == ("ann", "bob", 0.5)
+    sinks.rebuild_entities(v, spark.createDataFrame([("ann", [1.0, 0.0])], "id string, embedding array<float>"), f"{path}/parquet")
+    assert [(r.id, r.document) for r in sinks.collection(spark, f"{path}/parquet", "entities").collect()] == [("ann", "Ann: Leads")]
+    assert readers.knowledge_graph(spark, f"{path}/parquet")[0].count() == 2  # the graph is where it was
+    assert sinks.collection(spark, path, "fresh").count() == 0 and sinks.exists(spark, f"{path}/fresh")
+    (tmp_path / "kg.json").write_text(json.dumps({"entities": {"ann": {"entity_name": "Ann", "entity_type": "p", "description": "d"}}, "relationships": [{"src_id": "Ann", "tgt_id": "Bob", "keywords": "k", "description": "d", "weight": 2.0}]}, indent=2))
+    ents, rels = readers.knowledge_graph_json(spark, f"{path}/kg.json")
+    assert ents.first().entity_name == "Ann" and rels.first().weight == 2.0
+    index = bm25.build(spark.createDataFrame([(1, "red pump"), (2, "blue pump")], "id long, text string"), "id", "text")
+    index.save(f"{path}/index")
+    q = spark.createDataFrame([(1, "red")], "query_id long, text string")
+    assert rowset(bm25.search(bm25.Index.load(spark, f"{path}/index"), q, 2)) == rowset(bm25.search(index, q, 2))
+    sinks.save_markdown(spark.createDataFrame([("d", 1, "b"), ("d", 0, "a")], "doc_id string, pos int, markdown string"), f"{path}/md")
+    assert next((tmp_path / "md" / "doc_id=d").glob("part-*")).read_text() == "a\n\nb\n"
+    (tmp_path / "i.png").write_bytes(b"xyz")
+    (tmp_path / "images").mkdir()
+    (tmp_path / "images" / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + (7).to_bytes(4, "big") + (5).to_bytes(4, "big") + b"\x08\x06")
+    (tmp_path / "images" / "b.jpg").write_bytes(b"\xff\xd8\xff\xe0\0\x04ab\xff\xc0\0\x0b\x08\0\x03\0\x09\x03xxx")
+    (tmp_path / "images" / "c.gif").write_bytes(b"no image")
+    assert rowset(readers.images(spark, f"{path}/images").select("format", "width", "height", "mode")) == {("PNG", 7, 5, "RGBA"), ("JPEG", 9, 3, "RGB"), (None, None, None, None)}
+    assert readers.base64_images(spark, f"{path}/i.png").first().base64 == "eHl6"
+    assert json.loads(sinks.to_json(spark.createDataFrame([("x", [1.0])], "id string, embedding array<double>")).first().json) == {"id": "x"}
+
+
+def test_outline_and_media_context(spark):
+    lines = spark.createDataFrame([("d", 0, "1 Overview"), ("d", 1, "body text")], "doc string, pos int, line string")
+    outline = spark.createDataFrame([("d", "1 Overvieu", 1, 0), ("d", "other", 2, 1)], "doc string, title string, level int, nth int")
+    assert [(r.pos, r.outline_level) for r in chunking.outline_titles(lines, outline).orderBy("pos").collect()] == [(0, 1), (1, None)]
+    assert chunking.outline_decides(chunking.outline_titles(lines, outline)).first().decides and not chunking.outline_decides(chunking.outline_titles(lines, outline), 0.5).first().decides
+    c = spark.createDataFrame([("d", 0, "text", "above"), ("d", 1, "table", "t"), ("d", 2, "text", "below")], "doc string, chunk_no int, chunk_type string, text string")
+    assert chunking.media_context(c, 1).where("chunk_no = 1").select("context_above", "context_below").first() == ("bove", "belo")
+
+
+def rowset(df):
+    return {tuple(r) for r in df.collect()}
+
+
 def test_engine(spark, tmp_path):
     blocks = spark.createDataFrame([(f"d{k}", 0, "text", f"The {w} pump measures pressure.") for k, w in enumerate(["red", "blue", "green"])], "doc_id string, pos int, type string, content string")
     questions = spark.createDataFrame([(1, "blue pump"), (2, "Ann")], "query_id long, text string")
