@@ -140,6 +140,11 @@ def _labels(blocks: DataFrame, files: DataFrame, model: language.Backoff) -> Dat
     return paras.unionByName(rows)
 
 
+def p4_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """(item, para_no): what p4_labels has a row for."""
+    return p4_labels(spark, sf).select("item", "para_no")
+
+
 def _pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split_oversized(table(spark, sf, "chunks"), "id", "text", ["title", "title_level"])
 
@@ -153,6 +158,13 @@ def p5_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return _pieces(spark, sf)
 
 
+def p5_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, fits, rejoined): whether all pieces keep the limit, and how many characters they have without what they share."""
+    chars = F.length("piece")
+    fits = F.max(splitting.tokens(F.col("piece"))) <= 512
+    return _pieces(spark, sf).groupBy("id").agg(fits.alias("fits"), (F.sum(chars) - 256 * (F.count("*") - 1)).alias("rejoined"))
+
+
 def _containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill(table(spark, sf, "documents"), "doc_id", packing.token_count(F.col("text")))
 
@@ -166,7 +178,16 @@ def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
     return _containers(spark, sf).select(F.col("id").alias("doc_id"), "part", "tokens", "shard", "container")
 
 
+def p8_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, tokens, parts, fits): each document's tokens in all containers, its parts, and whether their containers keep the limit."""
+    c = cut(_containers(spark, sf))
+    load = c.groupBy("shard", "container").agg(F.sum("tokens").alias("load"))
+    per = c.join(load, ["shard", "container"]).groupBy(F.col("id").alias("doc_id"))
+    return per.agg(F.sum("tokens").alias("tokens"), F.count("*").alias("parts"), (F.max("load") <= 1024).alias("fits"))
+
+
 SINGLE_SQL = r"\p{Han}\p{Hangul}\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{FF66}-\x{FF9F}"
+TOKENS_SQL = rf"""len(regexp_extract_all(regexp_replace(text, '([{SINGLE_SQL}])', ' \1 ', 'g'), '[\p{{L}}\p{{N}}\p{{M}}]+|[^\s\p{{Z}}\p{{Cc}}\p{{Cf}}\p{{Cs}}]'))"""
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -225,6 +246,10 @@ def oracle_sql() -> dict[str, str]:
 n AS (SELECT a.id, b.id AS other, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.id <> b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
 k AS (SELECT id, other FROM n QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, other) <= 5)
 SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM k""",
-        "p8_found": rf"""SELECT DISTINCT doc_id FROM documents WHERE len(regexp_extract_all(
-  regexp_replace(text, '([{SINGLE_SQL}])', ' \1 ', 'g'), '[\p{{L}}\p{{N}}\p{{M}}]+|[^\s\p{{Z}}\p{{Cc}}\p{{Cf}}\p{{Cs}}]')) > 1024""",
+        "p4_keys": r"""WITH b AS (SELECT DISTINCT ON (id) id, doc_id, type, content FROM content_blocks WHERE id IS NOT NULL ORDER BY id)
+SELECT id AS item, unnest(range(0, len(regexp_split_to_array(content, '\n[^\S\n]*(?:\n[^\S\n]*)+')))) AS para_no FROM b WHERE type = 'text' AND content IS NOT NULL
+UNION ALL SELECT item, -1 FROM (SELECT id AS item FROM b UNION SELECT doc_id FROM content_blocks UNION SELECT id FROM parsed_files) WHERE item IS NOT NULL""",
+        "p5_checked": "SELECT DISTINCT id, true AS fits, length(text) AS rejoined FROM chunks WHERE length(text) // 4 > 512",
+        "p8_checked": f"SELECT doc_id, n AS tokens, ceil(n / 1024)::BIGINT AS parts, true AS fits FROM (SELECT DISTINCT doc_id, {TOKENS_SQL} AS n FROM documents) WHERE n > 0",
+        "p8_found": f"SELECT DISTINCT doc_id FROM documents WHERE {TOKENS_SQL} > 1024",
     }
