@@ -52,7 +52,7 @@ PLACEHOLDERS = re.compile(
     r"|[\[<(](?i:(?:insert|enter|add|your|fill in|type)\s+[\w' ]{2,40}?(?:\s+here)?)[\])>]"
 )
 CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|``.+?``|`[^`\n]*`|<(code|pre)>.*?</\1>", re.S | re.I)
-HINT = re.compile(r"[{$@#%<\[(_]")
+HINT = re.compile(r"\{[{%]|\$[{(]|<[<%A-Z]|\[[\[%]|@@|##\w|#[A-Z]|%[A-Z]|__[A-Z]|[\[<(](?i:insert|enter|add|your|fill|type)")
 BITS = 17
 WIDTH = 4
 UNSEEN, UNSEEN_KIND = 1 / 200, 1 / 50  # the smoothed count of a character not seen after its context

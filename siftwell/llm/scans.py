@@ -214,27 +214,34 @@ class Reader:
 
 
 class Notes:
-    """Stands in for a Reader and notes what would be looked up: (word, the word before it, whether edits of other kinds may count).
+    """Stands in for a Reader and notes what would be looked up beside the words told: (word, the word before it, whether edits of other kinds may count).
 
-    Both ways of writing a cut word are gone through.
+    Both ways of writing a cut word are gone through, unless a told word decides: it is more frequent than any that isn't.
     """
 
-    def __init__(self, hyphens: bool) -> None:
-        self.hyphens = hyphens
+    def __init__(self, told: dict[str, int], hyphens: bool) -> None:
+        self.told, self.hyphens = told, hyphens
         self.asked: set[tuple[str, str, bool]] = set()
 
-    def note(self, word: str, before: str = "", other: bool = False) -> None:
+    def note(self, word: str, before: str = "", other: bool = False) -> bool:
+        """Whether the word is told; else it is noted."""
+        low = word.lower()
+        if low in self.told:
+            return True
         if len(word) > 1 and any(map(str.isalpha, word)):
-            self.asked.add((word.lower(), before, other))
+            self.asked.add((low, before, other))
+        return False
 
     def knows(self, word: str) -> bool:
-        self.note(word)
-        return False
+        return self.note(word)
 
     def mend(self, word: str, before: str = "", begins: bool = False) -> None:
         self.note(word, before, len(word) >= 5 and not word[:1].isupper())
 
     def apart(self, apart: str, close: str) -> bool:
+        a, c = self.told.get(apart, 0), self.told.get(close, 0)
+        if a or c:
+            return a > c
         self.note(apart)
         self.note(close)
         return self.hyphens
@@ -492,12 +499,11 @@ def read(laid: DataFrame, content: DataFrame) -> DataFrame:
             for key, text, following, preceding in zip(b["key"], b["text"], b["following"], b["preceding"], strict=True):
                 asked: dict[str, dict[str, bool]] = {}
                 for hyphens in (False, True) if LINE_END.search(text) or preceding else (False,):
-                    notes = Notes(hyphens)
+                    notes = Notes(told.value, hyphens)
                     read_block(text, notes, following or None, preceding or None)
                     for w, before, other in notes.asked:
-                        if w not in told.value:
-                            of = asked.setdefault(w, {})
-                            of[before] = of.get(before, False) or other
+                        of = asked.setdefault(w, {})
+                        of[before] = of.get(before, False) or other
                 for w, of in asked.items():
                     got += [(key, w, before, other) for before, other in of.items() if before or len(of) == 1]
             yield pd.DataFrame(got, columns=["key", "word", "before", "other"])
