@@ -60,7 +60,8 @@ class HybridEngine:
         return vertices, edges
 
     def asked(self, queries: DataFrame) -> DataFrame:
-        return queries.select("query_id", providers.embedding_column(F.col("text"), self.embed).alias("query"))
+        """(query_id, query): the queries' vectors, written so that the provider is asked once."""
+        return cut(queries.select("query_id", providers.embedding_column(F.col("text"), self.embed).alias("query")))
 
     def retrieve(self, queries: DataFrame, k: int | None = None) -> DataFrame:
         """(query_id, query, doc, content, score, channels, rank): both channels fused, then reranked."""

@@ -423,18 +423,30 @@ def one_blocks(spark, sf):
     return table(spark, sf, "content_blocks").select("doc_id", "pos", "id", "type", "content").dropDuplicates(["id"])
 
 
-@query(f"""WITH RECURSIVE b AS (SELECT DISTINCT ON (id) doc_id, pos, id, type, content FROM content_blocks ORDER BY id),
+def token_sql(size: float) -> str:
+    """The token chunker's fold in SQL; chunks (doc, chunk_no, chunk_type, text, token_count), blank ones too."""
+    return f"""WITH RECURSIVE b AS (SELECT DISTINCT ON (id) doc_id, pos, id, type, content FROM content_blocks ORDER BY id),
 x AS (SELECT doc_id AS doc, pos, type AS kind, CASE WHEN type = 'text' THEN list_filter(regexp_extract_all(content, '[^\\n]+[\\n]?'), lambda s: regexp_replace(s, '\\s', '', 'g') <> '') ELSE [coalesce(content, '')] END AS segs FROM b),
 y AS (SELECT doc, pos, kind, unnest(range(0, len(segs))) AS seg, unnest(segs) AS text FROM x),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY pos, seg) AS rn, {_EST.format("text")} AS tokens FROM y),
 w AS (SELECT doc, rn, 0 AS g, tokens AS cnt, kind <> 'text' AS media FROM n WHERE rn = 1
-  UNION ALL SELECT n.doc, n.rn, CASE WHEN n.kind <> 'text' OR w.media OR w.cnt > 512 THEN w.g + 1 ELSE w.g END, CASE WHEN n.kind <> 'text' OR w.media OR w.cnt > 512 THEN n.tokens ELSE w.cnt + n.tokens END, n.kind <> 'text'
-  FROM w JOIN n ON n.doc = w.doc AND n.rn = w.rn + 1)
-SELECT doc, w.g AS chunk_no, min(kind) AS chunk_type, string_agg(text, chr(10) ORDER BY pos, seg) AS text, sum(tokens)::BIGINT AS token_count FROM n JOIN w USING (doc, rn) GROUP BY ALL HAVING trim(string_agg(text, chr(10) ORDER BY pos, seg)) <> ''""")
+  UNION ALL SELECT n.doc, n.rn, CASE WHEN n.kind <> 'text' OR w.media OR w.cnt > {size} THEN w.g + 1 ELSE w.g END, CASE WHEN n.kind <> 'text' OR w.media OR w.cnt > {size} THEN n.tokens ELSE w.cnt + n.tokens END, n.kind <> 'text'
+  FROM w JOIN n ON n.doc = w.doc AND n.rn = w.rn + 1),
+c AS (SELECT doc, w.g AS chunk_no, min(kind) AS chunk_type, string_agg(text, chr(10) ORDER BY pos, seg) AS text, sum(tokens)::BIGINT AS token_count FROM n JOIN w USING (doc, rn) GROUP BY ALL)
+"""
+
+
+@query(token_sql(512) + "SELECT doc, chunk_no, chunk_type, text, token_count FROM c WHERE trim(text) <> ''")
 def token_chunks(spark, sf):
     return chunking.token_chunks(one_blocks(spark, sf), "doc_id", "pos", "type", "content")
 
 
+@query(token_sql(512 * 0.9) + """, o AS (SELECT *, CASE WHEN chunk_type = 'text' AND lag(chunk_type) OVER d = 'text' THEN lag(text) OVER d END AS before FROM c WINDOW d AS (PARTITION BY doc ORDER BY chunk_no))
+SELECT doc, chunk_no, chunk_type, coalesce(substring(before, length(before) * 90 // 100 + 1), '') || text AS text, token_count FROM o WHERE trim(coalesce(substring(before, length(before) * 90 // 100 + 1), '') || text) <> ''""")
+def token_chunks_overlap(spark, sf):
+    return chunking.token_chunks(one_blocks(spark, sf), "doc_id", "pos", "type", "content", overlap_percent=10.0)
+
+
 _CH = "c AS (SELECT DISTINCT ON (id) id, doc_id AS doc, chunk_type AS kind, coalesce(text, '') AS text FROM chunks ORDER BY id), n AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY id) AS rn, " + _EST.format("text") + " AS tokens FROM c)"
 
 

@@ -29,12 +29,13 @@ def hashing_embedder(dim: int = 64) -> Embed:
     return embed
 
 
-def embedding_column(text: Column, embed: Embed) -> Column:
-    """Embeddings by a provider, in Arrow batches."""
+def embedding_column(text: Column, embed: Embed, batch: int = 256) -> Column:
+    """Embeddings by a provider, which gets so many texts at a time."""
 
     @F.pandas_udf("array<float>")
     def run(col: pd.Series) -> pd.Series:
-        return pd.Series(list(embed(col.fillna("").tolist())))
+        texts = col.fillna("").tolist()
+        return pd.Series([v for k in range(0, len(texts), batch) for v in embed(texts[k : k + batch])], dtype=object)
 
     return run(text)
 

@@ -81,11 +81,29 @@ def parsers(pdf: Parser | None = None) -> dict[str, Parser]:
     return {"docx": docx, "excel": xlsx, "image": image, "text": plain} | ({"pdf": pdf} if pdf else {})
 
 
-def folder(spark: SparkSession, path: str, recursive: bool = True, use: dict[str, Parser] | None = None) -> DataFrame:
-    """Every supported file of a folder, parsed where it is read."""
+def first_of(*tried: Parser) -> Parser:
+    """A parser that takes the first of several that doesn't fail, such as a plain one after one for layouts."""
+
+    def run(path: str, data: bytes) -> list[tuple[str, str]]:
+        for p in tried[:-1]:
+            try:
+                return p(path, data)
+            except Exception:
+                continue
+        return tried[-1](path, data)
+
+    return run
+
+
+def folder(spark: SparkSession, path: str, recursive: bool = True, use: dict[str, Parser] | None = None, converted: str | None = None) -> DataFrame:
+    """Every supported file of a folder, parsed where it is read; what `converted`, a folder of text files, has a document of is taken from there and not parsed."""
     use = use or parsers()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     files = files.select("path", "content", file_format(F.col("path")).alias("format")).where("format is not null")
+    ready = text(spark, converted) if converted else None
+    if ready is not None:
+        doc = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
+        files = files.withColumn("_doc", doc).join(ready.select(F.col("doc_id").alias("_doc")).distinct(), "_doc", "left_anti").drop("_doc")
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -101,7 +119,8 @@ def folder(spark: SparkSession, path: str, recursive: bool = True, use: dict[str
             if rows:
                 yield pd.DataFrame(rows, columns=["doc_id", "pos", "type", "content", "source_file", "error"]).astype(object)
 
-    return files.mapInPandas(part, BLOCKS)
+    parsed = files.mapInPandas(part, BLOCKS)
+    return parsed if ready is None else parsed.unionByName(ready)
 
 
 def image_header(data: bytes) -> tuple[str | None, int | None, int | None, str | None]:

@@ -342,6 +342,21 @@ def test_files(spark, tmp_path):
     assert got == {("a", 0): ("text", "# T\ntext", False), ("b", 0): ("text", "plain", False), ("c", -1): (None, None, True), ("e", 0): ("text", "Para", False), ("e", 1): ("table", "x | y", False), ("f", 0): ("table", "| h | 2 |\n| --- | --- |", False)}
     assert readers.text(spark, str(tmp_path / "a.md")).first().content == "# T\ntext"
 
+    def layout_parser(path, data):
+        raise ValueError("no layout")
+
+    both = readers.parsers(readers.first_of(layout_parser, lambda p, d: [("text", "page")]))
+    assert readers.folder(spark, str(tmp_path), use=both).where("doc_id = 'c'").first().content == "page"
+    (tmp_path / "ready").mkdir()
+    (tmp_path / "ready" / "c.md").write_text("# Converted")
+    got = {r.doc_id: r.content for r in readers.folder(spark, str(tmp_path), recursive=False, converted=str(tmp_path / "ready")).collect()}
+    assert got["c"] == "# Converted" and got["a"] == "# T\ntext"
+    sizes = []
+    embed = providers.hashing_embedder(4)
+    texts = spark.createDataFrame([(f"w{k}",) for k in range(5)], "t string").coalesce(1)
+    many = texts.select(providers.embedding_column(F.col("t"), lambda x: embed(x) if len(x) <= 2 else sizes.append(1), 2).alias("e"))
+    assert [len(r.e) for r in many.collect()] == [4] * 5
+
 
 def test_sinks_and_readers(spark, tmp_path):
     path = str(tmp_path)
