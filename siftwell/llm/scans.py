@@ -515,7 +515,9 @@ def read(laid: DataFrame, content: DataFrame) -> DataFrame:
     # Which of several candidates of least cost follows the word before more often.
     least = F.array_min(F.transform("options", lambda o: o["cost"]))
     several = answers.where((F.size(F.filter("options", lambda o: o["cost"] == least)) > 1) | (least >= OTHER))
-    context = cut(asked.where("before <> ''").join(several, "word").select("key", F.col("before").alias("a"), F.explode(F.col("options.c")).alias("b")).distinct())
+    context = asked.where("before <> ''").join(several, "word").select("key", F.col("before").alias("a"), F.explode(F.col("options.c")).alias("b"))
+    mended = answers.select(F.col("word").alias("a"), F.explode("options.c").alias("mended"))  # the word before may be misread itself
+    context = cut(context.unionByName(context.join(mended, "a").select("key", F.col("mended").alias("a"), "b")).distinct())
     pairs = context.join(pair_counts(clean, "content", context.select("b")), ["a", "b"])
     known = asked.select("key", "word").distinct().join(answers, "word").groupBy("key").agg(F.collect_list(F.struct("word", "n", "options")).alias("known"))
     met = pairs.groupBy("key").agg(F.collect_list(F.struct("a", "b", "n")).alias("met"))
