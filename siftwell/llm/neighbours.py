@@ -1,13 +1,13 @@
 """Most similar vectors for every vector: vantage-point trees per shard.
 
 A routing tree of vantage points, fitted on a bounded sample of different vectors, assigns every vector
-to a shard; a vector is also sent, as a query, to each shard whose region its search ball may touch. A
-shard is searched by its own vantage-point tree. The tree halves its sample at each step, so shards
-hold about equal numbers of vectors, and has as many leaves as keep them to their size at any total; a
-shard's visitors are streamed past its tree and never gathered. A subtree is pruned where the triangle inequality on angles
-rules it out, the ball's radius being multiplied by `relax` first: 1 is exact, less is faster and may
-miss neighbours that lie just behind a border. The radius is the angle of the k-th neighbour found in
-the vector's own shard, or of `at_least` if that is smaller.
+to a shard; a vector is also sent, as a query, to each shard whose region its search ball may touch. The
+tree halves its sample at each step, so shards hold about equal numbers of vectors, and has as many
+leaves as keep them to their size at any total. A region is ruled out by the triangle inequality on
+angles, the ball's radius being multiplied by `relax` first: 1 is exact, less is faster and may miss
+neighbours that lie just behind a border. The radius is the angle of the k-th neighbour found in the
+vector's own shard, or of `at_least` if that is smaller. A shard is searched by its own vantage-point
+tree, exactly; a shard's visitors are streamed past it and never gathered.
 
 Equal vectors are one class, searched once and expanded at the end, so that masses of copies meet no
 shard. Vectors that are null, of another length, all zero or not finite have no neighbours and are
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from siftwell.session import cut, filled
 
-LEAF = 256
+LEAF = 1024
 #: For all nearest, without a least similarity: recall@5 of 0.9 or more at the sizes measured (see README).
 RELAX_ALL = 0.25
 
@@ -163,17 +163,11 @@ def routing(df: DataFrame, total: int, shard: int, fit_rows: int, a_leaf: int =
     return Tree(sample, np.arange(len(sample)), 1, depth=depth, tries=32)
 
 
-def exact(ids: np.ndarray, v: np.ndarray, q: np.ndarray, best: Best, at_least: float | None, rows: int = 4096) -> tuple[list, list]:
-    """The ids found for each query and their similarities in double precision; v, q: raw vectors, a few rows at a time."""
-    others, sims = [], []
+def exact(v: np.ndarray, q: np.ndarray, best: Best, at_least: float | None, rows: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Similarities of the rows found for each query in double precision, and which of them count; v, q: raw vectors, a few rows at a time."""
     wide = lambda x: (y := x.astype("float64")) / np.linalg.norm(y, axis=-1, keepdims=True)
-    for k in range(0, len(q), rows):
-        row = best.row[k : k + rows]
-        cos = np.einsum("ij,ikj->ik", wide(q[k : k + rows]), wide(v[row]))
-        ok = (row >= 0) & (cos >= (-2 if at_least is None else at_least))
-        others += [list(ids[r[m]]) for r, m in zip(row, ok, strict=True)]
-        sims += [[float(x) for x in c[m]] for c, m in zip(cos, ok, strict=True)]
-    return others, sims
+    cos = np.concatenate([np.einsum("ij,ikj->ik", wide(q[k : k + rows]), wide(v[best.row[k : k + rows]])) for k in range(0, len(q), rows)])
+    return cos, (best.row >= 0) & (cos >= (-2 if at_least is None else at_least))
 
 
 def search(df: DataFrame, reps: DataFrame, k: int, at_least: float | None, relax: float, shard: int, fit_rows: int) -> DataFrame:
@@ -200,9 +194,10 @@ def search(df: DataFrame, reps: DataFrame, k: int, at_least: float | None, relax
         raw, every = _matrix(g["vec"]), np.arange(len(g))
         q = unit(raw)
         best = Best(every, k, np.full(len(g), -1.0 if at_least is None else at_least, "float32"))
-        Tree(q, every, LEAF).search(q, q, every, best, relax)
-        floor = np.maximum(best.floor, best.cos[:, -1])
-        others, sims = exact(g["id"].to_numpy(), raw, raw, best, at_least)
+        Tree(q, every, LEAF).search(q, q, every, best, 1.0)
+        floor, ids = np.maximum(best.floor, best.cos[:, -1]), g["id"].to_numpy()
+        cos, ok = exact(raw, raw, best, at_least)
+        others, sims = [ids[r[m]] for r, m in zip(best.row, ok, strict=True)], [c[m] for c, m in zip(cos, ok, strict=True)]
         return g.assign(floor=floor, others=others, sims=sims)[["shard", "id", "vec", "floor", "others", "sims"]]
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,19 +229,19 @@ def search(df: DataFrame, reps: DataFrame, k: int, at_least: float | None, relax
                     tree, kept = Tree(v, np.arange(len(v)), LEAF), [every.iloc[:0]]
                 asked = _matrix(g["vec"])
                 best = Best(np.full(len(g), -1), k, g["floor"].to_numpy("float32"))
-                tree.search(v, unit(asked), np.arange(len(g)), best, relax)
-                others, sims = exact(ids, raw, asked, best, at_least)
-                got = pd.DataFrame({"id": g["id"].to_numpy(), "others": others, "sims": sims})
-                yield got[got["others"].map(len) > 0]
+                tree.search(v, unit(asked), np.arange(len(g)), best, 1.0)
+                cos, ok = exact(raw, asked, best, at_least)
+                which, place = np.nonzero(ok)
+                yield pd.DataFrame({"id": g["id"].to_numpy()[which], "other": ids[best.row[which, place]], "similarity": cos[which, place]})
 
     # A vector is searched in its own shard first: where that holds k near ones, as in a mass of near-copies, its ball
     # is small by the time it may visit others.
     shards = reps.mapInPandas(filled(home), "shard long, id string, vec binary").repartition(tasks, "shard").groupBy("shard")
     first = cut(shards.applyInPandas(at_home, "shard long, id string, vec binary, floor float, others array<string>, sims array<double>"))
     visits = first.select("id", "vec", "floor").mapInPandas(filled(visit), "shard long, id string, vec binary, home boolean, floor float")
-    second = visits.repartition(tasks, "shard").sortWithinPartitions("shard", F.desc("home"), "id").mapInPandas(filled(abroad), "id string, others array<string>, sims array<double>")
-    found = first.select("id", "others", "sims").unionByName(second)
-    found = found.select("id", F.explode(F.arrays_zip("others", "sims")).alias("x")).select("id", F.col("x.others").alias("other"), F.col("x.sims").alias("similarity"))
+    second = visits.repartition(tasks, "shard").sortWithinPartitions("shard", F.desc("home"), "id").mapInPandas(filled(abroad), "id string, other string, similarity double")
+    own = first.select("id", F.explode(F.arrays_zip("others", "sims")).alias("x")).select("id", F.col("x.others").alias("other"), F.col("x.sims").alias("similarity"))
+    found = own.unionByName(second)
     w = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
     return found.select("*", F.row_number().over(w).alias("k")).where(F.col("k") <= k).drop("k")
 
