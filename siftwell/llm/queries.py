@@ -218,7 +218,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """(id, other, similarity): of every usable vector the five most similar others."""
-    return neighbours.nearest(table(spark, sf, "content_blocks"), "id", "embeddings", 64, k=5, relax=neighbours.RELAX_ALL)
+    return neighbours.nearest(table(spark, sf, "content_blocks"), "id", "embeddings", 64, k=5, relax=neighbours.RELAX_ALL, shard=65_536)
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
