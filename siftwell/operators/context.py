@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from siftwell.operators.extraction import DONE
 
 
+# How a source is marked in a prompt, and how many characters of a text and of a graph's row are given.
+SOURCE = "[%s-%d] (score=%.4f, source=%s)\n%s"
+TEXT_MOST, GRAPH_MOST = 4000, 500
+
+
 def window(blocks: DataFrame, within: str, order: str, ident: str, kind: str, content: str, size: int = 2, kinds: list[str] | None = None, include_self: bool = False) -> DataFrame:
     """A column `context`: up to `size` blocks before and after, in order; kinds filter after the window."""
     w = Window.partitionBy(within).orderBy(order, ident).rowsBetween(-size, size)
@@ -37,10 +42,10 @@ def prompt_context(results: DataFrame, graph: DataFrame, caps: tuple[int, int, i
 
     results: (query_id, rank, content, score, channels), graph: (query_id, rank, content, score, channel).
     """
-    line = F.format_string("[%s-%d] (score=%.4f, source=%s)\n%s", F.col("kind"), F.col("rank"), F.col("score"), F.col("channel"), F.col("content"))
-    texts = results.select("query_id", F.lit(0).alias("part"), F.lit("Text").alias("kind"), "rank", "score", F.col("channels").alias("channel"), F.substring("content", 1, 4000).alias("content"))
+    line = F.format_string(SOURCE, F.col("kind"), F.col("rank"), F.col("score"), F.col("channel"), F.col("content"))
+    texts = results.select("query_id", F.lit(0).alias("part"), F.lit("Text").alias("kind"), "rank", "score", F.col("channels").alias("channel"), F.substring("content", 1, TEXT_MOST).alias("content"))
     entity = F.col("channel") == "graph/entity"
-    around = graph.select("query_id", F.when(entity, 1).otherwise(2).alias("part"), F.when(entity, "Entity").otherwise("Rel").alias("kind"), "rank", "score", "channel", F.substring("content", 1, 500).alias("content"))
+    around = graph.select("query_id", F.when(entity, 1).otherwise(2).alias("part"), F.when(entity, "Entity").otherwise("Rel").alias("kind"), "rank", "score", "channel", F.substring("content", 1, GRAPH_MOST).alias("content"))
     cap = F.element_at(F.array(*map(F.lit, caps)), F.col("part") + 1)
     rows = texts.unionByName(around).where(F.col("rank") <= cap).select("query_id", F.struct("part", "rank", line.alias("line")).alias("x"))
     return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("context"))

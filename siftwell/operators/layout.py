@@ -13,6 +13,11 @@ from siftwell.functions.geometry import drawing_page, inside_ratio, max_overlap
 from siftwell.functions.text import margin_form, page_marker
 
 
+# What the steadiness of a margin's cluster is measured against and must exceed, in points and shares.
+PAGE_WIDTH, PAGE_HEIGHT = 600.0, 800.0
+STEADY_MARKER, STEADY_SHORT, STEADY_IMAGE, EDGE = 0.7, 0.8, 0.75, 0.3
+
+
 def box(prefix: str = "") -> Column:
     return F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
 
@@ -129,14 +134,14 @@ def margin_blocks(blocks: DataFrame, heights: DataFrame, top: float = 0.1, botto
     key = ["doc", "zone", "cluster"]
     repeats = rows.where("form <> ''").groupBy(*key, "form").agg(F.count("*").alias("n")).groupBy(*key).agg(F.max("n").alias("repeats"))
     width = F.col("x1") - F.col("x0")
-    steady = 0.7 * F.greatest(F.lit(0.0), 1 - F.stddev_pop("x0") / 600) + 0.3 * F.when(F.avg(width) > 0, F.greatest(F.lit(0.0), 1 - F.stddev_pop(width) / F.avg(width))).otherwise(0.0)
+    steady = 0.7 * F.greatest(F.lit(0.0), 1 - F.stddev_pop("x0") / PAGE_WIDTH) + 0.3 * F.when(F.avg(width) > 0, F.greatest(F.lit(0.0), 1 - F.stddev_pop(width) / F.avg(width))).otherwise(0.0)
     one = rows.groupBy(*key).agg(
         F.countDistinct("page").alias("on"), steady.alias("steady"), F.max(page_marker(F.col("text"))).alias("marker"), F.avg(F.length(F.trim("text"))).alias("size"),
         F.avg("y0").alias("y0"), F.avg("y1").alias("y1"), F.min_by("height", "at").alias("height"),
     ).join(repeats, key, "left")
-    edge = (F.col("y0") <= 0.3 * top * F.col("height")) | (F.col("y1") >= (1 - 0.3 * bottom) * F.col("height"))
-    repeated = (F.coalesce("repeats", F.lit(0)) >= pages) | ((F.col("steady") > 0.8) & (F.col("size") <= longest))
-    gone = one.where((F.col("on") >= pages) & (((F.col("steady") > 0.7) & F.col("marker")) | (repeated & (F.col("marker") | edge))))
+    edge = (F.col("y0") <= EDGE * top * F.col("height")) | (F.col("y1") >= (1 - EDGE * bottom) * F.col("height"))
+    repeated = (F.coalesce("repeats", F.lit(0)) >= pages) | ((F.col("steady") > STEADY_SHORT) & (F.col("size") <= longest))
+    gone = one.where((F.col("on") >= pages) & (((F.col("steady") > STEADY_MARKER) & F.col("marker")) | (repeated & (F.col("marker") | edge))))
     return rows.join(gone.select(*key), key, "left_semi").select("id").distinct()
 
 
@@ -150,9 +155,9 @@ def margin_images(images: DataFrame, heights: DataFrame, top: float = 0.1, botto
     key = ["doc", "zone", "cluster"]
     wide, high = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     spread = lambda c, by: F.greatest(F.lit(0.0), 1 - F.stddev_pop(c) / by)
-    steady = 0.4 * spread("x0", F.lit(600.0)) + 0.4 * spread("y0", F.lit(800.0)) + 0.1 * spread(wide, F.greatest(F.lit(1.0), F.max(wide))) + 0.1 * spread(high, F.greatest(F.lit(1.0), F.max(high)))
+    steady = 0.4 * spread("x0", F.lit(PAGE_WIDTH)) + 0.4 * spread("y0", F.lit(PAGE_HEIGHT)) + 0.1 * spread(wide, F.greatest(F.lit(1.0), F.max(wide))) + 0.1 * spread(high, F.greatest(F.lit(1.0), F.max(high)))
     one = rows.groupBy(*key).agg(F.countDistinct("page").alias("on"), steady.alias("steady"), F.max(wide * high).alias("area"), F.min_by("height", "at").alias("height"))
-    gone = one.where((F.col("on") >= pages) & (F.col("steady") > 0.75) & (F.col("area") <= small * width * F.col("height")))
+    gone = one.where((F.col("on") >= pages) & (F.col("steady") > STEADY_IMAGE) & (F.col("area") <= small * width * F.col("height")))
     return rows.join(gone.select(*key), key, "left_semi").select("id").distinct()
 
 
