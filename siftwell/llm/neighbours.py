@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from siftwell.session import cut, filled
 
 LEAF = 1024
+BLOCK = 4096  # queries that meet a leaf at once
 #: For all nearest, without a least similarity: recall@5 of 0.9 or more at the sizes measured (see README).
 RELAX_ALL = 0.25
 
@@ -80,7 +81,9 @@ class Tree:
     def search(self, v: np.ndarray, q: np.ndarray, at: np.ndarray, best: Best, relax: float) -> None:
         """Improve the best of the queries `at`; the nearer side first, the other with the smaller radius."""
         if self.rows is not None:
-            best.offer(at, self.rows, q[at] @ v[self.rows].T)
+            own = v[self.rows].T
+            for k in range(0, len(at), BLOCK):
+                best.offer(at[k : k + BLOCK], self.rows, q[at[k : k + BLOCK]] @ own)
             return
         d = angle(q[at] @ self.point)
         inner = d < self.border
