@@ -1,24 +1,35 @@
 """BM25 as tables: postings, document lengths, term statistics; exact top-k for any number of queries.
 
 Texts are read and split once: an index is the table of counts (document, term, times), merged map-side
-before its shuffle and written to the shared folder, and everything else is taken from that. Where the
-queries are known beforehand only their terms are kept apart, all others being one count a document. A
-search joins the queries' terms with the postings, so only documents that share a term are scored;
-documents without a positive score follow by id only for queries of which fewer than k have one.
+before its shuffle and written to the shared folder, and everything else is taken from that. A search
+packs the postings of its queries' terms into blocks of documents and scores a query against a block in
+arrays, so that pairs of a query and a document are never rows: a task holds the k-th best score of every
+query and hands on what reaches it. `search_texts` packs them from the texts, without an index. Documents
+without a positive score follow by id only for queries of which fewer than k have one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.scores import saturate
 from siftwell.functions.text import tokens
+from siftwell.operators.retrieval import in_blocks
 from siftwell.session import cut
 
 K1, B = 1.5, 0.75
+QUERIES = 1 << 15  # at once: their terms go to every task
+BLOCK = 4096  # documents whose scores are one array
+BLOCKS = 8  # a task
+DENSE = 8  # a term of at least 1/8 of a block's documents is an array of all of them
 
 
 @dataclass
@@ -52,51 +63,201 @@ def words(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return docs.select(F.col(doc).alias("doc"), F.coalesce(tokens(F.col(text)), F.array()).alias("words"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term, qtf) of queries (query_id, text)."""
-    return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-
-
-def build(docs: DataFrame, doc: str, text: str, queries: DataFrame | None = None) -> Index:
-    """Index a table of documents; null texts have no terms and length 0. queries: keep the postings of their terms alone."""
+def build(docs: DataFrame, doc: str, text: str) -> Index:
+    """Index a table of documents; null texts have no terms and length 0."""
     each = words(docs, doc, text).select("doc", F.explode_outer("words").alias("term"))
-    counts = each.groupBy("doc", "term").agg(F.count("term").alias("tf"))
-    if queries is not None:
-        asked = query_terms(queries).select(F.col("term").alias("kept")).distinct()
-        counts = each.join(asked, each["term"] == asked["kept"], "left").groupBy("doc", F.col("kept").alias("term")).agg(F.count(each["term"]).alias("tf"))
-    counts = cut(counts)
+    counts = cut(each.groupBy("doc", "term").agg(F.count("term").alias("tf")))
     postings = counts.where("term is not null")
     lengths = counts.groupBy("doc").agg(F.sum("tf").cast("int").alias("len"))
     corpus = corpus_stats(lengths)
     return Index(postings, lengths, term_stats(postings, corpus), corpus)
 
 
-def scores(index: Index, queries: DataFrame) -> DataFrame:
-    """(query_id, doc, score) of documents that share a term with a query; queries: (query_id, text).
+@dataclass
+class Asked:
+    """A block of queries: those of `ids`, whose terms stand one after another, a term as often as its query has it."""
 
-    A term that a query repeats counts as often; negative sums count 0.
-    """
-    asked = query_terms(queries)
-    kept = index.postings.join(asked.select("term").distinct(), "term", "left_semi")
-    terms = asked.join(term_stats(kept, index.corpus).select("term", "idf"), "term")
-    hit = kept.join(index.lengths, "doc").join(terms, "term").crossJoin(F.broadcast(index.corpus))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    return hit.groupBy("query_id", "doc").agg(F.greatest(F.lit(0.0), F.sum(part)).alias("score"))
+    ids: pa.Array
+    ends: np.ndarray  # of each query's terms
+    terms: np.ndarray  # places in vocabulary
+    vocabulary: pa.Array
 
+    @classmethod
+    def of(cls, queries: DataFrame) -> Asked:
+        got = queries.groupBy("query_id").agg(F.flatten(F.collect_list(F.coalesce(tokens(F.col("text")), F.array()))).alias("terms")).toArrow()
+        terms = got["terms"].combine_chunks()
+        every = pc.dictionary_encode(terms.flatten())
+        return cls(got["query_id"].combine_chunks(), np.cumsum(pc.list_value_length(terms).to_numpy(zero_copy_only=False)), every.indices.to_numpy(), every.dictionary)
 
-def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc, score, rank): the first k documents of each query, ties by id after rounding to 9 places."""
+
+def _packed(docs: pa.Array, lens: np.ndarray, row: np.ndarray, term: np.ndarray, tf: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Blocks of documents in the order of their ids, nulls last, and their postings by term; row ascends."""
+    whole = lambda x: pa.array([x.astype(np.int32).tobytes()], pa.binary())
+    each = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+    for a in range(0, len(docs), BLOCK):
+        part = docs.slice(a, BLOCK)
+        order = pc.sort_indices(part)
+        place = np.empty(len(part), np.int64)
+        place[order.to_numpy()] = np.arange(len(part))
+        lo, hi = np.searchsorted(row, (a, a + len(part)))
+        at, ids = place[row[lo:hi] - a], term[lo:hi]
+        by = np.lexsort((at, ids))
+        seen, df = np.unique(ids, return_counts=True)
+        yield pa.RecordBatch.from_arrays(
+            [each(part.take(order)), pa.array([int(lens[a : a + len(part)].sum())]), whole(lens[a : a + len(part)][order.to_numpy()]), each(pa.array(seen.astype(np.int32))), each(pa.array(df.astype(np.int32))), whole(at[by]), whole(tf[lo:hi][by])],
+            ["docs", "words", "lens", "seen", "df", "at", "tf"],
+        )
+
+
+def _pack_words(vocabulary: pa.Array) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (doc, words)."""
+
+    def run(batches):
+        for b in batches:
+            each = b.column(1)
+            lens = pc.list_value_length(each).to_numpy(zero_copy_only=False).astype(np.int64)
+            found = pc.index_in(each.flatten(), value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(lens)), lens)[found >= 0]
+            key, tf = np.unique(row * max(len(vocabulary), 1) + found[found >= 0], return_counts=True)
+            yield from _packed(b.column(0), lens, key // max(len(vocabulary), 1), key % max(len(vocabulary), 1), tf)
+
+    return run
+
+
+def _pack_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (doc, len, postings of structs of id and tf)."""
+    for b in batches:
+        n, posts = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False), b.column(2).flatten()
+        yield from _packed(b.column(0), b.column(1).to_numpy(), np.repeat(np.arange(len(n)), n), posts.field(0).to_numpy(), posts.field(1).to_numpy())
+
+
+def _best(asked: Asked, idf: np.ndarray, avgdl: float, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(query_id, doc, score) from blocks of documents: at least the first k of each query among a task's, ties by document; no score of 0."""
+    n_terms, ends = np.diff(asked.ends, prepend=0), asked.ends.tolist()
+    of = np.repeat(np.arange(len(ends)), n_terms)
+
+    def run(batches):
+        floor, low, kept = np.zeros((len(ends), k)), [0.0] * len(ends), []  # the k best scores of each query, rounded, and the least of them
+        for b in batches:
+            for i in range(b.num_rows):
+                docs = b.column(0)[i].values
+                lens, at, tf = (np.frombuffer(b.column(j)[i].as_py(), np.int32) for j in (2, 5, 6))
+                seen, df = (b.column(j)[i].values.to_numpy() for j in (3, 4))
+                if not len(seen):
+                    continue
+                w = np.repeat(idf[seen], df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[at] / avgdl))
+                start = np.concatenate([[0], np.cumsum(df)])
+                slot = np.full(len(idf), -1)
+                slot[seen] = np.arange(len(seen))
+                slots = slot[asked.terms]
+                # No document of the block can have more than the sum of its terms' greatest parts.
+                peak = np.where(slots < 0, 0.0, np.maximum(np.maximum.reduceat(w, start[:-1]), 0.0)[slots])
+                most = np.bincount(of, weights=peak, minlength=len(ends))
+                many = np.flatnonzero(df * DENSE >= len(docs))
+                rows, dense = np.zeros((len(many), len(docs))), [-1] * len(seen)
+                for r, t in enumerate(many.tolist()):
+                    rows[r, at[start[t] : start[t + 1]]] = w[start[t] : start[t + 1]]
+                    dense[t] = r
+                slots, start, total = slots.tolist(), start.tolist(), np.empty(len(docs))
+                valid = total[: len(docs) - docs.null_count]
+                got = []
+                for q in np.flatnonzero((most > 0) & (most > np.array(low) - 1e-9)).tolist():
+                    there = [t for t in slots[ends[q - 1] if q else 0 : ends[q]] if t >= 0]
+                    full = [dense[t] for t in there if dense[t] >= 0]
+                    if len(full) > 1:
+                        np.add(rows[full[0]], rows[full[1]], out=total)
+                        for r in full[2:]:
+                            total += rows[r]
+                    elif full:
+                        total[:] = rows[full[0]]
+                    else:
+                        total.fill(0.0)
+                    if len(full) < len(there):
+                        for t in there:
+                            if dense[t] < 0:
+                                total[at[start[t] : start[t + 1]]] += w[start[t] : start[t + 1]]
+                    hit = np.flatnonzero(valid >= max(low[q] - 1e-9, 1e-300))
+                    if not len(hit):
+                        continue
+                    score = np.round(valid[hit], 9)
+                    if len(hit) > k:  # of those that tie for the last places the first documents
+                        least = np.partition(score, len(hit) - k)[len(hit) - k]
+                        take = score > least
+                        take[np.flatnonzero(score == least)[: k - np.count_nonzero(take)]] = True
+                        hit, score = hit[take], score[take]
+                    floor[q] = np.sort(np.concatenate([floor[q], score]))[-k:]
+                    low[q] = float(floor[q, 0])
+                    got.append((q, hit, score, valid[hit]))
+                if got:
+                    hits = np.concatenate([x[1] for x in got])
+                    kept.append((np.repeat([x[0] for x in got], [len(x[1]) for x in got]), docs.take(pa.array(hits)), np.concatenate([x[2] for x in got]), np.concatenate([x[3] for x in got])))
+        for q, docs, rounded, score in kept:
+            last = rounded >= np.array(low)[q]
+            yield pa.RecordBatch.from_arrays([asked.ids.take(pa.array(q[last])), docs.filter(pa.array(last)), pa.array(score[last])], ["query_id", "doc", "score"])
+
+    return run
+
+
+PACKED = "docs array<{}>, words long, lens binary, seen array<int>, df array<int>, at binary, tf binary"
+
+
+def _first(blocks: DataFrame, asked: Asked, corpus: tuple[int, float], queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc, score) of packed blocks: the first k with a positive score of each query."""
+    kind = queries.schema["query_id"].dataType.simpleString()
+    counts = blocks.select(F.explode(F.arrays_zip("seen", "df")).alias("x")).groupBy("x.seen").agg(F.sum("x.df").alias("df")).toPandas()
+    df = np.zeros(len(asked.vocabulary))
+    df[counts["seen"].to_numpy(np.int64)] = counts["df"]
+    n, avgdl = corpus
+    run = _best(asked, np.log((n - df + 0.5) / (df + 0.5)), avgdl, k)
+    doc = blocks.schema["docs"].dataType.elementType.simpleString()
+    every = blocks.repartition(max(1, -(-blocks.count() // BLOCKS))).mapInArrow(run, f"query_id {kind}, doc {doc}, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc")
+    return cut(every.select("*", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k).drop("rank"))
+
+
+def _filled(best: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc, score, rank) from the documents with a score; the k least ids follow with score 0 where too few have one."""
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc")
-    best = scores(index, queries).where("score > 0").select("*", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
-    best = cut(best.select("query_id", "doc", "score"))
-    # The k least ids follow with score 0 where too few documents have a score; 2k ids suffice to skip those ranked.
     few = queries.select("query_id").distinct().join(best.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < k)
-    rest = index.lengths.select("doc").orderBy("doc").limit(2 * k)
+    rest = docs.orderBy("doc").limit(2 * k)  # 2k ids suffice to skip those ranked
     filler = few.select("query_id").crossJoin(F.broadcast(rest)).join(best.select("query_id", "doc"), ["query_id", "doc"], "left_anti")
     every = best.unionByName(filler.select("query_id", "doc", F.lit(0.0).alias("score")))
     return every.select("*", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
 
 
+def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc, score, rank): the first k documents of each query, ties by id after rounding to 9 places.
+
+    A term that a query repeats counts as often; negative sums count 0.
+    """
+    spark, doc = queries.sparkSession, index.lengths.schema["doc"].dataType.simpleString()
+    corpus = index.corpus.first()
+
+    def run(q: DataFrame) -> DataFrame:
+        asked = Asked.of(q)
+        ids = spark.createDataFrame(pd.DataFrame({"term": asked.vocabulary.to_pandas(), "id": range(len(asked.vocabulary))}), "term string, id int")
+        posts = index.postings.join(ids, "term").groupBy("doc").agg(F.collect_list(F.struct("id", F.col("tf").cast("int").alias("tf"))).alias("postings"))
+        rows = index.lengths.join(posts, "doc").select("doc", "len", "postings")
+        return _first(cut(rows.mapInArrow(_pack_postings, PACKED.format(doc))), asked, (corpus.n, corpus.avgdl), q, k)
+
+    return _filled(in_blocks(queries, run, QUERIES), queries, index.lengths.select("doc"), k)
+
+
+def search_texts(docs: DataFrame, doc: str, text: str, queries: DataFrame, k: int) -> DataFrame:
+    """`search` of texts without an index: they are split once for each block of queries and no word is shuffled."""
+    if docs.groupBy(doc).count().where("count > 1").limit(1).count():
+        return search(build(docs, doc, text), queries, k)  # rows of one id are one document
+    rows = words(docs, doc, text)
+
+    def run(q: DataFrame) -> DataFrame:
+        asked = Asked.of(q)
+        blocks = cut(rows.mapInArrow(_pack_words(asked.vocabulary), PACKED.format(docs.schema[doc].dataType.simpleString())))
+        corpus = blocks.agg(F.sum(F.size("docs")).alias("n"), F.sum("words").alias("words")).first()
+        return _first(blocks, asked, (corpus.n or 0, (corpus.words or 0) / (corpus.n or 1)), q, k)
+
+    return _filled(in_blocks(queries, run, QUERIES), queries, docs.select(F.col(doc).alias("doc")), k)
+
+
 def saturated(found: DataFrame) -> DataFrame:
     """Scores in [0, 1], the raw ones kept."""
     return found.withColumn("raw_score", F.col("score")).withColumn("score", saturate(F.col("score")))

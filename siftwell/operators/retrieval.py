@@ -20,11 +20,11 @@ def over_fetch(k: int) -> dict[str, int]:
     return {"vector": max(2 * k, 6), "bm25": max(2 * k, 6), "entity": max(k, 3), "graph": max(2, k), "seeds": max(2 * k, 4)}
 
 
-def in_blocks(queries: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def in_blocks(queries: DataFrame, run: Callable[[DataFrame], DataFrame], most: int = MAX_QUERIES) -> DataFrame:
     """run's result for all queries, which it gets in blocks that may be broadcast."""
     n = queries.count()
-    many = -(-n // (MAX_QUERIES // 2))  # by hash: half of the bound leaves room for uneven blocks
-    if n <= MAX_QUERIES:
+    many = -(-n // (most // 2))  # by hash: half of the bound leaves room for uneven blocks
+    if n <= most:
         return run(queries)
     return reduce(DataFrame.unionByName, [run(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(many)) == k)) for k in range(many)])
 

@@ -1,9 +1,12 @@
 """Small cases for the engine's operators: the rules' own examples, ties, nulls, empty tables."""
 
 import json
+import math
 import zipfile
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +93,35 @@ def test_bm25(spark):
     assert empty.corpus.first().avgdl == 0 and bm25.search(empty, spark.createDataFrame([(1, "x")], "query_id long, text string"), 3).collect() == []
 
 
+def test_bm25_of_many_queries(spark, monkeypatch):
+    """Against every pair by itself: ties, common and repeated terms, ids of two rows, blocks of documents and of queries; pairs are never rows."""
+    monkeypatch.setattr(bm25, "BLOCK", 16), monkeypatch.setattr(bm25, "BLOCKS", 2), monkeypatch.setattr(bm25, "QUERIES", 8)
+    said = ["red pump red", "blue pump", None, "", "valve of the pump", "pump pump valve", "the red valve", "pump", "pump and pump of the pump", "valve"]
+    texts = {f"d{k:03}": said[k * 7 % 10] if k % 9 else f"pump w{k}" for k in range(150)}
+    asks = {k: f"{('red', 'blue', 'the', 'valve valve')[k % 4]} pump {f'w{k * 9}' if k % 2 else 'of'}" for k in range(20)} | {98: "nowhere", 99: ""}
+    n, words = len(texts), {d: (t or "").split() for d, t in texts.items()}
+    avgdl, df = sum(map(len, words.values())) / n, {}
+    for w in words.values():
+        for t in set(w):
+            df[t] = df.get(t, 0) + 1
+
+    def score(d, q):
+        part = (math.log((n - df[t] + 0.5) / (df[t] + 0.5)) * words[d].count(t) * 2.5 / (words[d].count(t) + 1.5 * (0.25 + 0.75 * len(words[d]) / avgdl)) for t in q.split() if t in words[d])
+        return max(0.0, sum(part))
+
+    want = {(q, rank, d, round(score(d, t), 6)) for q, t in asks.items() for rank, d in enumerate(sorted(texts, key=lambda d: (-round(score(d, t), 9), d))[:5], 1)}  # noqa: B023
+    docs = spark.createDataFrame(list(texts.items()), "id string, text string").repartition(2).cache()
+    queries = spark.createDataFrame(list(asks.items()), "query_id int, text string")
+    rows = lambda got: {(r.query_id, r["rank"], r.doc, round(r.score, 6)) for r in got.collect()}
+    assert rows(bm25.search_texts(docs, "id", "text", queries, 5)) == want == rows(bm25.search(bm25.build(docs, "id", "text"), queries, 5))
+    twice = docs.union(docs.where("id = 'd001'"))
+    assert rows(bm25.search_texts(twice, "id", "text", queries, 5)) == rows(bm25.search(bm25.build(twice, "id", "text"), queries, 5))
+    assert bm25.search_texts(docs.limit(0), "id", "text", queries, 5).count() == 0
+    asked = bm25.Asked(pa.array([1]), np.array([2]), np.array([0, 1]), pa.array(["pump", "valve"]))
+    blocks = list(bm25._pack_words(asked.vocabulary)([pa.RecordBatch.from_pydict({"doc": list(range(4000)), "words": [["pump", "valve"][: 1 + k % 2] for k in range(4000)]})]))
+    assert len(blocks) == 250 and sum(b.num_rows for b in bm25._best(asked, np.array([1.0, 2.0]), 1.5, 5)(iter(blocks))) <= 5 * 250
+
+
 def test_fusion(spark):
     rows = [(1, "vector", "a", 0.9), (1, "vector", "b", 0.1), (1, "bm25", "a", 5.0), (1, "bm25", "c", 5.0), (2, "bm25", "z", 1.0)]
     df = spark.createDataFrame(rows, "query_id long, channel string, doc string, score double")
