@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from siftwell.session import cut
 
+STRONGEST = (4096, 65_536)  # edges that queries are tried against before all edges around them are listed
+
 
 def follows(chunks: DataFrame, ident: str, text: str, order: list[str], within: str) -> tuple[DataFrame, DataFrame]:
     """A vertex for each chunk and an edge to the next one of its document."""
@@ -90,19 +92,56 @@ def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = 100, dampi
     return rank.select("id", F.col("r").alias("pagerank"))
 
 
-def search(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, top_k: int = 5, hops: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(entities, relationships) around the scored seeds (query_id, id, score) of each query; vertices with pagerank.
+def _first(df: DataFrame, top_k: int, *order) -> DataFrame:
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= top_k)
+
 
-    A neighbour scores min(0.95, 0.6 / (hops + 1)) and replaces a seed that it is; a seed's page rank
-    counts 0.1. Entities are ordered by score x page rank, relationships by strength.
+def entities(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, top_k: int = 5, hops: int = 2) -> DataFrame:
+    """The entities around the scored seeds (query_id, id, score) of each query by score x page rank; vertices with pagerank.
+
+    A neighbour scores min(0.95, 0.6 / (hops + 1)) and replaces a seed that it is; a seed's page rank counts 0.1.
     """
     near = neighbours(edges, seeds, hops, "query_id").select("query_id", "id").distinct()
     known = near.join(vertices.select("id", "pagerank"), "id").select("query_id", "id", F.lit(min(0.95, 0.6 / (hops + 1))).alias("score"), "pagerank")
     own = seeds.join(near, ["query_id", "id"], "left_anti").groupBy("query_id", "id").agg(F.max("score").alias("score")).withColumn("pagerank", F.lit(0.1))
     every = known.unionByName(own).withColumn("weight", F.round(F.col("score") * F.col("pagerank"), 9))
-    first = lambda df, *order: df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= top_k)
-    around = incident(edges, seeds.select("query_id", "id").union(near), "query_id")
-    return first(every, F.desc("weight"), "id"), first(around, F.desc("strength"), "src", "dst")
+    return _first(every, top_k, F.desc("weight"), "id")
+
+
+def relations(edges: DataFrame, seeds: DataFrame, top_k: int = 5, hops: int = 2) -> DataFrame:
+    """The edges at the seeds (query_id, id) of each query and at what lies within so many hops of them, by strength.
+
+    Queries are first tried against the strongest edges of all, only whose ends the last hop has to reach: top_k
+    of them that touch a query are its result. All edges around are listed only for queries still left over.
+    """
+    order = (F.desc("strength"), "src", "dst")
+    both = edges.select("src", "dst").union(edges.select("dst", "src"))
+    step = lambda near, to: near.join(to, near["id"] == to["src"]).select("query_id", F.col("dst").alias("id"))
+    near = seeds.select("query_id", "id").distinct()
+    for _ in range(hops - 1):
+        near = near.union(step(near, both)).distinct()
+    near, done = cut(near), []
+    for n in STRONGEST:
+        strongest = cut(edges.orderBy(*order, "rel_type").limit(n))
+        ends = F.broadcast(strongest.select(F.col("src").alias("id")).union(strongest.select("dst")).distinct())
+        touched = near.join(ends, "id", "left_semi").select("query_id", "id")
+        if hops > 0:
+            touched = touched.union(step(near, both.join(ends, both["dst"] == ends["id"], "left_semi")))
+        found = cut(_first(incident(strongest, touched, "query_id"), top_k, *order))
+        if strongest.count() < n:  # these are all edges
+            return reduce(DataFrame.unionByName, [*done, found])
+        full = found.where(F.col("rank") == top_k).select("query_id")
+        done.append(found.join(full, "query_id", "left_semi"))
+        near = cut(near.join(full, "query_id", "left_anti"))
+        if near.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+    rest = near.union(step(near, both)) if hops > 0 else near
+    return reduce(DataFrame.unionByName, [*done, _first(incident(edges, rest, "query_id"), top_k, *order)])
+
+
+def search(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, top_k: int = 5, hops: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(entities, relationships) around the scored seeds (query_id, id, score) of each query; vertices with pagerank."""
+    return entities(vertices, edges, seeds, top_k, hops), relations(edges, seeds, top_k, hops)
 
 
 def result_rows(entities: DataFrame, relationships: DataFrame) -> DataFrame:

@@ -454,6 +454,30 @@ def test_engine(spark, tmp_path):
     assert json.loads(next((tmp_path / "state" / "statistics").glob("part-*.json")).read_text().splitlines()[0])
 
 
+def test_graph_relations_by_the_strongest_edges(spark, monkeypatch):
+    """The same whether the strongest edges answer all, some or no queries; parallel edges count once; only the ends of the strongest are reached in the last hop."""
+    rows = [(f"v{k * 7 % 40}", f"v{k * 11 % 40}", f"r{k % 3}", float(k % 5)) for k in range(150)] + [("a", "b", "x", 1.0), ("a", "b", "w", 1.0), ("b", "a", "x", 9.0), ("c", "d", "x", None)]
+    edges = spark.createDataFrame(rows, "src string, dst string, rel_type string, strength double").cache()
+    seeds = spark.createDataFrame([(1, "v1"), (1, "v3"), (2, "a"), (3, "none"), (4, "v20"), (5, "c")], "query_id long, id string")
+    for hops in (0, 1, 2):
+        within = {(r.query_id, r.id) for r in graph.neighbours(edges, seeds, hops, "query_id").collect()} | {tuple(r) for r in seeds.collect()}
+        best = {}
+        for s, d, rel, x in rows:
+            best[s, d] = min(best.get((s, d), (9, "z")), (0 if x is None else -x, rel))
+        want = set()
+        for q in {q for q, _ in within}:
+            around = sorted((x is None, *best[s, d], s, d) for s, d, _, x in {(s, d, "", x if x is None else 0) for s, d, _, x in rows} if (q, s) in within or (q, d) in within)
+            around = sorted(around, key=lambda r: (r[0], r[1], r[3], r[4]))
+            want |= {(q, s, d, rel, None if none else -x, k) for k, (none, x, rel, s, d) in enumerate(around[:4], 1)}
+        for n in ((3, 6), (25,), (4096, 5000)):
+            monkeypatch.setattr(graph, "STRONGEST", n)
+            got = graph.relations(edges, seeds, 4, hops).select("query_id", "src", "dst", "rel_type", "strength", "rank")
+            assert {tuple(r) for r in got.collect()} == want
+    monkeypatch.setattr(graph, "STRONGEST", (25,))
+    monkeypatch.setattr(graph, "incident", lambda e, ids, *keys, real=graph.incident: real(e, ids, *keys) if e.count() <= 25 else pytest.fail("all edges listed"))
+    assert graph.relations(edges, seeds.where("query_id = 1"), 2, 2).count() == 2
+
+
 def test_stream_equals_batch(spark, tmp_path):
     docs = spark.createDataFrame([(k, f"w{k % 3} common text") for k in range(30)], "doc_id long, text string")
     docs.repartition(3).write.parquet(str(tmp_path / "in"))
