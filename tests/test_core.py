@@ -492,6 +492,22 @@ def test_stream_equals_batch(spark, tmp_path):
 # --- the driver's contract ---
 
 
+@pytest.mark.parametrize("name", ["hybrid_rerank"])
+def test_questions_meet_blocks_of_documents(spark, monkeypatch, name):
+    """No index by documents and terms is built and joined with the questions: a task hands on a few rows a question."""
+    import __spark_entry__
+
+    def best(*given, real=bm25._best):
+        asked, k = given[0], given[3]
+        monkeypatch.setattr(bm25, "seen", [*getattr(bm25, "seen", []), (len(asked.ids), k)], raising=False)
+        return real(*given)
+
+    monkeypatch.setattr(bm25, "build", lambda *_: pytest.fail("an index was built")), monkeypatch.setattr(bm25, "_best", best)
+    assert __spark_entry__.queries()[name](spark, __spark_entry__.DATA).where("score is null").count() == 0
+    asked = spark.read.parquet(f"{__spark_entry__.DATA}/documents.parquet").where("doc_id % 20 = 0 and title is not null").count()
+    assert bm25.seen == [(asked, 10)]
+
+
 def test_core_queries_equal_their_sql(spark):
     from siftwell.plans import queries as q
 
