@@ -492,7 +492,7 @@ def test_stream_equals_batch(spark, tmp_path):
 # --- the driver's contract ---
 
 
-@pytest.mark.parametrize("name", ["hybrid_rerank", "rerank_simple", "hybrid_graph_rerank"])
+@pytest.mark.parametrize("name", ["hybrid_rerank", "rerank_simple", "hybrid_graph_rerank", "rerank_hybrid"])
 def test_questions_meet_blocks_of_documents(spark, monkeypatch, name):
     """No index by documents and terms is built and joined with the questions: a task hands on a few rows a question."""
     import __spark_entry__
