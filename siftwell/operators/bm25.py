@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.scores import saturate
-from siftwell.functions.text import tokens
+from siftwell.functions.text import WORD, tokens
 from siftwell.operators.retrieval import in_blocks
 from siftwell.session import cut
 
@@ -29,6 +29,7 @@ K1, B = 1.5, 0.75
 QUERIES = 1 << 15  # at once: their terms go to every task
 BLOCK = 4096  # documents whose scores are one array
 BLOCKS = 8  # a task
+TOGETHER = 64  # lists of terms scored at once: their scores of a block are 2 MB
 DENSE = 8  # a term of at least 1/8 of a block's documents is an array of all of them
 
 
@@ -73,6 +74,15 @@ def build(docs: DataFrame, doc: str, text: str) -> Index:
     return Index(postings, lengths, term_stats(postings, corpus), corpus)
 
 
+def split_words(lower: pa.Array) -> pa.ListArray:
+    """The words of texts in lower case; null texts have none. Letters are those of Arrow's and DuckDB's Unicode, newer than Java's in `tokens`."""
+    each = pc.split_pattern(pc.replace_substring_regex(lower.cast(pa.large_string()).fill_null(""), f"[^{WORD[1:]}", " "), " ")
+    words = each.flatten()
+    keep = pc.greater_equal(pc.utf8_length(words), 2)
+    ends = np.cumsum(np.concatenate([[0], keep.to_numpy(zero_copy_only=False)]))[each.offsets.to_numpy() - each.offsets[0].as_py()]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words.filter(keep).cast(pa.string()))
+
+
 @dataclass
 class Asked:
     """A block of queries: those of `ids`, whose terms stand one after another, a term as often as its query has it."""
@@ -85,9 +95,18 @@ class Asked:
     @classmethod
     def of(cls, queries: DataFrame) -> Asked:
         got = queries.groupBy("query_id").agg(F.flatten(F.collect_list(F.coalesce(tokens(F.col("text")), F.array()))).alias("terms")).toArrow()
-        terms = got["terms"].combine_chunks()
+        return cls.by(got["query_id"].combine_chunks(), got["terms"].combine_chunks())
+
+    @classmethod
+    def of_texts(cls, queries: DataFrame) -> Asked:
+        """With words as `split_words` gives them."""
+        got = queries.groupBy("query_id").agg(F.concat_ws(" ", F.collect_list(F.lower("text"))).alias("text")).toArrow()
+        return cls.by(got["query_id"].combine_chunks(), split_words(got["text"].combine_chunks()))
+
+    @classmethod
+    def by(cls, ids: pa.Array, terms: pa.ListArray) -> Asked:
         every = pc.dictionary_encode(terms.flatten())
-        return cls(got["query_id"].combine_chunks(), np.cumsum(pc.list_value_length(terms).to_numpy(zero_copy_only=False)), every.indices.to_numpy(), every.dictionary)
+        return cls(ids, np.cumsum(pc.list_value_length(terms).to_numpy(zero_copy_only=False)), every.indices.to_numpy(), every.dictionary)
 
 
 def _packed(docs: pa.Array, lens: np.ndarray, row: np.ndarray, term: np.ndarray, tf: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -124,6 +143,16 @@ def _pack_words(vocabulary: pa.Array) -> Callable[[Iterator[pa.RecordBatch]], It
     return run
 
 
+def _pack_texts(vocabulary: pa.Array) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (doc, text in lower case)."""
+
+    def run(batches):
+        parts = (b.slice(a, BLOCK) for b in batches for a in range(0, b.num_rows, BLOCK))
+        yield from _pack_words(vocabulary)(pa.RecordBatch.from_arrays([b.column(0), split_words(b.column(1))], ["doc", "words"]) for b in parts)
+
+    return run
+
+
 def _pack_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (doc, len, postings of structs of id and tf)."""
     for b in batches:
@@ -133,71 +162,108 @@ def _pack_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _best(asked: Asked, idf: np.ndarray, avgdl: float, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(query_id, doc, score) from blocks of documents: at least the first k of each query among a task's, ties by document; no score of 0."""
-    n_terms, ends = np.diff(asked.ends, prepend=0), asked.ends.tolist()
-    of = np.repeat(np.arange(len(ends)), n_terms)
+    n_terms = np.diff(asked.ends, prepend=0)
+    of = np.repeat(np.arange(len(n_terms)), n_terms)
 
     def run(batches):
-        floor, low, kept = np.zeros((len(ends), k)), [0.0] * len(ends), []  # the k best scores of each query, rounded, and the least of them
+        floor, kept = np.zeros((len(n_terms), k)), []  # the k best scores of each query, rounded; the least of them is first
         for b in batches:
             for i in range(b.num_rows):
                 docs = b.column(0)[i].values
                 lens, at, tf = (np.frombuffer(b.column(j)[i].as_py(), np.int32) for j in (2, 5, 6))
                 seen, df = (b.column(j)[i].values.to_numpy() for j in (3, 4))
-                if not len(seen):
+                if not len(seen) or docs.null_count == len(docs):
                     continue
                 w = np.repeat(idf[seen], df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[at] / avgdl))
-                start = np.concatenate([[0], np.cumsum(df)])
+                start = np.cumsum(df) - df
                 slot = np.full(len(idf), -1)
                 slot[seen] = np.arange(len(seen))
-                slots = slot[asked.terms]
+                row, slots, first, kind = _lists(slot[asked.terms], of, len(floor))
                 # No document of the block can have more than the sum of its terms' greatest parts.
-                peak = np.where(slots < 0, 0.0, np.maximum(np.maximum.reduceat(w, start[:-1]), 0.0)[slots])
-                most = np.bincount(of, weights=peak, minlength=len(ends))
+                peak = np.maximum(np.maximum.reduceat(w, start), 0.0)[slots]
+                most, low = np.bincount(row, weights=peak, minlength=len(first)), np.full(len(first), np.inf)
+                np.minimum.at(low, kind, floor[:, 0])
                 many = np.flatnonzero(df * DENSE >= len(docs))
-                rows, dense = np.zeros((len(many), len(docs))), [-1] * len(seen)
+                rows, dense = np.zeros((len(many), len(docs))), np.full(len(seen), -1)
                 for r, t in enumerate(many.tolist()):
-                    rows[r, at[start[t] : start[t + 1]]] = w[start[t] : start[t + 1]]
+                    rows[r, at[start[t] : start[t] + df[t]]] = w[start[t] : start[t] + df[t]]
                     dense[t] = r
-                slots, start, total = slots.tolist(), start.tolist(), np.empty(len(docs))
-                valid = total[: len(docs) - docs.null_count]
+                able = np.flatnonzero((most > 0) & (most > low - 1e-9))
+                if not len(able):
+                    continue
+                number = np.full(len(first), -1)
+                number[able] = np.arange(len(able))
+                row, slots = number[row][number[row] >= 0], slots[number[row] >= 0]
                 got = []
-                for q in np.flatnonzero((most > 0) & (most > np.array(low) - 1e-9)).tolist():
-                    there = [t for t in slots[ends[q - 1] if q else 0 : ends[q]] if t >= 0]
-                    full = [dense[t] for t in there if dense[t] >= 0]
-                    if len(full) > 1:
-                        np.add(rows[full[0]], rows[full[1]], out=total)
-                        for r in full[2:]:
-                            total += rows[r]
-                    elif full:
-                        total[:] = rows[full[0]]
-                    else:
-                        total.fill(0.0)
-                    if len(full) < len(there):
-                        for t in there:
-                            if dense[t] < 0:
-                                total[at[start[t] : start[t + 1]]] += w[start[t] : start[t + 1]]
-                    hit = np.flatnonzero(valid >= max(low[q] - 1e-9, 1e-300))
-                    if not len(hit):
-                        continue
-                    score = np.round(valid[hit], 9)
-                    if len(hit) > k:  # of those that tie for the last places the first documents
-                        least = np.partition(score, len(hit) - k)[len(hit) - k]
-                        take = score > least
-                        take[np.flatnonzero(score == least)[: k - np.count_nonzero(take)]] = True
-                        hit, score = hit[take], score[take]
-                    floor[q] = np.sort(np.concatenate([floor[q], score]))[-k:]
-                    low[q] = float(floor[q, 0])
-                    got.append((q, hit, score, valid[hit]))
-                if got:
-                    hits = np.concatenate([x[1] for x in got])
-                    kept.append((np.repeat([x[0] for x in got], [len(x[1]) for x in got]), docs.take(pa.array(hits)), np.concatenate([x[2] for x in got]), np.concatenate([x[3] for x in got])))
+                for a in range(0, len(able), TOGETHER):
+                    part, n = slice(*np.searchsorted(row, (a, a + TOGETHER))), min(TOGETHER, len(able) - a)
+                    total = _scores(row[part] - a, slots[part], n, len(docs), (at, w, start, df), rows, dense)
+                    hit = _hits(total[:, : len(docs) - docs.null_count], low[able[a : a + n]], k)
+                    got.append((hit[0] + a, *hit[1:]))
+                row, hit, place, score, rounded = map(np.concatenate, zip(*got, strict=True))
+                new = np.zeros((len(able), k))
+                new[row, place] = rounded
+                q = np.flatnonzero(number[kind] >= 0)
+                its = number[kind[q]]
+                floor[q] = np.sort(np.concatenate([floor[q], new[its]], 1), 1)[:, -k:]
+                n = np.bincount(row, minlength=len(able))
+                each = np.repeat((np.cumsum(n) - n)[its] - np.cumsum(n[its]) + n[its], n[its]) + np.arange(n[its].sum())
+                q = np.repeat(q, n[its])
+                each, q = each[rounded[each] >= floor[q, 0]], q[rounded[each] >= floor[q, 0]]
+                kept.append((q, docs.take(pa.array(hit[each])), rounded[each], score[each]))
         for q, docs, rounded, score in kept:
-            last = rounded >= np.array(low)[q]
+            last = rounded >= floor[q, 0]
             yield pa.RecordBatch.from_arrays([asked.ids.take(pa.array(q[last])), docs.filter(pa.array(last)), pa.array(score[last])], ["query_id", "doc", "score"])
 
     return run
 
 
+def _lists(slots: np.ndarray, of: np.ndarray, n_queries: int) -> tuple[np.ndarray, ...]:
+    """(row, slot) of the different lists of a block's terms that queries have, a query of each list, and each query's list."""
+    of, slots = of[slots >= 0], slots[slots >= 0].astype(np.int32)
+    slots = slots[np.lexsort((slots, of))]
+    n = np.bincount(of, minlength=n_queries)
+    ends, raw, lists, kind = (4 * np.cumsum(n)).tolist(), slots.tobytes(), {}, []
+    for a, z in zip([0, *ends], ends, strict=False):
+        kind.append(lists.setdefault(raw[a:z], len(lists)))
+    kind = np.array(kind, np.int64)
+    first = np.unique(kind, return_index=True)[1]
+    mine = first[kind[of]] == of
+    return kind[of[mine]], slots[mine], first, kind
+
+
+def _scores(row: np.ndarray, slots: np.ndarray, n_lists: int, n_docs: int, posts: tuple, rows: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    """A block's scores, lists of terms by documents: rare terms by their postings, all at once, then frequent terms as rows."""
+    at, w, start, df = posts
+    full = dense[slots]
+    few, its = slots[full < 0], row[full < 0]
+    n = df[few]
+    each = np.repeat(start[few] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    total = np.bincount(np.repeat(its * n_docs, n) + at[each], weights=w[each], minlength=n_lists * n_docs).astype(float, copy=False).reshape(n_lists, n_docs)
+    for r, t in zip(row[full >= 0].tolist(), full[full >= 0].tolist(), strict=True):
+        total[r] += rows[t]
+    return total
+
+
+def _hits(total: np.ndarray, low: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(row, document, place, score, rounded) of each row's first k that reach its low; of those that tie for the last places the first documents."""
+    least = np.maximum(low - 1e-9, 1e-300)
+    mask = total >= least[:, None]
+    width = total.shape[1] // (4 * k)
+    if width > 1 and np.count_nonzero(mask) > 4 * k * len(total):
+        # The k-th greatest of the maxima of more than k stretches is no greater than the k-th best.
+        tops = np.maximum.reduceat(total, np.arange(0, total.shape[1], width), axis=1)
+        mask = total >= np.maximum(least, np.partition(tops, -k, axis=1)[:, -k] - 1e-9)[:, None]
+    row, hit = np.divmod(np.flatnonzero(mask), total.shape[1])
+    score = total[row, hit]
+    rounded = np.round(score, 9)
+    by = np.lexsort((hit, -rounded, row))
+    row, hit, score, rounded = row[by], hit[by], score[by], rounded[by]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    first = place < k
+    return row[first], hit[first], place[first], score[first], rounded[first]
+
+
 PACKED = "docs array<{}>, words long, lens binary, seen array<int>, df array<int>, at binary, tf binary"
 
 
@@ -247,11 +313,11 @@ def search_texts(docs: DataFrame, doc: str, text: str, queries: DataFrame, k: in
     """`search` of texts without an index: they are split once for each block of queries and no word is shuffled."""
     if docs.groupBy(doc).count().where("count > 1").limit(1).count():
         return search(build(docs, doc, text), queries, k)  # rows of one id are one document
-    rows = words(docs, doc, text)
+    rows = docs.select(F.col(doc).alias("doc"), F.lower(F.col(text)).alias("text"))
 
     def run(q: DataFrame) -> DataFrame:
-        asked = Asked.of(q)
-        blocks = cut(rows.mapInArrow(_pack_words(asked.vocabulary), PACKED.format(docs.schema[doc].dataType.simpleString())))
+        asked = Asked.of_texts(q)
+        blocks = cut(rows.mapInArrow(_pack_texts(asked.vocabulary), PACKED.format(docs.schema[doc].dataType.simpleString())))
         corpus = blocks.agg(F.sum(F.size("docs")).alias("n"), F.sum("words").alias("words")).first()
         return _first(blocks, asked, (corpus.n or 0, (corpus.words or 0) / (corpus.n or 1)), q, k)
 

@@ -508,6 +508,36 @@ def test_questions_meet_blocks_of_documents(spark, monkeypatch, name):
     assert bm25.seen == [(asked, 10)]
 
 
+def test_bm25_scores_a_list_of_terms_once(spark, monkeypatch):
+    """Queries that differ only in words that a block hasn't are scored together, and each has its own first k."""
+    monkeypatch.setattr(bm25, "TOGETHER", 3)
+    scored = []
+    monkeypatch.setattr(bm25, "_scores", lambda *given, real=bm25._scores: scored.append(given[2]) or real(*given))
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{k}" for k in range(12)] + [f"gone{k}" for k in range(500)]
+    words = [[f"w{min(11, x)}" for x in rng.geometric(0.3, rng.integers(0, 9)) - 1] for _ in range(300)]
+    asks = [[f"gone{k}", f"w{k % 4}", f"w{k % 7 + 4}"] for k in range(500)]
+    asked = bm25.Asked(pa.array(range(500)), 3 * np.arange(1, 501), np.array([vocabulary.index(t) for x in asks for t in x]), pa.array(vocabulary))
+    blocks = list(bm25._pack_words(asked.vocabulary)(pa.RecordBatch.from_pydict({"doc": list(range(a, a + 100)), "words": words[a : a + 100]}) for a in (0, 100, 200)))
+    idf, avgdl = rng.random(len(vocabulary)) - 0.2, sum(map(len, words)) / 300
+    got = pa.Table.from_batches(bm25._best(asked, idf, avgdl, 2)(iter(blocks))).to_pylist()
+    assert max(scored) <= 3 and sum(scored) <= 3 * 28  # different lists, three blocks
+
+    def score(d, q):
+        return sum(idf[vocabulary.index(t)] * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * len(words[d]) / avgdl)) for t in asks[q] if (n := words[d].count(t)))
+
+    for q in range(500):
+        want = sorted((-round(s, 9), d) for d in range(300) if (s := score(d, q)) > 0)[:2]
+        assert sorted((-round(r["score"], 9), r["doc"]) for r in got if r["query_id"] == q)[:2] == want
+
+
+def test_words_of_texts():
+    """Texts are split in Arrow, with the words of `tokens`; slices, nulls and texts without words."""
+    texts = pa.array(["gone", None, "", "a b", "the red_1 pump, 水泵检修。x²y", "--", "ab"]).slice(1)
+    assert bm25.split_words(texts).to_pylist() == [[], [], [], ["the", "red_1", "pump", "水泵检修", "x²y"], [], ["ab"]]
+    assert bm25.split_words(texts.slice(0, 0)).to_pylist() == []
+
+
 def test_core_queries_equal_their_sql(spark):
     from siftwell.plans import queries as q
 
