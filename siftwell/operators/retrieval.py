@@ -13,6 +13,7 @@ from siftwell.operators import graph
 from siftwell.session import cut
 
 MAX_QUERIES = 10_000
+FEW = 1 << 16  # rows that are dealt to all cores, as one file may hold them
 
 
 def over_fetch(k: int) -> dict[str, int]:
@@ -46,6 +47,8 @@ def top(scored: DataFrame, score: str, item: str, k: int) -> DataFrame:
 def vector_search(items: DataFrame, queries: DataFrame, item: str, k: int, where: Column | None = None) -> DataFrame:
     """(query_id, item, ..., similarity, rank); `where` filters items before they are scored."""
     rows = items if where is None else items.where(where)
+    if rows.limit(FEW + 1).count() <= FEW:
+        rows = rows.repartition(items.sparkSession.sparkContext.defaultParallelism, item)
     return in_blocks(queries, lambda q: top(score_all(rows, q), "similarity", item, k))
 
 

@@ -538,6 +538,18 @@ def test_words_of_texts():
     assert bm25.split_words(texts.slice(0, 0)).to_pylist() == []
 
 
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_vectors_of_one_file_are_dealt(spark):
+    items = spark.range(40).select(F.col("id").alias("vec_id"), F.array(F.col("id") % 7 + 1.0, F.lit(1.0)).alias("embedding")).coalesce(1)
+    queries = items.where("vec_id < 2").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    got = retrieval.vector_search(items, queries, "vec_id", 3)
+    assert "RepartitionByExpression [vec_id" in plan_of(got)
+    assert sorted((r.query_id, r.vec_id) for r in got.collect()) == [(0, 0), (0, 7), (0, 14), (1, 1), (1, 8), (1, 15)]
+
+
 def test_core_queries_equal_their_sql(spark):
     from siftwell.plans import queries as q
 
