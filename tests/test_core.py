@@ -2,6 +2,7 @@
 
 import json
 import math
+import re
 import zipfile
 
 import duckdb
@@ -550,6 +551,14 @@ def test_vectors_of_one_file_are_dealt(spark):
     assert sorted((r.query_id, r.vec_id) for r in got.collect()) == [(0, 0), (0, 7), (0, 14), (1, 1), (1, 8), (1, 15)]
 
 
+def test_contents_meet_the_results_of_their_document(spark):
+    """Contents are joined last, by document, so that they are shuffled once."""
+    import __spark_entry__
+
+    plan = plan_of(__spark_entry__.queries()["rerank_simple"](spark, __spark_entry__.DATA))
+    assert re.search(r"Join Inner, \((\w+)#", plan)[1] in ("doc", "doc_id") and "lambda" not in plan.split("Join Inner")[0]
+
+
 def test_core_queries_equal_their_sql(spark):
     from siftwell.plans import queries as q
 
